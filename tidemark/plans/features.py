@@ -77,9 +77,9 @@ def error_accel(spark, sf_dir):
     return shown(folded(spark, sf_dir, K.CounterAcceleration, "rate double, accel double"), "rate", "accel")
 
 
-@query(recursive("us AS u, CAST(0 AS DOUBLE) AS m", "r.us, 0.1 * (CASE WHEN (r.us - u) / 1e6 > 1e-9 THEN 1e6 / (r.us - u) ELSE 1 END) + 0.9 * m", "round(m + 3.1e-12, 9) + 0.0 AS rate"))
+@query(recursive("us AS u, CAST(0 AS DOUBLE) AS m", "r.us, 0.1 * (CASE WHEN (r.us - u) / 1e6 > 1e-9 THEN 1e6 / (r.us - u) ELSE 1 END) + 0.9 * m", "round(m + 3.1e-09, 6) + 0.0 AS rate"))
 def bgp_churn(spark, sf_dir):
-    return shown(folded(spark, sf_dir, K.EventRate, "rate double", seconds=True), "rate", digits=9)
+    return shown(folded(spark, sf_dir, K.EventRate, "rate double", seconds=True), "rate", digits=6)
 
 
 @query(
@@ -174,10 +174,10 @@ def flap_window_300s(spark, sf_dir):
 
 @query(
     f"""WITH {T}, x AS (SELECT *, v - lag(v) OVER w AS d, (us - lag(us) OVER w) / 1e6 AS g FROM t WINDOW w AS (PARTITION BY k ORDER BY us, seq))
-    SELECT seq, round(CASE WHEN g > 0 THEN CASE WHEN d < 0 THEN v ELSE d END / g END + 3.1e-12, 9) + 0.0 AS rate FROM x"""
+    SELECT seq, round(CASE WHEN g > 0 THEN CASE WHEN d < 0 THEN v ELSE d END / g END + 3.1e-09, 6) + 0.0 AS rate FROM x"""
 )
 def counter_rate(spark, sf_dir):
-    return telemetry(spark, sf_dir).select("seq", rounded(W.counter_rate(F.col("v"), F.col("s"), W.series("k")), 9).alias("rate"))
+    return telemetry(spark, sf_dir).select("seq", rounded(W.counter_rate(F.col("v"), F.col("s"), W.series("k")), 6).alias("rate"))
 
 
 def robust_sql(value: str, window: int) -> str:
