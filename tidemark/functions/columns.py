@@ -22,7 +22,8 @@ def rounded(x: Column, digits: int = 6) -> Column:
 
 
 def clip(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
-    return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+    """x within lo and hi; null stays null (least and greatest pass nulls by)."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
 
 
 def fold_sum(xs: Column) -> Column:

@@ -93,11 +93,10 @@ def map_to_node(entities: DataFrame, nodes: DataFrame, entity: str = "entity") -
     return out.select(entity, F.coalesce("node", "by_stem").alias("node"))
 
 
-def touched(flows: DataFrame, scope: DataFrame) -> DataFrame:
-    """Flows whose source or target is in scope: two semi-joins united by flow, so no disjunctive join."""
-    a = flows.join(scope.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
-    b = flows.join(scope.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
-    return a.unionByName(b).dropDuplicates(["flow_id"])
+def touched(flows: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """Flows whose source or target is in scope (column id): two semi-joins, the second without the first's, so no disjunctive join."""
+    src, dst = sources.select(F.col("id").alias("src")).distinct(), targets.select(F.col("id").alias("dst")).distinct()
+    return flows.join(src, "src", "left_semi").unionByName(flows.join(dst, "dst", "left_semi").join(src, "src", "left_anti"))
 
 
 def flow_rollup(flows: DataFrame, keys: Sequence[str], us: str, seconds: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("features", "relational")
+MODULES = ("features", "relational", "scoring")
 
 
 def all_queries() -> tuple[dict, dict]:

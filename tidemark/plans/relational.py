@@ -92,11 +92,8 @@ def interval_label_join(spark, sf_dir):
 @query(f"WITH {FLOWS} SELECT count(*) AS n, round(sum(bytes), 2) AS bytes FROM f WHERE src < 10 OR dst < 20")
 def semi_join_flows(spark, sf_dir):
     """Flows that touch a set of sources or targets."""
-    scope = spark.range(20)
-    f = flows(spark, sf_dir)
-    a = f.join(scope.where("id < 10").select(F.col("id").alias("src")), "src", "left_semi").select("flow_id", "bytes")
-    b = f.join(scope.select(F.col("id").alias("dst")), "dst", "left_semi").select("flow_id", "bytes")
-    return a.unionByName(b).dropDuplicates(["flow_id"]).agg(F.count("*").alias("n"), F.round(F.sum("bytes"), 2).alias("bytes"))
+    hit = R.touched(flows(spark, sf_dir), spark.range(10), spark.range(20))
+    return hit.agg(F.count("*").alias("n"), F.round(F.sum("bytes"), 2).alias("bytes"))
 
 
 @query("SELECT c_custkey, 'dropped' AS verdict FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT c_custkey, 'valid' FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
