@@ -40,7 +40,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 SCHEMA = (
     "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, n_common long, class_hist array<long>, word_hist array<long>"
+    "n_repeat_words long, n_common long, class_ppm array<int>, word_ppm array<int>"
 )
 
 
@@ -98,14 +98,20 @@ def measure(text: str | None, bins: dict[bytes, int] = BINS) -> tuple:
     return (len(words), len(text) - int(classes[3]), int(classes[5]), duplicate_lines(text), repeated_words(words), common, classes, hist)
 
 
+def _lists(hists: list[np.ndarray], width: int) -> pa.Array:
+    """Histograms in parts per million, rounded down."""
+    x = np.array(hists, np.int64).reshape(-1, width)
+    ppm = x * 1_000_000 // np.maximum(x.sum(axis=1, keepdims=True), 1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * width), pa.array(ppm.ravel().astype(np.int32)))
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [measure(t) for t in b.column(1).to_pylist()]
         long = lambda k: pa.array([r[k] for r in rows], pa.int64())
-        lists = lambda k: pa.array([r[k] for r in rows], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(2), *map(long, range(6)), lists(6), lists(7)],
-            names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_common", "class_hist", "word_hist"],
+            [b.column(0), b.column(2), *map(long, range(6)), _lists([r[6] for r in rows], 8), _lists([r[7] for r in rows], len(WORDS) + 1)],
+            names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_common", "class_ppm", "word_ppm"],
         )
 
 
@@ -115,46 +121,39 @@ def features(docs: DataFrame) -> DataFrame:
     return narrow.mapInArrow(_features, SCHEMA).withColumn("base_failed", failed)
 
 
-def _ppm(hist: Column) -> Column:
-    total = F.greatest(F.aggregate(hist, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
-    return F.transform(hist, lambda x: F.floor(x * 1_000_000 / total).cast("long"))
-
-
 def references(feats: DataFrame) -> DataFrame:
     """A row for each language: the mean histograms of its documents that pass the base rules.
 
     Sums bin by bin, with partial sums before the shuffle: what is shuffled is languages times bins.
     """
-    good = feats.where(~F.col("base_failed"))
     n_word = len(WORDS) + 1
-    cols = [F.sum(_at("class_ppm", i)).alias(f"c{i}") for i in range(8)] + [F.sum(_at("word_ppm", i)).alias(f"w{i}") for i in range(n_word)]
-    sums = good.select("lang", _ppm(F.col("class_hist")).alias("class_ppm"), _ppm(F.col("word_hist")).alias("word_ppm")).groupBy("lang").agg(*cols)
-    return sums.select(F.col("lang").alias("ref_lang"), F.array(*[f"c{i}" for i in range(8)]).alias("class_ref"), F.array(*[f"w{i}" for i in range(n_word)]).alias("word_ref"))
+    bins = [(f"c{i}", _at("class_ppm", i)) for i in range(8)] + [(f"w{i}", _at("word_ppm", i)) for i in range(n_word)]
+    sums = feats.where(~F.col("base_failed")).groupBy("lang").agg(F.count("*").alias("n"), *(F.sum(x).alias(name) for name, x in bins))
+    mean = lambda name: F.floor(F.col(name) / F.col("n")).cast("int")
+    return sums.select(F.col("lang").alias("ref_lang"), F.array(*[mean(f"c{i}") for i in range(8)]).alias("class_ref"), F.array(*[mean(f"w{i}") for i in range(n_word)]).alias("word_ref"))
 
 
 def _at(name: str, i: int) -> Column:
     return F.get(F.col(name), F.lit(i))
 
 
-def _total(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double"))
-
-
 def js_distance(p: Column, q: Column) -> Column:
-    """Square root of the Jensen-Shannon divergence in bits of two arrays of counts, 0 to 1."""
-    total_p, total_q = F.greatest(_total(p), F.lit(1.0)), F.greatest(_total(q), F.lit(1.0))
+    """Square root of the Jensen-Shannon divergence in bits of two histograms in parts per million, 0 to 1.
+
+    p log2(2p / (p + q)) + q log2(2q / (p + q)) is added up over the bins that either has.
+    """
 
     def part(x: Column, y: Column) -> Column:
         return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(F.lit(0.0))
 
-    both = F.zip_with(p, q, lambda x, y: part(x / total_p, y / total_q) + part(y / total_q, x / total_p))
-    return F.sqrt(F.greatest(F.lit(0.0), _total(both) / 2))
+    both = F.zip_with(p, q, lambda x, y: part(x, y) + part(y, x))
+    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda a, v: a + v)) / 2_000_000)
 
 
 def _distances(feats: DataFrame, refs: DataFrame) -> DataFrame:
     """feats with class_distance and word_distance; 0 where the language has no reference."""
     joined = feats.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    by = {"class_distance": js_distance(F.col("class_hist"), F.col("class_ref")), "word_distance": js_distance(F.col("word_hist"), F.col("word_ref"))}
+    by = {"class_distance": js_distance(F.col("class_ppm"), F.col("class_ref")), "word_distance": js_distance(F.col("word_ppm"), F.col("word_ref"))}
     return joined.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in by.items()}).drop("ref_lang", "class_ref", "word_ref")
 
 
