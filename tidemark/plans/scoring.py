@@ -103,10 +103,10 @@ PRIORITY = f"""WITH i AS ({INCIDENT}), a AS (SELECT *, greatest(0.02, round(CASE
     p AS (SELECT *, round(pow(round(af * greatest(0.02, uf) * greatest(0.02, blast) * least(1, greatest(0.02, criticality)), 6), 0.25), 6) AS base FROM a)"""
 
 
-@query(PRIORITY + ", q AS (SELECT incident, round(base * demotion, 6) AS priority, eta, blast FROM p) SELECT incident, round(priority, 5) + 0.0 AS priority, CASE WHEN priority >= 0.66 THEN 'P1' WHEN priority >= 0.33 THEN 'P2' WHEN priority > 0 THEN 'P3' ELSE 'INFO' END AS severity, CAST(row_number() OVER (ORDER BY round(priority, 5) DESC, coalesce(round(eta / 60, 3), 1e9), blast DESC, incident) AS BIGINT) AS rank FROM q".replace("round(priority, 5) DESC", "priority DESC"))
+@query(PRIORITY + ", q AS (SELECT incident, round(base * demotion, 6) AS priority, eta, blast FROM p) SELECT incident, round(priority + 3.1e-8, 5) + 0.0 AS priority, CASE WHEN priority >= 0.66 THEN 'P1' WHEN priority >= 0.33 THEN 'P2' WHEN priority > 0 THEN 'P3' ELSE 'INFO' END AS severity, CAST(row_number() OVER (ORDER BY round(priority, 5) DESC, coalesce(round(eta / 60, 3), 1e9), blast DESC, incident) AS BIGINT) AS rank FROM q".replace("round(priority, 5) DESC", "priority DESC"))
 def priority_rank(spark, sf_dir):
     out = risk.prioritized(incidents(spark, sf_dir))
-    return out.select("incident", (F.round("priority", 5) + 0.0).alias("priority"), "severity", F.col("rank").cast("long").alias("rank"))
+    return out.select("incident", rounded(F.col("priority"), 5).alias("priority"), "severity", F.col("rank").cast("long").alias("rank"))
 
 
 CALIB = "SELECT least(1, length(text) / 5000) AS p, quality AS y FROM labels JOIN documents USING (doc_id)"
