@@ -108,16 +108,16 @@ def holt(df: DataFrame, key: str, order: list[str], value: str, steps: int, *, d
 
 
 def _trend(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """df with i (0, 1, ...), n, slope and intercept of the least-squares line."""
+    """df with __i (0, 1, ...), n, slope and intercept of the least-squares line."""
     w = Window.partitionBy(key)
-    t = df.select(key, *order, F.col(value).alias("x"), (F.row_number().over(w.orderBy(*order)) - 1).alias("i"))
-    line = t.groupBy(key).agg(F.regr_slope("x", "i").alias("slope"), F.regr_intercept("x", "i").alias("intercept"), F.count("*").alias("n"))
+    t = df.select(key, *order, F.col(value).alias("x"), (F.row_number().over(w.orderBy(*order)) - 1).alias("__i"))
+    line = t.groupBy(key).agg(F.regr_slope("x", "__i").alias("slope"), F.regr_intercept("x", "__i").alias("intercept"), F.count("*").alias("n"))
     return t.join(line, key)
 
 
 def theta(df: DataFrame, key: str, order: list[str], value: str, steps: int) -> DataFrame:
     """Mean of the trend line and of simple smoothing of twice the series less the line."""
-    t = _trend(df, key, order, value).withColumn("line", F.col("intercept") + F.col("slope") * F.col("i")).withColumn("v2", 2 * F.col("x") - F.col("line"))
+    t = _trend(df, key, order, value).withColumn("line", F.col("intercept") + F.col("slope") * F.col("__i")).withColumn("v2", 2 * F.col("x") - F.col("line"))
     level = last_state(keyed_fold(t, [key], order, SesState, "level double", value="v2"), key, order, ["level"])
     sigma = residual_sigma(t.withColumn("residual", F.col("x") - F.col("line")), key, "residual", "x")
     state = t.select(key, "slope", "intercept", "n").distinct().join(level, key).join(sigma, key)

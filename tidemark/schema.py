@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-TELEMETRY = StructType.fromDDL("ts timestamp, site string, device string, role string, metric_name string, value double, kind string, site_type string, unit string, labels map<string,string>, source string")
-SYSLOG = StructType.fromDDL("ts timestamp, site string, device string, role string, severity int, facility string, mnemonic string, message string, labels map<string,string>")
-ROUTING = StructType.fromDDL("ts timestamp, site string, device string, role string, protocol string, event_type string, peer string, prefix string, vrf string, as_path_len int, labels map<string,string>")
-FLOW = StructType.fromDDL("ts timestamp, site string, device string, src_addr string, dst_addr string, src_port int, dst_port int, protocol string, bytes long, packets long, in_iface string, out_iface string, vrf string, dscp int, labels map<string,string>")
-TUNNEL = StructType.fromDDL("ts timestamp, site string, device string, role string, tunnel_id string, peer_site string, loss_pct double, jitter_ms double, latency_ms double, rekey_interval_s double, rekey_count int, oper_up boolean, labels map<string,string>")
-LABEL = StructType.fromDDL("label string, scenario string, issue string, node string, precursor_us long, fault_us long, fault_end_us long")
+TELEMETRY = "ts timestamp, site string, device string, role string, metric_name string, value double, kind string, site_type string, unit string, labels map<string,string>, source string"
+SYSLOG = "ts timestamp, site string, device string, role string, severity int, facility string, mnemonic string, message string, labels map<string,string>"
+ROUTING = "ts timestamp, site string, device string, role string, protocol string, event_type string, peer string, prefix string, vrf string, as_path_len int, labels map<string,string>"
+FLOW = "ts timestamp, site string, device string, src_addr string, dst_addr string, src_port int, dst_port int, protocol string, bytes long, packets long, in_iface string, out_iface string, vrf string, dscp int, labels map<string,string>"
+TUNNEL = "ts timestamp, site string, device string, role string, tunnel_id string, peer_site string, loss_pct double, jitter_ms double, latency_ms double, rekey_interval_s double, rekey_count int, oper_up boolean, labels map<string,string>"
+LABEL = "label string, scenario string, issue string, node string, precursor_us long, fault_us long, fault_end_us long"
 SCHEMAS = {"TelemetryRecord": TELEMETRY, "SyslogEvent": SYSLOG, "RoutingEvent": ROUTING, "FlowRecord": FLOW, "TunnelStat": TUNNEL}
 
 # Closed vocabularies.
