@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import written
+
 K, LITERALS = 8, 5
 BITS = 22
 
@@ -155,7 +157,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.5, consis
     total = ours.groupBy("item_id").agg(F.count("*").alias("n_windows"))
     rows = docs.select(_key().alias("key"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     theirs = _windows(rows, bitmap(ours)).withColumnRenamed("id", "doc_id")
-    hits = theirs.join(ours, "gram")
+    # Few windows remain; they are written so that the two questions below don't read the documents twice.
+    hits = written(theirs, "windows").join(ours, "gram")
     # One row for each window of an item that a document holds, however often it does.
     held = hits.groupBy("key", "doc_id", "item_id", "item_pos").agg(F.min(F.struct("pos", "slots", "item_slots")).alias("h"))
     held = held.select("key", "doc_id", "item_id", "h.slots", "h.item_slots")
