@@ -146,3 +146,31 @@ def scan(docs: DataFrame, **limits) -> DataFrame:
         F.array_join("base", ",").alias("base_labels"), F.array_join(both, ",").alias("labels"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
         F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("coverage", F.lit(0.0))).alias("score"),
     )
+
+
+def oracle(templates=TEMPLATES, least: float = 0.6, longest: float = 1.5) -> str:
+    """The result of scan() in SQL, with words in place of hashes."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quoted(lab)}, {quoted(' '.join(template_words(t)))})" for i, (lab, t) in enumerate(templates))
+    base_rows = ", ".join(f"({quoted(p)}, {quoted(lab)})" for p, lab in BASE.items())
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    gram = " || ' ' || ".join(f"ws[i + {j}]" if j else "ws[i]" for j in range(K))
+    return f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+    bp AS (SELECT phrase, label, string_split(phrase, ' ') AS ps FROM (VALUES {base_rows}) v(phrase, label)),
+    bw AS (SELECT doc_id, ws, unnest(range(len(ws))) AS p0 FROM d WHERE list_contains(ws, 'mit') OR list_contains(ws, 'apache') OR list_contains(ws, 'nc')),
+    bh AS (SELECT doc_id, p0, label FROM bw JOIN bp ON ws[p0 + 1 : p0 + len(ps)] = ps),
+    b AS (SELECT doc_id, count(*) AS n_base, min(p0) AS first_word, max(p0) AS last_word, list(DISTINCT label) AS labs FROM bh GROUP BY doc_id),
+    t AS (SELECT id, label, string_split(body, ' ') AS ws FROM (VALUES {rows}) v(id, label, body)),
+    tg AS (SELECT id, label, n, i - 1 AS tpos, {gram} AS g FROM (SELECT id, label, ws, len(ws) - {K - 1} AS n, unnest(range(1, len(ws) - {K - 2})) AS i FROM t)),
+    dg AS (SELECT doc_id, i - 1 AS pos, {gram} AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {K - 2})) AS i FROM d)),
+    v AS (SELECT doc_id, id, label, n, pos - tpos AS diag, count(*) AS votes, min(pos) AS lo, max(pos) AS hi FROM dg JOIN tg USING (g) GROUP BY doc_id, id, label, n, pos - tpos),
+    m AS (SELECT *, sum(CASE WHEN gap > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, id ORDER BY diag) AS run FROM (SELECT *, diag - lag(diag) OVER (PARTITION BY doc_id, id ORDER BY diag) AS gap FROM v)),
+    q AS (SELECT doc_id, id, label, n, run, least(1.0, sum(votes) / n) AS cov, min(lo) AS lo, max(hi) AS hi FROM m GROUP BY doc_id, id, label, n, run),
+    s AS (SELECT *, row_number() OVER () AS rid FROM q WHERE cov >= {least} AND hi - lo + 1 <= greatest(n * {longest}, n + {K})),
+    k AS (SELECT * FROM s x WHERE NOT EXISTS (SELECT 1 FROM s y WHERE y.doc_id = x.doc_id AND y.cov > x.cov AND y.lo <= x.hi AND x.lo <= y.hi)),
+    a AS (SELECT doc_id, list(DISTINCT label) AS labs, max(cov) AS cov, count(*) AS n_spans FROM k GROUP BY doc_id)
+    SELECT d.doc_id, len(d.ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(b.labs), ','), '') AS base_labels,
+           coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labs, []), coalesce(a.labs, [])))), ','), '') AS labels, coalesce(n_spans, 0) AS n_spans,
+           CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(cov, 0.0) END AS score
+    FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""

@@ -157,17 +157,20 @@ def _distances(feats: DataFrame, refs: DataFrame) -> DataFrame:
     return joined.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in by.items()}).drop("ref_lang", "class_ref", "word_ref")
 
 
-def score(docs: DataFrame, *, max_class: float = 0.145, max_word: float = 0.55, trim: float = 0.2, min_words: int = MIN_WORDS, min_common: int = 20) -> DataFrame:
+def score(docs: DataFrame, *, max_class: float = 0.145, max_word: float = 0.55, min_words: int = MIN_WORDS, min_common: int = 20) -> DataFrame:
     """A row for each document: base figures, both distances, ``base_failed`` and ``kept``.
 
-    max_class, max_word: largest distances of a document that stays.  trim: the references are
-    taken twice, the second time without documents farther than this from the first ones, so that
+    max_class, max_word: largest distances of a document that stays.  The references are taken
+    twice, the second time from the half of a language's documents that is nearest the first, so that
     junk does not shift them.  min_words: shorter documents are not judged by character classes.
     min_common: nor by common words, when they hold fewer words than this.  A language without
     reference (none of its documents passes the base rules) rejects nothing beyond the base rules.
     """
     feats = written(features(docs), "quality")
-    near = _distances(feats, references(feats)).where(F.col("class_distance") <= trim)
+    first = _distances(feats, references(feats)).withColumn("bin", F.floor(1000 * F.col("class_distance")))
+    # Distances in thousandths: an exact median that keeps a thousand counts at most.
+    half = first.where(~F.col("base_failed")).groupBy("lang").agg(F.percentile("bin", F.lit(0.5)).alias("half")).withColumnRenamed("lang", "half_lang")
+    near = first.join(half, F.col("lang").eqNullSafe(F.col("half_lang"))).where(F.col("bin") <= F.col("half"))
     out = _distances(feats, references(near))
     far = ((F.col("n_words") >= min_words) & (F.col("class_distance") > max_class)) | ((F.col("n_words") >= min_common) & (F.col("word_distance") > max_word))
     return out.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", (~F.col("base_failed") & ~far).alias("kept"))
@@ -181,3 +184,54 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """
     good = score(docs, **limits).where("kept").select("doc_id").distinct()
     return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+
+
+def oracle(max_class: float = 0.145, max_word: float = 0.55) -> str:
+    """The result of score() in SQL, distances rounded to six digits."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    count = lambda keep: f"length(regexp_replace(t, '[^{keep}]', '', 'g'))"
+    common = ", ".join(f"({quoted(w)})" for w in WORDS)
+    punct = quoted(PUNCT.decode())
+    ws = r"\x20\x09-\x0D"
+    classes = {0: count("a-z0-9"), 1: count("A-Z"), 2: count("''\""), 3: count(ws), 4: count(".,;:!?()\\-"), 5: count("#*$%&|<>"), 7: r"length(regexp_replace(t, '[\x00-\x7F]', '', 'g'))"}
+    class_rows = " UNION ALL ".join(f"SELECT doc_id, lang, {k} AS bin, {x} AS c, length(t) AS total FROM w" for k, x in classes.items())
+    part = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2(2.0 * {x} / ({x} + {y})) ELSE 0 END"
+
+    def refs(name: str, docs: str) -> str:
+        return f"""{name}n AS (SELECT lang, count(*) AS n FROM {docs} GROUP BY lang),
+    {name} AS (SELECT h.kind, h.lang, h.bin, CAST(floor(sum(h.ppm) / any_value(n)) AS BIGINT) AS q FROM h JOIN {docs} d ON d.doc_id = h.doc_id JOIN {name}n ON {name}n.lang IS NOT DISTINCT FROM h.lang GROUP BY h.kind, h.lang, h.bin)"""
+
+    def distances(name: str, ref: str) -> str:
+        return f"""{name} AS (SELECT doc_id, sqrt(greatest(0, coalesce(sum(x) FILTER (kind = 'c'), 0)) / 2e6) AS cd, sqrt(greatest(0, coalesce(sum(x) FILTER (kind = 'w'), 0)) / 2e6) AS wd FROM (
+        SELECT coalesce(h.doc_id, g.doc_id) AS doc_id, coalesce(h.kind, g.kind) AS kind, {part('coalesce(h.ppm, 0)', 'coalesce(g.q, 0)')} + {part('coalesce(g.q, 0)', 'coalesce(h.ppm, 0)')} AS x
+        FROM (SELECT f.doc_id, r.kind, r.bin, r.q FROM f JOIN {ref} r ON r.lang IS NOT DISTINCT FROM f.lang) g
+        FULL JOIN (SELECT h.* FROM h WHERE EXISTS (SELECT 1 FROM {ref} r WHERE r.lang IS NOT DISTINCT FROM h.lang)) h ON h.doc_id = g.doc_id AND h.kind = g.kind AND h.bin = g.bin) GROUP BY 1)"""
+
+    return f"""
+    WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{ws}]+') AS ws FROM documents),
+    ln AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w),
+    dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln WHERE regexp_matches(line, '[^{ws}]') GROUP BY doc_id),
+    tr AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+    tp AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM tr) x, range(3) y(j) WHERE n > 1),
+    rp AS (SELECT doc_id, count(*) AS n FROM tp GROUP BY doc_id),
+    f0 AS (SELECT w.doc_id, w.lang, len(ws) AS n_words, length(regexp_replace(t, '[{ws}]+', '', 'g')) AS word_chars, {classes[5]} AS n_symbols, coalesce(dl.n, 0) AS n_dup_lines, coalesce(rp.n, 0) AS n_repeat_words
+        FROM w LEFT JOIN dl ON dl.doc_id = w.doc_id LEFT JOIN rp ON rp.doc_id = w.doc_id),
+    f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f0),
+    cc AS ({class_rows}),
+    ca AS (SELECT doc_id, lang, bin, c, total FROM cc UNION ALL SELECT doc_id, lang, 6, any_value(total) - sum(c), any_value(total) FROM cc GROUP BY doc_id, lang),
+    cw AS (SELECT word FROM (VALUES {common}) v(word)),
+    wu AS (SELECT doc_id, lang, len(ws) AS total, unnest(ws) AS x FROM w),
+    wl AS (SELECT *, CASE WHEN x IN (SELECT word FROM cw) THEN x ELSE trim(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {punct}) END AS word FROM wu),
+    wc AS (SELECT doc_id, lang, CASE WHEN word IN (SELECT word FROM cw) THEN word ELSE '*' END AS bin, count(*) AS c, any_value(total) AS total FROM wl GROUP BY 1, 2, 3),
+    h AS (SELECT 'c' AS kind, doc_id, lang, CAST(bin AS VARCHAR) AS bin, CAST(c * 1000000 // greatest(total, 1) AS BIGINT) AS ppm FROM ca UNION ALL SELECT 'w', doc_id, lang, bin, c * 1000000 // total FROM wc),
+    g1 AS (SELECT doc_id, lang FROM f WHERE NOT base_failed),
+    {refs('r1', 'g1')},
+    {distances('d1', 'r1')},
+    b1 AS (SELECT f.doc_id, f.lang, f.base_failed, floor(1000 * coalesce(cd, 0)) AS b FROM f LEFT JOIN d1 ON d1.doc_id = f.doc_id),
+    hf AS (SELECT lang, quantile_cont(b, 0.5) AS half FROM b1 WHERE NOT base_failed GROUP BY lang),
+    g2 AS (SELECT b1.doc_id, b1.lang FROM b1 JOIN hf ON hf.lang IS NOT DISTINCT FROM b1.lang WHERE NOT base_failed AND b <= half),
+    {refs('r2', 'g2')},
+    {distances('d2', 'r2')}
+    SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, round(coalesce(cd, 0) + 3.1e-9, 6) AS class_distance, round(coalesce(wd, 0) + 3.1e-9, 6) AS word_distance, base_failed,
+           NOT base_failed AND NOT ((n_words >= {MIN_WORDS} AND coalesce(cd, 0) > {max_class}) OR (n_words >= 20 AND coalesce(wd, 0) > {max_word})) AS kept
+    FROM f LEFT JOIN d2 ON d2.doc_id = f.doc_id"""

