@@ -247,9 +247,12 @@ def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def _unsettled(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one component."""
-    open_ = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    return members.join(open_, "bucket", "left_semi")
+    """The members of buckets that hold more than one component, with n, the bucket's size.
+
+    One join by bucket, with nothing else by bucket in its stage, so Spark can split a large bucket.
+    """
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "n")
+    return members.drop("n").join(sizes, "bucket")
 
 
 def _with_hub(members: DataFrame, second: bool = False) -> DataFrame:
@@ -267,10 +270,9 @@ def _with_hub(members: DataFrame, second: bool = False) -> DataFrame:
 
 
 def _in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components within buckets, by comparing all pairs in blocks of about BLOCK members."""
-    sized = members.join(members.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    """Links between components within buckets (n members), by comparing all pairs in blocks of about BLOCK members."""
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = sized.select("bucket", "node", "comp", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("node", "bucket"), n_blocks).cast("int").alias("block"))
+    mine = members.select("bucket", "node", "comp", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("node", "bucket"), n_blocks).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     dealt = mine.select("bucket", "node", "comp", "block", other.alias("other")).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp")
 
@@ -321,9 +323,8 @@ def group(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     members = written(_unsettled(_labelled(members.drop("comp"), links)), "unsettled")
     again = written(verified(_with_hub(members, second=True), sets, percent), "links")
     links = links.unionByName(again)
-    members = _unsettled(_labelled(members.drop("comp"), links))
     # A bucket of two has had its only pair compared.
-    many = members.join(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 2").select("bucket"), "bucket", "left_semi")
+    many = written(_unsettled(_labelled(members.drop("comp"), links)).where("n > 2"), "unsettled")
     links = written(links.unionByName(_in_blocks(many, sets, percent)), "links")
 
     comps = components(links).withColumnRenamed("node", "of")
@@ -342,3 +343,19 @@ def keep_one(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     best = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     one = docs.join(kept, "doc_id", "left_semi").withColumn("__rank", F.row_number().over(best)).where("__rank = 1")
     return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The result of group(k=4, percent=80) by comparing all pairs of texts that share a shingle.
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS d, doc_id AS m FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.d),
+c AS (SELECT d, min(m) AS component_id FROM r GROUP BY d)
+SELECT d AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.d
+"""
