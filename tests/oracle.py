@@ -7,6 +7,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 
 def connect(sf: str):
@@ -17,7 +18,7 @@ def connect(sf: str):
 
 
 def plain(x):
-    if x is None or (isinstance(x, (float, np.floating)) and math.isnan(x)):
+    if x is None or x is pd.NA or (isinstance(x, (float, np.floating)) and math.isnan(x)):
         return None
     if isinstance(x, (bool, np.bool_)):
         return bool(x)
