@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import kernels as K
+from tidemark.functions.models import MODELS, Discord, Pelt, Rolling
 from tidemark.operators.fold import Chain, Normalized, keyed_fold
 
 #: The detectors that run on every tick: name, family, maker.
@@ -28,3 +29,24 @@ def bank(df: DataFrame, keys: list[str], order: list[str], detectors: list[tuple
 
 def tick_bank(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return bank(df, keys, order, TICK)
+
+#: The detectors that run once on the most anomalous series.
+BATCH = [
+    *((name, family, lambda name=name: Rolling(name)) for name, (family, *_) in MODELS.items()),
+    ("half_space_trees", "ml_unsupervised", K.HalfSpaceTrees),
+    ("kswin", "change_point", lambda: K.Decay(K.Kswin(seed=1337))),
+    ("pelt", "change_point", Pelt),
+    ("matrix_profile", "matrix_profile", Discord),
+]
+
+
+def batch_bank(df: DataFrame, keys: list[str], order: list[str], peaks: DataFrame, *, last: int = 120, streams: int = 12, value: str = "v") -> DataFrame:
+    """The costly bank on the ``last`` values before the peak of the ``streams`` series with the greatest risk.
+
+    peaks has keys, peak (in order[0]'s unit) and risk.
+    """
+    top = peaks.withColumn("__rank", F.row_number().over(Window.orderBy(F.desc("risk"), *keys))).where(F.col("__rank") <= streams)
+    before = df.join(F.broadcast(top.select(*keys, "peak")), keys).where(F.col(order[0]) <= F.col("peak"))
+    back = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
+    tail = before.withColumn("__back", F.row_number().over(back)).where(F.col("__back") <= last).drop("__back", "peak")
+    return bank(tail, keys, order, BATCH, value=value)
