@@ -15,13 +15,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
-def keyed_fold(df: DataFrame, keys: list[str], order: list[str], make: Callable[[], object], out: str, *, value: str = "v", seconds: str | None = None) -> DataFrame:
+def keyed_fold(df: DataFrame, keys: list[str], order: list[str], make: Callable[[], object], out: str, *, value: str = "v", seconds: str | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """df's keys and order columns with what the kernel of each key returns, row by row.
 
-    make: a new kernel; out: names and types of its results.  A null or non-finite value is passed
+    make: a new kernel; out: names and types of its results; extra: columns that its step takes besides.  A null or non-finite value is passed
     by: its results are null and the state stays.
     """
-    columns = [*dict.fromkeys([*keys, *order, value, *([seconds] if seconds else [])])]
+    columns = [*dict.fromkeys([*keys, *order, value, *([seconds] if seconds else []), *extra])]
     narrow = df.select(*columns)
     kept = [c for c in columns if c in keys or c in order]
     results: StructType = _parse_datatype_string(out)
@@ -36,11 +36,12 @@ def keyed_fold(df: DataFrame, keys: list[str], order: list[str], make: Callable[
             key_cols = [b.column(at[k]).to_pylist() for k in keys]
             values = b.column(at[value]).to_pylist()
             times = b.column(at[seconds]).to_pylist() if seconds else [None] * len(values)
+            more = zip(*(b.column(at[c]).to_pylist() for c in extra)) if extra else iter(lambda: (), None)
             rows = []
-            for key, x, t in zip(zip(*key_cols), values, times):
+            for key, x, t, e in zip(zip(*key_cols), values, times, more):
                 if key != now:
                     now, kernel = key, make()
-                rows.append(empty if x is None or x - x != 0 else kernel.step(x, t))
+                rows.append(empty if x is None or x - x != 0 else kernel.step(x, t, *e))
             cols = [b.column(at[c]) for c in kept]
             cols += [pa.array([r[i] for r in rows], arrow.field(len(kept) + i).type) for i in range(n_out)]
             yield pa.RecordBatch.from_arrays([c.cast(arrow.field(i).type) for i, c in enumerate(cols)], schema=arrow)

@@ -111,3 +111,23 @@ def end_to_end_incidents(spark, sf_dir):
     from tidemark.sources import generator as g
 
     return situation(g.telemetry(spark), g.nodes(spark), g.edges(spark))["incidents"].select("rank", "severity", "priority", "issue", "root", "n_events", "n_affected", "compression")
+
+
+@query()
+def feature_vectors(spark, sf_dir):
+    """A feature vector for each generated record."""
+    from tidemark.operators.features import feature_vectors as engine
+    from tidemark.sources import generator as g
+
+    return engine(g.telemetry(spark, g.Config()))
+
+
+@query()
+def feature_engine_on_events(spark, sf_dir):
+    """The engine over the events of each user: clicks as utilisation, views as latency, errors as counters."""
+    from tidemark.operators.features import feature_vectors as engine
+    from tidemark.plans.views import telemetry
+
+    name = F.create_map(*(F.lit(x) for x in ("click", "if_util_pct", "view", "latency_ms", "error", "if_in_errors", "signup", "loss_pct", "purchase", "jitter_ms")))
+    t = telemetry(spark, sf_dir).select("us", "seq", F.col("s").alias("t"), F.col("k").cast("string").alias("entity"), F.element_at(name, F.col("metric")).alias("metric"), F.col("v").alias("value"))
+    return engine(t)
