@@ -74,3 +74,61 @@ def test_stream_equals_batch(spark, tmp_path, make, out):
 def test_replay_needs_a_pace(spark, tmp_path):
     with pytest.raises(ValueError):
         S.replay(spark, str(tmp_path), "a int", files_per_trigger=0)
+
+
+def test_generated_events_and_flows(spark):
+    cfg = g.Config()
+    t = g.telemetry(spark, cfg)
+    kinds = {(r.kind, r.detail): r.n for r in g.events(t).groupBy("kind", "detail").agg(F.count("*").alias("n")).collect()}
+    assert kinds[("SyslogEvent", "policy differs from the golden baseline")] == 1 and kinds[("RoutingEvent", "adjacency_down")] > 0
+    f = g.flows(t, cfg)
+    assert f.select("us").distinct().count() == 31 and f.agg(F.min("bytes")).first()[0] >= 100_000
+    quiet = g.events(g.telemetry(spark, g.Config(scenarios=())))
+    assert quiet.where("detail <> 'IKE rekey early'").count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidemark import cli
+
+    assert cli.parser().parse_args(["demo", "--scenarios", "a,D"]).scenarios == ("congestion", "policy_drift")
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["demo", "--scenarios", "x"])
+    assert cli.main(["generate", "--duration", "60", "--out", str(tmp_path / "o")]) == 0
+    assert spark.read.parquet(str(tmp_path / "o/telemetry")).count() == g.streams(spark).count() * 7
+    assert cli.main(["stream", "--duration", "20", "--limit", "3"]) == 0
+    assert capsys.readouterr().out.count("TelemetryRecord") >= 3
+
+
+def test_corpus_and_topology_files(spark, tmp_path):
+    from tidemark.sources import corpus
+
+    (tmp_path / "a.md").write_text("---\ntitle: Link full\nissue_type: interface_congestion\n---\n# Symptoms\nutil rises\n# Fix\nreroute\n")
+    (tmp_path / "i").mkdir()
+    (tmp_path / "i/x.json").write_text('{"incident_id": "X", "issue_type": "policy_drift", "summary": "drift"}')
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/topology.json").write_text('{"nodes": [{"id": "s:a", "site": "s", "criticality": 0.9}], "edges": [{"src": "s:a", "dst": "s:b"}, {"u": "s:b", "v": "z:c", "directed": true}]}')
+    md = corpus.markdown_chunks(spark, str(tmp_path)).orderBy("chunk_id").collect()
+    assert [m.metadata["section"] for m in md] == ["Symptoms", "Fix"] and md[0].text.startswith("[Link full — Symptoms]")
+    assert corpus.filtered(corpus.json_chunks(spark, str(tmp_path / "i"), "incident"), issue_type="policy_drift").count() == 1
+    nodes, edges = corpus.topology(spark, str(tmp_path / "t"))
+    assert {r.id: r.criticality for r in nodes.collect()} == {"s:a": 0.9, "s:b": 0.5, "z:c": 0.5}
+    assert {tuple(r) for r in edges.collect()} == {("s:a", "s:b"), ("s:b", "s:a"), ("s:b", "z:c")}
+    assert corpus.markdown_chunks(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_alert_stream(spark, tmp_path):
+    rows = [("e", f"2025-01-01 00:0{i // 6}:{i % 6}0", ["d:m", "d:n"] if i in (1, 2, 9) else []) for i in range(12)]
+    df = spark.createDataFrame(rows, "entity string, ts string, triggered array<string>").withColumn("ts", F.to_timestamp("ts"))
+    df.coalesce(1).write.parquet(str(tmp_path / "f"))
+    S.ready(spark)
+    out = S.drain(S.alerts(S.replay(spark, str(tmp_path / "f"), df.schema)), "alerts_test").collect()
+    assert len(out) == 2 and {r.detector for r in out} == {"d"}
+
+
+def test_sink_is_exactly_once(spark, tmp_path):
+    df = spark.range(10)
+    df.coalesce(1).write.parquet(str(tmp_path / "src"))
+    for _ in range(2):
+        q = S.to_batches(S.replay(spark, str(tmp_path / "src"), df.schema), str(tmp_path / "out"), str(tmp_path / "ck"))
+        assert q.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10

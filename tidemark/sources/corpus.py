@@ -15,7 +15,7 @@ def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], "path string, text string")
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    raw = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 

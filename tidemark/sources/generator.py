@@ -184,3 +184,28 @@ def telemetry(spark: SparkSession, cfg: Config = Config()) -> DataFrame:
     plain = F.least(F.col("hi"), F.greatest(F.col("lo"), plain))
     value = F.least(F.col("hi"), F.greatest(F.col("lo"), plain + injection(cfg, F.col("t"), F.col("entity"), F.col("metric"), noise(cfg.seed + 1, *key))))
     return s.select(F.xxhash64("tick", "entity", "metric").alias("seq"), "us", "t", "entity", "metric", value.alias("value"))
+
+
+def events(telemetry: DataFrame) -> DataFrame:
+    """us, entity, kind, detail: what devices log when a value calls for it.
+
+    A short rekey interval and an adjacency flap write to the system log; many updates and a flap are
+    routing events; a first rise of the drift score is a change of policy.
+    """
+    t, m, v = telemetry, F.col("metric"), F.col("value")
+    log = t.where(((m == "tunnel_rekey_interval_s") & (v < 3000)) | ((m == "adj_flap_count") & (v >= 0.5)))
+    log = log.select("us", "entity", F.lit("SyslogEvent").alias("kind"), F.when(m == "adj_flap_count", "ADJCHANGE neighbor down").otherwise("IKE rekey early").alias("detail"))
+    route = t.where(((m == "bgp_update_rate") & (v > 30)) | ((m == "adj_flap_count") & (v >= 0.5)))
+    route = route.select("us", "entity", F.lit("RoutingEvent").alias("kind"), F.when(m == "adj_flap_count", "adjacency_down").otherwise("bgp_update").alias("detail"))
+    drift = t.where((m == "config_drift_score") & (v >= 0.3)).groupBy("entity").agg(F.min("us").alias("us")).select("us", "entity", F.lit("SyslogEvent").alias("kind"), F.lit("policy differs from the golden baseline").alias("detail"))
+    return log.unionByName(route).unionByName(drift)
+
+
+def flows(telemetry: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """us, device, flow, bytes, packets, vrf: every half minute a few flows of each PE, more when its links are busy."""
+    every = max(1, int(30 // cfg.step_s)) * cfg.step_s
+    util = telemetry.where((F.col("metric") == "if_util_pct") & F.col("entity").contains(":PE:") & (F.pmod(F.col("t"), F.lit(every)) == 0))
+    busy = util.groupBy("us", F.split_part("entity", F.lit(":"), F.lit(2)).alias("device")).agg(F.max("value").alias("util"))
+    n = busy.withColumn("flow", F.explode(F.sequence(F.lit(0), F.lit(1) + F.floor(F.col("util") / 25).cast("int"))))
+    size = F.pmod(F.xxhash64(F.lit(cfg.seed), "us", "device", "flow"), F.lit(900_000)) + 100_000
+    return n.select("us", "device", "flow", size.alias("bytes"), F.floor(size / 900).alias("packets"), F.when(F.col("flow") % 3 == 0, "OT").otherwise("CORP").alias("vrf"))
