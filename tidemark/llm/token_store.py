@@ -20,9 +20,12 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,46 +40,80 @@ MAGIC = b"TMK1"
 END_ID = 2
 BLOCKS = "part int, seq long, n_docs long, n_ids long, body binary"
 INDEX = "part int, seq long, within long, doc_id long, n_tokens long, ids_crc32 long"
-#: Code points below this are letters to every version of Unicode tables or not at all.
-SAFE = 0x250
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space that is neither a space nor a line end.
+ODD_SPACE = np.isin(np.arange(256), list(b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"))
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    Byte-level BPE works on each piece of the text that its splitting pattern makes, so the ids of
-    pieces seen before come from a bounded cache.  Texts with characters beyond SAFE or with a
-    special token's string go to the library as they are.
+    The byte-level splitting pattern never joins characters across the start of a single space or of
+    a single line end, so the chunks between them are encoded one by one, and ids of chunks seen
+    before come from a cache of two generations, each of at most ``most`` chunks.  Texts with other
+    runs of white space, with a special token's string or with characters of 4 bytes or of unusual
+    scripts go to the library as they are.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
-        import regex
+    def __init__(self, path: str, most: int = 200_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.split, self.most = Tokenizer.from_file(path), regex.compile(PRETOKEN).findall, most
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.code = "I" if self.wide else "H"
+        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_raw = array(self.code, [self.line]).tobytes()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, np.ndarray] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def plain(self, text: str) -> bool:
+    def chunks(self, text: str) -> list[str] | None:
+        """The chunks of a text, each with the space or line end before it; None where they can't be told apart."""
         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        return (not len(raw) or raw.max() < 0xC9) and not any(s in text for s in self.special)
+        if len(raw) and (raw.max() >= 0xC9 or ODD_SPACE[raw].any()) or any(s in text for s in self.special):
+            return None
+        out = text.replace("\n", " \n").split(" ")
+        return None if "" in out or "\n" in out or "\xa0" in text or "\x85" in text else out
+
+    def _learn(self, missing: set[str]) -> None:
+        unseen = []
+        for c in missing:
+            ids = self.old.get(c)
+            if ids is None:
+                unseen.append(c)
+            else:
+                self.new[c] = ids
+        if not unseen:
+            return
+        # All at once, with line ends between: a line end is one id, and no chunk holds another.
+        ids = np.array(self.tokenizer.encode("\n".join(c[1:] if c[0] == "\n" else " " + c for c in unseen), add_special_tokens=False).ids, self.code)
+        ends = np.append(np.flatnonzero(ids == self.line), len(ids)).tolist()
+        raw, width, at = ids.tobytes(), ids.itemsize, 0
+        for c, end in zip(unseen, ends):
+            body = raw[at * width : end * width]
+            self.new[c] = self.line_raw + body if c[0] == "\n" else body
+            at = end + 1
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.plain(text):
+        parts = self.chunks(text) if text else None
+        if parts is None:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces, known = self.split(text), self.known
-        if len(known) > self.most:
-            known.clear()
+        first = array(self.code, self.tokenizer.encode(parts[0], add_special_tokens=False).ids).tobytes()
+        rest = parts[1:]
         try:
-            ids = b"".join([known[p] for p in pieces])
+            ids = b"".join([self.new[c] for c in rest])
         except KeyError:
-            new = list({p for p in pieces if p not in known})
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[p] = np.array(e.ids, np.uint32).tobytes()
-            ids = b"".join([known[p] for p in pieces])
-        return np.frombuffer(ids, np.uint32)
+            if len(self.new) > self.most:
+                self.new, self.old = {}, self.new
+            self._learn({c for c in rest if c not in self.new})
+            ids = b"".join([self.new[c] for c in rest])
+        return np.frombuffer(first + ids, self.code).astype(np.uint32)
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that its cache serves all tasks there."""
+    return Encoder(path)
 
 
 def serialized(ids: np.ndarray, wide: bool) -> bytes:
@@ -134,11 +171,11 @@ def sample_ids(docs: DataFrame, path: str, n_docs: int = 500) -> list[bytes]:
     if not chosen:
         return []
     texts = docs.where(F.col("doc_id").isin(chosen)).select(F.coalesce(F.col("text"), F.lit("")).alias("text")).orderBy(F.xxhash64("text")).limit(2 * n_docs)
-    encoder = Encoder(path)
-    return [serialized(np.append(encoder.encode(r.text), END_ID), encoder.wide) for r in texts.toLocalIterator()]
+    e = encoder(path)
+    return [serialized(np.append(e.encode(r.text), END_ID), e.wide) for r in texts.toLocalIterator()]
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = END_ID, block_bytes: int = 4 << 20, parts: int | None = None) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = END_ID, block_bytes: int = 2 << 20, parts: int | None = None) -> None:
     """Encode all documents and store them below path, in ascending order of doc_id by (part, seq)."""
     spark = docs.sparkSession
     n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -150,17 +187,17 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = END_ID, b
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, held, size, seq = Encoder(tokenizer), [], 0, 0
+        e, held, size, seq = encoder(tokenizer), [], 0, 0
         compressor = zstandard.ZstdCompressor(level=3, dict_data=_loaded(shared.value), write_content_size=True)
         part = TaskContext.get().partitionId()
 
         def block() -> pa.RecordBatch:
-            body = pack(held, shared.value, compressor, encoder.wide)
+            body = pack(held, shared.value, compressor, e.wide)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([sum(len(x) for _, x in held)], pa.int64()), pa.array([body], pa.binary())], names=["part", "seq", "n_docs", "n_ids", "body"])
 
-        for b in batches:
+        for b in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.append(encoder.encode(text), np.uint32(end_id))
+                ids = np.append(e.encode(text), np.uint32(end_id))
                 held.append((doc_id, ids))
                 size += 4 * len(ids)
                 if size >= block_bytes:
