@@ -212,8 +212,8 @@ def rolling_normalizer(spark, sf_dir):
 def topk_streams(spark, sf_dir):
     """The ten most anomalous entities: when, and how much.  One streamed pass scores, one aggregation finds each peak."""
     t = telemetry(spark, sf_dir)
-    scored = keyed_fold(t, KEY, ORDER, lambda: Normalized(K.RobustZ(), K.Normalizer()), "z double, norm double, fired boolean")
-    peak = scored.join(t.select("seq", "v"), "seq").groupBy("k").agg(F.max_by(F.struct("us", "v", "z", "norm"), F.struct("norm", -F.col("seq"))).alias("p"))
+    scored = keyed_fold(t, KEY, [*ORDER, "v"], lambda: Normalized(K.RobustZ(), K.Normalizer()), "z double, norm double, fired boolean")
+    peak = scored.groupBy("k").agg(F.max_by(F.struct("us", "v", "z", "norm"), F.struct("norm", -F.col("seq"))).alias("p"))
     return peak.select("k", "p.us", "p.v", rounded(F.col("p.z"), 5).alias("z"), rounded(F.col("p.norm"), 5).alias("norm")).orderBy(F.desc("p.norm"), "k").limit(10)
 
 
