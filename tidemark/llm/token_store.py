@@ -63,6 +63,7 @@ class Encoder:
         self.code = "I" if self.wide else "H"
         (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_raw = array(self.code, [self.line]).tobytes()
+        self.marks = {m: array(self.code, self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ".,"}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -76,23 +77,35 @@ class Encoder:
         return None if "" in out or "\n" in out or "\xa0" in text or "\x85" in text else out
 
     def _learn(self, missing: set[str]) -> None:
-        unseen = []
+        new, old = self.new, self.old
+        unseen, ended = [], []
         for c in missing:
-            ids = self.old.get(c)
-            if ids is None:
-                unseen.append(c)
+            ids = old.get(c)
+            if ids is not None:
+                new[c] = ids
+            elif c[-1] in self.marks and c[-2:-1].isalpha():  # the pattern splits a letter from the mark after it
+                base = c[:-1]
+                ids = new.get(base) or old.get(base)
+                if ids is None:
+                    unseen.append(base)
+                    ended.append(c)
+                else:
+                    new[c] = ids + self.marks[c[-1]]
             else:
-                self.new[c] = ids
+                unseen.append(c)
         if not unseen:
             return
         # All at once, with line ends between: a line end is one id, and no chunk holds another.
-        ids = np.array(self.tokenizer.encode("\n".join(c[1:] if c[0] == "\n" else " " + c for c in unseen), add_special_tokens=False).ids, self.code)
+        joined = "\n".join([c[1:] if c[0] == "\n" else " " + c for c in unseen])
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.code)
         ends = np.append(np.flatnonzero(ids == self.line), len(ids)).tolist()
         raw, width, at = ids.tobytes(), ids.itemsize, 0
         for c, end in zip(unseen, ends):
             body = raw[at * width : end * width]
-            self.new[c] = self.line_raw + body if c[0] == "\n" else body
+            new[c] = self.line_raw + body if c[0] == "\n" else body
             at = end + 1
+        for c in ended:
+            new[c] = new[c[:-1]] + self.marks[c[-1]]
 
     def encode(self, text: str) -> np.ndarray:
         parts = self.chunks(text) if text else None
