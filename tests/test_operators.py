@@ -171,3 +171,33 @@ def test_cosine_refuses_unbounded_queries(spark):
     v = frame(spark, [(i, [1.0, float(i)]) for i in range(5)], "id long, e array<double>")
     with pytest.raises(ValueError):
         text.cosine_topk(v, v.withColumnRenamed("id", "q"), "id", "q", "e", 2, limit=3)
+
+
+def test_serving(spark):
+    from tidemark.operators import serving
+
+    inc = frame(spark, [("a", 0.8), ("c", 0.2)], "root string, risk double")
+    blast = frame(spark, [("a", "b"), ("a", "a"), ("c", "b")], "root string, node string")
+    nodes, edges = serving.coloured(inc, blast, frame(spark, [("a",), ("b",), ("z",)], "id string"), frame(spark, [("a", "b"), ("b", "a"), ("b", "z")], "source string, target string"))
+    assert {r.id: r.risk for r in nodes.collect()} == {"a": 0.8, "b": 0.4, "z": 0.0}
+    assert {(r.source, r.target): r.risk for r in edges.collect()} == {("a", "b"): 0.8, ("b", "z"): 0.4}
+    reached = frame(spark, [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("a", "d", 3)], "root string, id string, hops int")
+    assert [r.fact for r in serving.facts(reached).orderBy("hops").collect()] == ["a reaches b within 1 hop(s)", "a reaches c within 2 hop(s)"]
+    p = serving.prompt(frame(spark, [(1, "x", "", "q")], "id long, analytics string, documents string, question string")).first().prompt
+    assert p == "## analytics\nx\n\n## question\nq"
+    ev = frame(spark, [("s", True, 10.0, 0.5), ("t", False, None, 0.1)], "scenario string, detected boolean, lead_s double, peak double")
+    assert all(not r.all_detected for r in serving.summary(ev).collect())
+    risks = frame(spark, [("s:d:PE:e1", 5, 0.8), ("s:d:PE:e1", 6, 0.9), ("s:x:PE", 5, 0.1)], "entity string, us long, risk double")
+    got = serving.timeline(risks, "s:d:PE").orderBy("us").collect()
+    assert [(r.us, r.breach) for r in got] == [(5, True), (6, False)] and got[1].upper == 0.95
+    assert serving.timeline(risks, "q:q").count() == 0
+
+
+def test_retrieval_filters_after_the_pool(spark):
+    from tidemark.operators import serving
+
+    docs = frame(spark, [(i, t) for i, t in enumerate(["link pe1 saturated", "tunnel rekey early", "link down", "bgp flap on pe1", "nothing here"])], "id long, text string")
+    q = frame(spark, [(1, "pe1 link saturated")], "qid long, query string")
+    assert [r.id for r in serving.retrieve(docs, q, "id", "text", k=2).orderBy("rank").collect()][0] == 0
+    left = serving.retrieve(docs, q, "id", "text", k=3, allowed=docs.where("id > 0").select("id")).collect()
+    assert left and all(r.id > 0 for r in left) and max(r.score for r in left) == 1.0
