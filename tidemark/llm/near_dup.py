@@ -179,7 +179,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     common = F.size(F.array_intersect("x", "y"))
     n = F.size("x") + F.size("y")
     fits = (100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y")))
-    return pairs.join(a, "u").join(b, "v").where(fits & (100 * common >= percent * (n - common))).select("u", "v").distinct()
+    return pairs.join(a, "u").join(b, "v").where(fits & (100 * common >= percent * (n - common))).select("u", "v")
 
 
 def local_forests(edges: DataFrame, at_once: int = 400_000) -> DataFrame:
