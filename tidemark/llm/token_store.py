@@ -40,6 +40,8 @@ MAGIC = b"TMK1"
 END_ID = 2
 BLOCKS = "part int, seq long, n_docs long, n_ids long, body binary"
 INDEX = "part int, seq long, within long, doc_id long, n_tokens long, ids_crc32 long"
+#: Characters that follow a word; the splitting pattern puts a run of them into a piece of its own.
+MARKS = ".,;:!?*%&#$|)"
 #: White space that is neither a space nor a line end.
 ODD_SPACE = np.isin(np.arange(256), list(b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"))
 
@@ -63,7 +65,7 @@ class Encoder:
         self.code = "I" if self.wide else "H"
         (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_raw = array(self.code, [self.line]).tobytes()
-        self.marks = {m: array(self.code, self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ".,"}
+        self.known_marks: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -76,6 +78,14 @@ class Encoder:
         out = text.replace("\n", " \n").split(" ")
         return None if "" in out or "\n" in out or "\xa0" in text or "\x85" in text else out
 
+    def _marks(self, marks: str) -> bytes:
+        ids = self.known_marks.get(marks)
+        if ids is None:
+            if len(self.known_marks) > 10_000:
+                self.known_marks = {}
+            ids = self.known_marks[marks] = array(self.code, self.tokenizer.encode(marks, add_special_tokens=False).ids).tobytes()
+        return ids
+
     def _learn(self, missing: set[str]) -> None:
         new, old = self.new, self.old
         unseen, ended = [], []
@@ -83,14 +93,16 @@ class Encoder:
             ids = old.get(c)
             if ids is not None:
                 new[c] = ids
-            elif c[-1] in self.marks and c[-2:-1].isalpha():  # the pattern splits a letter from the mark after it
-                base = c[:-1]
+                continue
+            base = c.rstrip(MARKS)
+            if len(base) < len(c) and base[-1:].isalnum():  # the pattern splits a letter or digit from the marks after it
+                marks = self._marks(c[len(base) :])
                 ids = new.get(base) or old.get(base)
                 if ids is None:
                     unseen.append(base)
-                    ended.append(c)
+                    ended.append((c, base, marks))
                 else:
-                    new[c] = ids + self.marks[c[-1]]
+                    new[c] = ids + marks
             else:
                 unseen.append(c)
         if not unseen:
@@ -104,8 +116,8 @@ class Encoder:
             body = raw[at * width : end * width]
             new[c] = self.line_raw + body if c[0] == "\n" else body
             at = end + 1
-        for c in ended:
-            new[c] = new[c[:-1]] + self.marks[c[-1]]
+        for c, base, marks in ended:
+            new[c] = new[base] + marks
 
     def encode(self, text: str) -> np.ndarray:
         parts = self.chunks(text) if text else None
@@ -113,14 +125,15 @@ class Encoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         first = array(self.code, self.tokenizer.encode(parts[0], add_special_tokens=False).ids).tobytes()
         rest = parts[1:]
-        try:
-            ids = b"".join([self.new[c] for c in rest])
-        except KeyError:
-            if len(self.new) > self.most:
-                self.new, self.old = {}, self.new
-            self._learn({c for c in rest if c not in self.new})
-            ids = b"".join([self.new[c] for c in rest])
-        return np.frombuffer(first + ids, self.code).astype(np.uint32)
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+        found = list(map(self.new.get, rest))
+        if None in found:
+            gaps = [i for i, x in enumerate(found) if x is None]
+            self._learn({rest[i] for i in gaps})
+            for i in gaps:
+                found[i] = self.new[rest[i]]
+        return np.frombuffer(first + b"".join(found), self.code).astype(np.uint32)
 
 
 @functools.cache
