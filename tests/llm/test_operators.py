@@ -319,7 +319,7 @@ def test_decontamination_odd_and_empty(spark, sf):
 def test_encoder_is_the_library():
     e = token_store.Encoder(TOKENIZER, most=50)
     r = random.Random(3)
-    alphabet = ["a", "B", " ", "  ", "\n", "\n\n", " \n", "\n ", "'s", "é", "ß", "日本", "9", "½", "\t", "\r\n", "\xa0", "\x85", "...", "😀", "can't", "\x1c", "ǈ", "İ", "word", "other"]
+    alphabet = ["a", "B", " ", "  ", "\n", "\n\n", " \n", "\n ", "'s", "é", "ß", "日本", "9", "½", "\t", "\r\n", "\xa0", "\x85", "...", "😀", "can't", "\x1c", "ǈ", "İ", "word", "other", "***", "word,", "x!!", "9.", "%)"]
     for _ in range(3000):
         text = "".join(r.choices(alphabet, k=r.randint(0, 12)))
         assert e.encode(text).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
@@ -343,7 +343,7 @@ def test_one_document_alone_and_wrong_dictionary():
     ids = [np.arange(i, i + 50 + i, dtype=np.uint32) for i in range(20)]
     d = token_store.train_dictionary([token_store.serialized(x, False) for x in ids])
     c = zstandard.ZstdCompressor(dict_data=token_store._loaded(d))
-    body = token_store.pack(list(enumerate(ids)), d, c, False)
+    body = token_store.pack([(i, token_store.serialized(x, False)) for i, x in enumerate(ids)], d, c, False)
     block = token_store.Block(body, d)
     assert len(block) == 20 and all((block.ids(i) == ids[i]).all() for i in (19, 3, 0))
     with pytest.raises(ValueError):

@@ -41,7 +41,7 @@ END_ID = 2
 BLOCKS = "part int, seq long, n_docs long, n_ids long, body binary"
 INDEX = "part int, seq long, within long, doc_id long, n_tokens long, ids_crc32 long"
 #: Characters that follow a word; the splitting pattern puts a run of them into a piece of its own.
-MARKS = ".,;:!?*%&#$|)"
+MARKS = b".,;:!?*%&#$|)"
 #: White space that is neither a space nor a line end.
 ODD_SPACE = np.isin(np.arange(256), list(b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"))
 
@@ -63,30 +63,33 @@ class Encoder:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.code = "I" if self.wide else "H"
-        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line_raw = array(self.code, [self.line]).tobytes()
-        self.known_marks: dict[str, bytes] = {}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def chunks(self, text: str) -> list[str] | None:
-        """The chunks of a text, each with the space or line end before it; None where they can't be told apart."""
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        if len(raw) and (raw.max() >= 0xC9 or ODD_SPACE[raw].any()) or any(s in text for s in self.special):
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line_raw = self._ids("\n")
+        (self.line,) = np.frombuffer(self.line_raw, self.code)
+        self.known_marks: dict[bytes, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def chunks(self, raw: bytes) -> list[bytes] | None:
+        """The chunks of a text in UTF-8, each with the line end before it, if any; None where they can't be told apart."""
+        seen = np.frombuffer(raw, np.uint8)
+        if seen.max() >= 0xC9 or ODD_SPACE[seen].any() or b"\xc2\xa0" in raw or b"\xc2\x85" in raw or any(s in raw for s in self.special):
             return None
-        out = text.replace("\n", " \n").split(" ")
-        return None if "" in out or "\n" in out or "\xa0" in text or "\x85" in text else out
+        out = raw.replace(b"\n", b" \n").split(b" ")
+        return None if b"" in out or b"\n" in out else out
 
-    def _marks(self, marks: str) -> bytes:
+    def _marks(self, marks: bytes) -> bytes:
         ids = self.known_marks.get(marks)
         if ids is None:
             if len(self.known_marks) > 10_000:
                 self.known_marks = {}
-            ids = self.known_marks[marks] = array(self.code, self.tokenizer.encode(marks, add_special_tokens=False).ids).tobytes()
+            ids = self.known_marks[marks] = self._ids(marks.decode())
         return ids
 
-    def _learn(self, missing: set[str]) -> None:
+    def _learn(self, missing: set[bytes]) -> None:
         new, old = self.new, self.old
         unseen, ended = [], []
         for c in missing:
@@ -95,7 +98,7 @@ class Encoder:
                 new[c] = ids
                 continue
             base = c.rstrip(MARKS)
-            if len(base) < len(c) and base[-1:].isalnum():  # the pattern splits a letter or digit from the marks after it
+            if len(base) < len(c) and (base[-1:].isalnum() or base[-2:-1] == b"\xc3" and base[-2:].decode().isalpha()):  # the pattern splits a letter or digit from the marks after it
                 marks = self._marks(c[len(base) :])
                 ids = new.get(base) or old.get(base)
                 if ids is None:
@@ -108,22 +111,22 @@ class Encoder:
         if not unseen:
             return
         # All at once, with line ends between: a line end is one id, and no chunk holds another.
-        joined = "\n".join([c[1:] if c[0] == "\n" else " " + c for c in unseen])
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.code)
+        joined = b"\n".join([c[1:] if c[:1] == b"\n" else b" " + c for c in unseen])
+        ids = np.array(self.tokenizer.encode_batch_fast([joined.decode()], add_special_tokens=False)[0].ids, self.code)
         ends = np.append(np.flatnonzero(ids == self.line), len(ids)).tolist()
         raw, width, at = ids.tobytes(), ids.itemsize, 0
         for c, end in zip(unseen, ends):
             body = raw[at * width : end * width]
-            new[c] = self.line_raw + body if c[0] == "\n" else body
+            new[c] = self.line_raw + body if c[:1] == b"\n" else body
             at = end + 1
         for c, base, marks in ended:
             new[c] = new[base] + marks
 
-    def encode(self, text: str) -> np.ndarray:
-        parts = self.chunks(text) if text else None
+    def serialized(self, raw: bytes) -> bytes:
+        """The ids of a text in UTF-8, as little-endian integers of the width that the vocabulary needs."""
+        parts = self.chunks(raw) if raw else None
         if parts is None:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        first = array(self.code, self.tokenizer.encode(parts[0], add_special_tokens=False).ids).tobytes()
+            return self._ids(raw.decode("utf-8", "surrogatepass"))
         rest = parts[1:]
         if len(self.new) > self.most:
             self.new, self.old = {}, self.new
@@ -133,7 +136,10 @@ class Encoder:
             self._learn({rest[i] for i in gaps})
             for i in gaps:
                 found[i] = self.new[rest[i]]
-        return np.frombuffer(first + b"".join(found), self.code).astype(np.uint32)
+        return self._ids(parts[0].decode()) + b"".join(found)
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.serialized(text.encode("utf-8", "surrogatepass")), self.code).astype(np.uint32)
 
 
 @functools.cache
@@ -159,12 +165,13 @@ def _loaded(dictionary: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(dictionary)
 
 
-def pack(docs: list[tuple[int, np.ndarray]], dictionary: bytes, compressor: zstandard.ZstdCompressor, wide: bool) -> bytes:
-    frames = [compressor.compress(serialized(ids, wide)) for _, ids in docs]
+def pack(docs: list[tuple[int | None, bytes]], dictionary: bytes, compressor: zstandard.ZstdCompressor, wide: bool) -> bytes:
+    """A block of documents: doc_id and serialized ids each."""
+    frames = [compressor.compress(ids) for _, ids in docs]
     offsets = np.concatenate(([0], np.cumsum([len(f) for f in frames]))).astype("<u4")
     head = MAGIC + hashlib.sha256(dictionary).digest()[:16] + struct.pack("<IB", len(docs), wide)
     missing = np.iinfo(np.int64).min
-    return b"".join([head, np.array([missing if d is None else d for d, _ in docs], "<i8").tobytes(), np.array([len(x) for _, x in docs], "<u4").tobytes(), offsets.tobytes(), *frames])
+    return b"".join([head, np.array([missing if d is None else d for d, _ in docs], "<i8").tobytes(), np.array([len(x) >> (2 if wide else 1) for _, x in docs], "<u4").tobytes(), offsets.tobytes(), *frames])
 
 
 class Block:
@@ -198,14 +205,15 @@ def sample_ids(docs: DataFrame, path: str, n_docs: int = 500) -> list[bytes]:
         return []
     texts = docs.where(F.col("doc_id").isin(chosen)).select(F.coalesce(F.col("text"), F.lit("")).alias("text")).orderBy(F.xxhash64("text")).limit(2 * n_docs)
     e = encoder(path)
-    return [serialized(np.append(e.encode(r.text), END_ID), e.wide) for r in texts.toLocalIterator()]
+    end = serialized(np.array([END_ID]), e.wide)
+    return [e.serialized(r.text.encode("utf-8", "surrogatepass")) + end for r in texts.toLocalIterator()]
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = END_ID, block_bytes: int = 2 << 20, parts: int | None = None) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = END_ID, block_bytes: int = 1 << 20, parts: int | None = None) -> None:
     """Encode all documents and store them below path, in ascending order of doc_id by (part, seq)."""
     spark = docs.sparkSession
     n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     dictionary = train_dictionary(sample_ids(docs, tokenizer))
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), dictionary)], "hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(dictionary)  # 64 KB at most
@@ -214,18 +222,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = END_ID, b
         from pyspark import TaskContext
 
         e, held, size, seq = encoder(tokenizer), [], 0, 0
+        end, width = serialized(np.array([end_id]), e.wide), 4 if e.wide else 2
         compressor = zstandard.ZstdCompressor(level=3, dict_data=_loaded(shared.value), write_content_size=True)
         part = TaskContext.get().partitionId()
 
         def block() -> pa.RecordBatch:
             body = pack(held, shared.value, compressor, e.wide)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([sum(len(x) for _, x in held)], pa.int64()), pa.array([body], pa.binary())], names=["part", "seq", "n_docs", "n_ids", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([sum(len(x) for _, x in held) // width], pa.int64()), pa.array([body], pa.binary())], names=["part", "seq", "n_docs", "n_ids", "body"])
 
         for b in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.append(e.encode(text), np.uint32(end_id))
-                held.append((doc_id, ids))
-                size += 4 * len(ids)
+            for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held.append((doc_id, e.serialized(raw) + end))
+                size += len(held[-1][1])
                 if size >= block_bytes:
                     yield block()
                     held, size, seq = [], 0, seq + 1
