@@ -73,6 +73,11 @@ def test_fusion_agreement(spark):
     r = {x.k: x for x in fusion.fuse(frame(spark, one + many + none, cols), ["k"]).collect()}
     assert r["many"].agreement > r["one"].agreement and r["many"].risk > r["one"].risk > r["none"].risk == 0
     assert r["none"].confidence <= 0.1 and r["many"].n_methods == 4
+    six = [("six", f"m{i}", "deep", 0.9 if i == 5 else 0.1, False) for i in range(7)]
+    both = {x.k: x for x in fusion.fuse(frame(spark, one + six, cols), ["k"], many=True).collect()}
+    assert both["one"].risk == r["one"].risk and both["six"].fused > (0.9 + 6 * 0.1) / 7
+    hints = spark.range(1).select(fusion.issue_hint(F.lit("routing"), F.lit(0.5)).alias("a"), fusion.issue_hint(F.lit("deep"), F.lit(0.5)).alias("b"), fusion.issue_hint(F.lit("routing"), F.lit(0.0)).alias("c")).first()
+    assert tuple(hints) == ("bgp_route_flap", "none", "none")
 
 
 def test_risk_monotone(spark):

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import MAD_SCALE, clip, deviations, fold_sum, median, normal_cdf
+from tidemark.functions.kernels import extreme_scores
 
 # Weight of a detector family, and the issue that it hints at.
 FAMILY_PRIOR = {
     "forecast": 1.0, "forecast_residual": 1.1, "statistical": 0.9, "ml_unsupervised": 1.0, "deep": 1.0, "change_point": 1.1,
     "matrix_profile": 1.0, "graph": 1.0, "routing": 1.1, "survival": 1.0,
 }
+FAMILY_ISSUE = {"change_point": "latency_drift", "matrix_profile": "latency_drift", "routing": "bgp_route_flap", "forecast": "interface_congestion"}
 ELEVATED, BOOST = 0.6, 0.5
 
 
@@ -51,11 +53,28 @@ def extreme(norms: Column) -> Column:
     return F.transform(norms, lambda x: x >= F.greatest(cut, F.lit(ELEVATED * 0.5)))
 
 
-def fuse(scores: DataFrame, keys: list[str], *, forecast_agreement: Column | None = None, n_drift: Column | None = None) -> DataFrame:
+def extreme_of_many(norms: Column) -> Column:
+    """The same where a key has six scores or more: by a drift threshold, in an Arrow function."""
+    from pyspark.sql.types import ArrayType, BooleanType
+
+    @F.pandas_udf(ArrayType(BooleanType()))
+    def many(xs):
+        return xs.map(lambda x: extreme_scores(x) if len(x) >= 6 else [False] * len(x))
+
+    return F.when(F.size(norms) < 6, extreme(norms)).otherwise(many(norms))
+
+
+def issue_hint(family: Column, risk: Column) -> Column:
+    table = F.create_map(*(F.lit(x) for kv in FAMILY_ISSUE.items() for x in kv))
+    return F.when(risk > 0, F.coalesce(F.try_element_at(table, family), F.lit("none"))).otherwise("none")
+
+
+def fuse(scores: DataFrame, keys: list[str], *, many: bool = False, forecast_agreement: Column | None = None, n_drift: Column | None = None) -> DataFrame:
     """One row for each key: risk, confidence, agreement, n_methods, top_family.
 
     scores has method, family, norm (0 to 1) and fired.  A key has as many rows as there are detectors,
     so its scores are gathered into one array and the rest is arithmetic on it.
+    many: keys may have six scores or more, which are thresholded in Python.
     forecast_agreement and n_drift (columns of keys' rows, constant within a key) vote along.
     """
     extras = []
@@ -65,7 +84,7 @@ def fuse(scores: DataFrame, keys: list[str], *, forecast_agreement: Column | Non
         extras.append(F.max(n_drift).alias("nd"))
     row = F.struct("method", "family", clip(F.col("norm")).alias("norm"), F.col("fired"), prior(F.col("family")).alias("prior"))
     g = scores.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("s"), *extras)
-    g = g.withColumn("norms", F.transform("s", lambda x: x["norm"])).withColumn("extreme", extreme(F.col("norms")))
+    g = g.withColumn("norms", F.transform("s", lambda x: x["norm"])).withColumn("extreme", (extreme_of_many if many else extreme)(F.col("norms")))
     same = lambda f: F.size(F.filter("s", lambda y: y["family"] == f))
     weight = lambda x, e: x["prior"] / same(x["family"]) * F.when(e | x["fired"], 1 + BOOST).otherwise(1.0)
     g = g.withColumn("weights", F.zip_with("s", "extreme", weight))

@@ -11,7 +11,7 @@ from tidemark.functions.columns import clip
 from tidemark.functions.lineage import cut
 from tidemark.operators import forecast as FC
 from tidemark.operators import fusion, graph, risk
-from tidemark.operators.bank import tick_bank
+from tidemark.operators.bank import batch_bank, tick_bank
 from tidemark.operators.evaluate import evaluate
 from tidemark.operators.relational import map_to_node
 from tidemark.plans.registry import query
@@ -23,6 +23,7 @@ class Settings:
     timeline_floor: float = 0.20
     incident_floor: float = 0.40
     forecast_streams: int = 10
+    batch_streams: int = 12
     steps: int = 12
     step_s: float = 20.0
     alert: float = 0.30
@@ -47,7 +48,15 @@ def situation(telemetry: DataFrame, nodes: DataFrame, edges: DataFrame, labels:
     share = F.when(F.col("above"), F.max("v").over(Window.partitionBy(*key)) / F.col("threshold")).otherwise(F.col("threshold") / F.greatest(F.min("v").over(Window.partitionBy(*key)), F.lit(1e-9)))
     reach = watched.select(*key, "issue", "threshold", "above", share.alias("excursion")).groupBy(*key, "issue", "threshold", "above").agg(F.max("excursion").alias("excursion"))
     near = F.when(F.col("above"), F.col("excursion") >= 0.5).otherwise(F.col("excursion") >= 1 / 1.2)
-    peaks = cut(peak.join(reach, key).where(near & (F.col("risk") >= s.timeline_floor)))
+    screened = cut(peak.join(reach, key).where(near & (F.col("risk") >= s.timeline_floor)))
+
+    # The costly detectors look at the top streams once; at the peak their scores join those of the tick.
+    extra = batch_bank(watched, key, ["us", "seq"], screened.select(*key, F.col("us").alias("peak"), "risk"), streams=s.batch_streams)
+    at_peak = screened.select(*key, "us", "seq")
+    all_scores = extra.unionByName(scores).join(at_peak, [*key, "us", "seq"], "left_semi").where("norm is not null")
+    final = fusion.fuse(all_scores, key, many=True).select(*key, F.col("risk").alias("final_risk"), F.col("confidence").alias("final_confidence"), "n_methods")
+    peaks = screened.join(final, key, "left").withColumns({"risk": F.coalesce("final_risk", "risk"), "confidence": F.coalesce("final_confidence", "confidence")}).drop("final_risk", "final_confidence")
+    peaks = cut(peaks)
     best = peaks.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("risk"), *key))).where(F.col("rank") <= s.forecast_streams)
 
     history = watched.join(best.select(*key, F.col("us").alias("peak_us")), key).where("us <= peak_us").withColumn("stream", F.concat_ws("|", *key))
