@@ -157,12 +157,16 @@ def exact_quantiles(spark, sf_dir):
     return telemetry(spark, sf_dir).groupBy("metric").agg(rounded(F.percentile("v", F.lit(0.99))).alias("p99"), rounded(F.percentile("v", F.lit(0.5))).alias("p50"))
 
 
-@query()
+@query(
+    f"""WITH {T}, b AS (SELECT metric, ceil(ln(greatest(v, 1e-9)) / ln(1.01 / 0.99)) AS b, count(*) AS c FROM t GROUP BY 1, 2), r AS (SELECT *, sum(c) OVER (PARTITION BY metric ORDER BY b) AS upto, sum(c) OVER (PARTITION BY metric) AS n, 2 * pow(1.01 / 0.99, b) / (1.01 / 0.99 + 1) AS x FROM b)
+    SELECT metric, round(min(x) FILTER (upto > 0.5 * (n - 1)) + 3.1e-8, 5) + 0.0 AS p50, round(min(x) FILTER (upto > 0.99 * (n - 1)) + 3.1e-8, 5) + 0.0 AS p99 FROM r GROUP BY metric"""
+)
 def sketch_quantiles(spark, sf_dir):
     """Relative-error quantile sketch: counts per logarithmic bucket, mergeable by addition."""
     from tidemark.operators.sketches import log_quantiles
 
-    return log_quantiles(telemetry(spark, sf_dir), "metric", "v", [0.5, 0.99])
+    q = log_quantiles(telemetry(spark, sf_dir), "metric", "v", [0.5, 0.99])
+    return q.select("metric", rounded(F.col("p50"), 5).alias("p50"), rounded(F.col("p99"), 5).alias("p99"))
 
 
 @query()

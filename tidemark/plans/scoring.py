@@ -229,7 +229,14 @@ def pick_tti(spark, sf_dir):
     return c.groupBy("k").agg(F.coalesce(soonest, F.max_by("h", "confidence")).alias("h"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {DAILY}, i0 AS (SELECT k, avg(v) FILTER (i <= 7) AS m1, avg(v) FILTER (i BETWEEN 8 AND 14) AS m2, list(v ORDER BY i) FILTER (i <= 7) AS head, max(n) AS n FROM g GROUP BY k),
+    z AS (SELECT k, n, 0 AS i, m1 AS level, (m2 - m1) / 7 AS slope, list_transform(head, lambda x: x - m1) AS sea FROM i0),
+    f AS (SELECT k, n, i, level, slope, sea FROM z UNION ALL
+        SELECT f.k, f.n, f.i + 1, a.level, 0.1 * (a.level - f.level) + 0.9 * f.slope, list_transform(f.sea, lambda x, j: CASE WHEN j = f.i % 7 + 1 THEN 0.1 * (g.v - a.level) + 0.9 * x ELSE x END)
+        FROM f JOIN g ON g.k = f.k AND g.i = f.i + 1 CROSS JOIN LATERAL (SELECT 0.3 * (g.v - f.sea[f.i % 7 + 1]) + 0.7 * (f.level + f.slope) AS level) a)
+    SELECT k, CAST(h AS INT) AS h, {r6('level + h * slope + sea[(h - 1) % 7 + 1]', 'predicted', 5)} FROM f, range(1, 13) x(h) WHERE i = n AND n >= 14"""
+)
 def holt_winters(spark, sf_dir):
     """Seasonal forecast, seven points a season."""
     from tidemark.operators.fold import keyed_fold
@@ -238,7 +245,8 @@ def holt_winters(spark, sf_dir):
     f = keyed_fold(d, ["k"], ["day"], lambda: FC.WintersState(7), "level double, slope double, seasonal array<double>")
     last = f.groupBy("k").agg(F.max_by(F.struct("level", "slope", "seasonal"), "day").alias("s"), F.count("*").alias("n")).select("k", "s.*", "n")
     h = F.explode(F.sequence(F.lit(1), F.lit(12))).alias("h")
-    return last.select("*", h).select("k", "h", (F.col("level") + F.col("h") * F.col("slope") + F.coalesce(F.get("seasonal", ((F.col("h") - 1) % 7).cast("int")), F.lit(0.0))).alias("predicted"))
+    last = last.where(F.size("seasonal") > 0)
+    return last.select("*", h).select("k", "h", rounded(F.col("level") + F.col("h") * F.col("slope") + F.coalesce(F.get("seasonal", ((F.col("h") - 1) % 7).cast("int")), F.lit(0.0)), 5).alias("predicted"))
 
 
 @query()

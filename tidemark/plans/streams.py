@@ -60,6 +60,8 @@ def streaming_alerts(spark, sf_dir):
     return _drained(S.alerts(f), "alerts").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {T}, w AS (SELECT CAST(floor(us / 36e8) AS BIGINT) * 3600000000 AS start_us, metric, count(*) AS n, sum(v) AS total FROM t GROUP BY 1, 2) SELECT start_us, metric, n, round(total + 3.1e-7, 4) + 0.0 AS total FROM w WHERE start_us + 3600000000 <= (SELECT max(us) - 120000000 FROM t)")
 def streaming_windows(spark, sf_dir):
-    return _drained(S.windowed_rates(_events(spark, sf_dir), ["metric"], "ts", "v", width="1 hour"), "windows").select(F.col("window.start").alias("start"), "metric", "n", "total")
+    """Hourly sums, emitted once the watermark, two minutes behind the latest event, has passed."""
+    out = _drained(S.windowed_rates(_events(spark, sf_dir), ["metric"], "ts", "v", width="1 hour"), "windows")
+    return out.select(F.unix_micros("window.start").alias("start_us"), "metric", "n", (F.round(F.col("total") + 3.1e-7, 4) + 0.0).alias("total"))
