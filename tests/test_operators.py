@@ -206,3 +206,9 @@ def test_retrieval_filters_after_the_pool(spark):
     assert [r.id for r in serving.retrieve(docs, q, "id", "text", k=2).orderBy("rank").collect()][0] == 0
     left = serving.retrieve(docs, q, "id", "text", k=3, allowed=docs.where("id > 0").select("id")).collect()
     assert left and all(r.id > 0 for r in left) and max(r.score for r in left) == 1.0
+
+
+def test_approximate_quantiles_bound_memory(spark):
+    df = spark.range(5000).select(F.lit("a").alias("k"), (F.rand(1) * 10).alias("v"))
+    exact, near = (fusion.robust_standard(df, ["k"], "v", accuracy=a).agg(F.avg("z"), F.max("z")).first() for a in (None, 1000))
+    assert tuple(near) == pytest.approx(tuple(exact), abs=0.02)

@@ -62,3 +62,12 @@ def normal_cdf(z: Column) -> Column:
         poly = F.lit(c) + t * poly
     tail = 0.5 * t * F.exp(-x * x + poly)
     return F.when(z >= 0, 1 - tail).otherwise(tail)
+
+
+def quantile(x: Column | str, q: float, accuracy: int | None = None) -> Column:
+    """Aggregate: the quantile of a group, linear between values.
+
+    Exact, it keeps a count of each distinct value of the group.  For groups whose values may not fit
+    into memory give ``accuracy``: the rank is then off by one part in so many, in bounded memory.
+    """
+    return F.percentile(x, F.lit(q)) if accuracy is None else F.percentile_approx(x, q, accuracy).cast("double")

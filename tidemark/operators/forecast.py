@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import MAD_SCALE, clip
+from tidemark.functions.columns import MAD_SCALE, clip, quantile
 from tidemark.operators.fold import keyed_fold
 
 # Fixed value: half width of the band in standard deviations.
@@ -80,10 +80,10 @@ class WintersState:
         return self.level, self.slope, list(self.seasonal)
 
 
-def residual_sigma(residuals: DataFrame, key: str, residual: str, value: str) -> DataFrame:
+def residual_sigma(residuals: DataFrame, key: str, residual: str, value: str, *, accuracy: int | None = None) -> DataFrame:
     """key, sigma: scaled MAD of residuals, else their standard deviation, at least a thousandth of the median magnitude."""
-    a = residuals.groupBy(key).agg(F.percentile(residual, F.lit(0.5)).alias("c"), F.stddev_pop(residual).alias("sd"), F.percentile(F.abs(F.col(value)), F.lit(0.5)).alias("size"))
-    b = residuals.join(a.select(key, "c"), key).groupBy(key).agg((F.percentile(F.abs(F.col(residual) - F.col("c")), F.lit(0.5)) * MAD_SCALE).alias("mad"))
+    a = residuals.groupBy(key).agg(quantile(residual, 0.5, accuracy).alias("c"), F.stddev_pop(residual).alias("sd"), quantile(F.abs(F.col(value)), 0.5, accuracy).alias("size"))
+    b = residuals.join(a.select(key, "c"), key).groupBy(key).agg((quantile(F.abs(F.col(residual) - F.col("c")), 0.5, accuracy) * MAD_SCALE).alias("mad"))
     floor = F.greatest(F.lit(1e-9), 0.001 * F.when(F.col("size") > 0, F.col("size")).otherwise(1.0))
     return a.join(b, key).select(key, F.greatest(F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.coalesce("sd", F.lit(0.0))), floor).alias("sigma"))
 

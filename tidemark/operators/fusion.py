@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import MAD_SCALE, clip, deviations, fold_sum, median, normal_cdf
+from tidemark.functions.columns import MAD_SCALE, clip, deviations, fold_sum, median, normal_cdf, quantile
 from tidemark.functions.kernels import extreme_scores
 
 # Weight of a detector family, and the issue that it hints at.
@@ -32,11 +32,14 @@ def rank(w_ordered: Window) -> Column:
     return F.cume_dist().over(w_ordered)
 
 
-def robust_standard(df: DataFrame, keys: list[str], value: str, name: str = "z") -> DataFrame:
-    """df with name: distance from the key's median in scaled MADs, 0 where they are all alike.  Two aggregations, no frame is gathered."""
-    centre = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("__centre"))
+def robust_standard(df: DataFrame, keys: list[str], value: str, name: str = "z", *, accuracy: int | None = None) -> DataFrame:
+    """df with name: distance from the key's median in scaled MADs, 0 where they are all alike.
+
+    Two aggregations, no frame is gathered; accuracy bounds the memory of large groups.
+    """
+    centre = df.groupBy(*keys).agg(quantile(value, 0.5, accuracy).alias("__centre"))
     with_centre = df.join(centre, keys)
-    scale = with_centre.groupBy(*keys).agg((F.percentile(F.abs(F.col(value) - F.col("__centre")), F.lit(0.5)) * MAD_SCALE).alias("__scale"))
+    scale = with_centre.groupBy(*keys).agg((quantile(F.abs(F.col(value) - F.col("__centre")), 0.5, accuracy) * MAD_SCALE).alias("__scale"))
     z = F.when(F.col("__scale") < 1e-12, 0.0).otherwise((F.col(value) - F.col("__centre")) / F.col("__scale"))
     return with_centre.join(scale, keys).withColumn(name, z).drop("__centre", "__scale")
 
@@ -108,9 +111,9 @@ def fuse(scores: DataFrame, keys: list[str], *, many: bool = False, forecast_agr
     return g.select(*keys, "risk", clip(conf).alias("confidence"), "agreement", "fused", F.size("s").cast("long").alias("n_methods"), top.alias("top_family"))
 
 
-def pot_threshold(df: DataFrame, key: str, value: str, *, q: float = 0.001, start: float = 0.95) -> DataFrame:
+def pot_threshold(df: DataFrame, key: str, value: str, *, q: float = 0.001, start: float = 0.95, accuracy: int | None = None) -> DataFrame:
     """key, base, shape, scale, level: peaks over threshold by the method of moments, in aggregations alone."""
-    base = df.groupBy(key).agg(F.percentile(value, F.lit(start)).alias("base"), F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.max(value).alias("top"))
+    base = df.groupBy(key).agg(quantile(value, start, accuracy).alias("base"), F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.max(value).alias("top"))
     over = df.join(base.select(key, "base"), key).where(F.col(value) > F.col("base")).withColumn("e", F.col(value) - F.col("base"))
     tail = over.groupBy(key).agg(F.count("*").alias("nt"), F.avg("e").alias("m"), F.var_samp("e").alias("v"))
     ratio = F.col("m") * F.col("m") / F.col("v")
