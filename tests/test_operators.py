@@ -172,10 +172,12 @@ def test_text_tools(spark):
     assert g[1].cited == ["a"] and g[1].dropped == ["b"] and g[2].abstains and g[2].conf == 0.2
 
 
-def test_cosine_refuses_unbounded_queries(spark):
-    v = frame(spark, [(i, [1.0, float(i)]) for i in range(5)], "id long, e array<double>")
-    with pytest.raises(ValueError):
-        text.cosine_topk(v, v.withColumnRenamed("id", "q"), "id", "q", "e", 2, limit=3)
+def test_cosine_in_blocks(spark):
+    r = np.random.default_rng(0)
+    v = frame(spark, [(i, [float(x) for x in r.normal(size=6)]) for i in range(60)], "id long, e array<double>")
+    q = v.where("id % 5 = 0").select(F.col("id").alias("q"), "e")
+    whole, dealt = (sorted(map(tuple, text.cosine_topk(v, q, "id", "q", "e", 4, block=b).collect())) for b in (100, 3))
+    assert whole == dealt and len(whole) == 48 and all(i == q for q, i, _, n in whole if n == 1)
 
 
 def test_serving(spark):
