@@ -249,10 +249,11 @@ def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
 def _unsettled(members: DataFrame) -> DataFrame:
     """The members of buckets that hold more than one component, with n, the bucket's size.
 
-    One join by bucket, with nothing else by bucket in its stage, so Spark can split a large bucket.
+    The sizes are written first, so that the join by bucket has nothing else by bucket in its stage and
+    Spark can split a large bucket.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "n")
-    return members.drop("n").join(sizes, "bucket")
+    return members.drop("n").join(written(sizes, "sizes"), "bucket")
 
 
 def _with_hub(members: DataFrame, second: bool = False) -> DataFrame:
@@ -266,7 +267,8 @@ def _with_hub(members: DataFrame, second: bool = False) -> DataFrame:
     else:
         old = members.groupBy("bucket").agg(F.max(rank).alias("old"))
         hubs = members.join(old, "bucket").where(F.col("comp") != F.col("old.comp")).groupBy("bucket").agg(F.max(rank).alias("hub"))
-    return members.join(hubs, "bucket").where(F.col("comp") != F.col("hub.comp")).select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct()
+    # Written for the same reason as sizes.
+    return members.join(written(hubs, "hubs"), "bucket").where(F.col("comp") != F.col("hub.comp")).select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct()
 
 
 def _in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
