@@ -150,9 +150,15 @@ def isotonic(spark, sf_dir):
 DAILY = "d AS (SELECT l_suppkey AS k, CAST(epoch(l_shipdate) / 86400 AS BIGINT) AS day, sum(l_quantity) AS v FROM lineitem WHERE l_suppkey < 50 GROUP BY 1, 2), g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY day) AS i, count(*) OVER (PARTITION BY k) AS n FROM d)"
 
 
-def daily(spark, sf_dir):
-    """Quantity shipped a day by some suppliers."""
-    li = table(spark, sf_dir, "lineitem").where("l_suppkey < 50")
+def shipped(spark, sf_dir, every: bool):
+    """Rows of lineitem: of every supplier, or of those that the SQL takes."""
+    li = table(spark, sf_dir, "lineitem")
+    return li if every else li.where("l_suppkey < 50")
+
+
+def daily(spark, sf_dir, every: bool = False):
+    """Quantity shipped a day by a supplier."""
+    li = shipped(spark, sf_dir, every)
     return li.groupBy(F.col("l_suppkey").alias("k"), F.floor(micros("l_shipdate") / 86_400_000_000).alias("day")).agg(F.sum("l_quantity").alias("v"))
 
 
@@ -161,8 +167,8 @@ def daily(spark, sf_dir):
     SELECT g.k, g.i, 0.4 * g.v + 0.6 * (level + coalesce(slope, g.v - level)), 0.2 * (0.4 * g.v + 0.6 * (level + coalesce(slope, g.v - level)) - level) + 0.8 * coalesce(slope, g.v - level) FROM f JOIN g ON g.k = f.k AND g.i = f.i + 1)
     SELECT f.k, CAST(h AS INT) AS h, {r6('level + slope * h', 'predicted', 5)} FROM f JOIN (SELECT k, max(i) AS i FROM g GROUP BY k) l ON f.k = l.k AND f.i = l.i, range(1, 13) x(h)"""
 )
-def holt_forecast(spark, sf_dir):
-    return FC.holt(daily(spark, sf_dir), "k", ["day"], "v", 12).select("k", "h", rounded(F.col("predicted"), 5).alias("predicted"))
+def holt_forecast(spark, sf_dir, every: bool = False):
+    return FC.holt(daily(spark, sf_dir, every), "k", ["day"], "v", 12).select("k", "h", rounded(F.col("predicted"), 5).alias("predicted"))
 
 
 @query(
@@ -170,21 +176,21 @@ def holt_forecast(spark, sf_dir):
     f AS (SELECT k, i, x AS m FROM t WHERE i = 1 UNION ALL SELECT t.k, t.i, 0.5 * t.x + 0.5 * m FROM f JOIN t ON t.k = f.k AND t.i = f.i + 1)
     SELECT l.k, CAST(h AS INT) AS h, {r6('0.5 * (a + b * (n - 1 + h)) + 0.5 * m', 'predicted', 5)} FROM l JOIN f ON f.k = l.k AND f.i = l.n, range(1, 13) x(h)"""
 )
-def theta_forecast(spark, sf_dir):
-    return FC.theta(daily(spark, sf_dir), "k", ["day"], "v", 12).select("k", "h", rounded(F.col("predicted"), 5).alias("predicted"))
+def theta_forecast(spark, sf_dir, every: bool = False):
+    return FC.theta(daily(spark, sf_dir, every), "k", ["day"], "v", 12).select("k", "h", rounded(F.col("predicted"), 5).alias("predicted"))
 
 
 @query(
     f"""WITH {DAILY}, p AS (SELECT k, v AS y, lag(v) OVER (PARTITION BY k ORDER BY day) AS x FROM d), c AS (SELECT k, least(0.999, greatest(-0.999, covar_pop(x, y) / var_pop(x))) AS phi, avg(x) AS mx, avg(y) AS my FROM p WHERE x IS NOT NULL GROUP BY k), l AS (SELECT k, arg_max(v, day) AS z FROM d GROUP BY k)
     SELECT c.k, CAST(h AS INT) AS h, {r6('(my - phi * mx) * (1 - pow(phi, h)) / (1 - phi) + pow(phi, h) * z', 'predicted', 5)} FROM c JOIN l USING (k), range(1, 13) x(h)"""
 )
-def ar1_forecast(spark, sf_dir):
-    return FC.ar1(daily(spark, sf_dir), "k", ["day"], "v", 12).select("k", "h", rounded(F.col("predicted"), 5).alias("predicted"))
+def ar1_forecast(spark, sf_dir, every: bool = False):
+    return FC.ar1(daily(spark, sf_dir, every), "k", ["day"], "v", 12).select("k", "h", rounded(F.col("predicted"), 5).alias("predicted"))
 
 
 @query(f"WITH {DAILY} SELECT k, {r6('regr_slope(v, i - 1)', 'slope')}, {r6('regr_intercept(v, i - 1)', 'intercept', 5)} FROM g GROUP BY k")
-def ols_trend(spark, sf_dir):
-    t = FC._trend(daily(spark, sf_dir), "k", ["day"], "v").select("k", "slope", "intercept").distinct()
+def ols_trend(spark, sf_dir, every: bool = False):
+    t = FC._trend(daily(spark, sf_dir, every), "k", ["day"], "v").select("k", "slope", "intercept").distinct()
     return t.select("k", rounded(F.col("slope")).alias("slope"), rounded(F.col("intercept"), 5).alias("intercept"))
 
 
@@ -192,15 +198,15 @@ MEMBERS = "m AS (SELECT l_suppkey AS k, CAST(1 + l_linenumber % 7 AS INT) AS h,
 POOL = f"{MEMBERS}, p AS (SELECT k, h, 0.5 * avg(predicted) + 0.5 * median(predicted) AS predicted, min(lower) AS lo, max(upper) AS hi, stddev_pop(predicted) AS sd FROM m GROUP BY k, h), a AS (SELECT k, least(1, greatest(0, 1 - avg(sd) / greatest(avg(abs(predicted)), 1e-9))) AS agreement FROM p GROUP BY k), e AS (SELECT k, h, predicted, least(lo, predicted - sd) AS lower, greatest(hi, predicted + sd) AS upper, agreement FROM p JOIN a USING (k))"
 
 
-def members(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_suppkey < 50")
+def members(spark, sf_dir, every: bool = False):
+    li = shipped(spark, sf_dir, every)
     q = F.avg("l_quantity")
     return li.groupBy(F.col("l_suppkey").alias("k"), (1 + F.col("l_linenumber") % 7).cast("int").alias("h"), (F.col("l_orderkey") % 3).cast("string").alias("method")).agg(q.alias("predicted"), (q - 5).alias("lower"), (q + 5).alias("upper"))
 
 
 @query(f"WITH {POOL} SELECT k, h, {r6('predicted', 'predicted')}, {r6('lower', 'lower')}, {r6('upper', 'upper')}, {r6('agreement', 'agreement')} FROM e")
-def ensemble_pool(spark, sf_dir):
-    out = FC.ensemble(members(spark, sf_dir), ["k"])
+def ensemble_pool(spark, sf_dir, every: bool = False):
+    out = FC.ensemble(members(spark, sf_dir, every), ["k"])
     return out.select("k", "h", *(rounded(F.col(c)).alias(c) for c in ("predicted", "lower", "upper", "agreement")))
 
 
@@ -209,21 +215,21 @@ def ensemble_pool(spark, sf_dir):
     c AS (SELECT k, h, CASE WHEN predicted >= 27 THEN (h - 1 + CASE WHEN predicted = b THEN 1 ELSE least(1, greatest(0, (27 - b) / (predicted - b))) END) * 20 END AS t FROM l)
     SELECT k, round(arg_min(t, h) FILTER (t IS NOT NULL) + 3.1e-8, 5) + 0.0 AS eta FROM c GROUP BY k"""
 )
-def tti_crossing(spark, sf_dir):
+def tti_crossing(spark, sf_dir, every: bool = False):
     """When the pooled trajectory first reaches 27, from 20 now."""
-    pool = FC.ensemble(members(spark, sf_dir), ["k"]).withColumn("now", F.lit(20.0))
+    pool = FC.ensemble(members(spark, sf_dir, every), ["k"]).withColumn("now", F.lit(20.0))
     return FC.crossing(pool, ["k"], "now", F.lit(27.0), seconds=20.0).select("k", rounded(F.col("eta"), 5).alias("eta"))
 
 
 @query(f"WITH {DAILY}, w AS (SELECT k, v, i FROM g WHERE i > n - 30), s AS (SELECT a.k, (b.v - a.v) / (b.i - a.i) AS s FROM w a JOIN w b ON a.k = b.k AND a.i < b.i) SELECT k, {r6('median(s)', 'slope')} FROM s GROUP BY k")
-def theil_sen(spark, sf_dir):
-    return FC.theil_sen(daily(spark, sf_dir), "k", ["day"], "v").select("k", rounded(F.col("slope")).alias("slope"))
+def theil_sen(spark, sf_dir, every: bool = False):
+    return FC.theil_sen(daily(spark, sf_dir, every), "k", ["day"], "v").select("k", rounded(F.col("slope")).alias("slope"))
 
 
 @query(f"WITH {POOL}, c AS (SELECT k, h, CASE WHEN predicted > 26 THEN predicted END AS eta, agreement * h / 8 AS confidence FROM e) SELECT k, coalesce(arg_min(h, {{'a': eta, 'b': -confidence}}) FILTER (eta IS NOT NULL), arg_max(h, confidence)) AS h FROM c GROUP BY k")
-def pick_tti(spark, sf_dir):
+def pick_tti(spark, sf_dir, every: bool = False):
     """The soonest impact of several estimates; without any, the most confident."""
-    pool = FC.ensemble(members(spark, sf_dir), ["k"])
+    pool = FC.ensemble(members(spark, sf_dir, every), ["k"])
     c = pool.select("k", "h", F.when(F.col("predicted") > 26, F.col("predicted")).alias("eta"), (F.col("agreement") * F.col("h") / 8).alias("confidence"))
     soonest = F.min_by("h", F.when(F.col("eta").isNotNull(), F.struct("eta", -F.col("confidence"))))
     return c.groupBy("k").agg(F.coalesce(soonest, F.max_by("h", "confidence")).alias("h"))
@@ -237,11 +243,11 @@ def pick_tti(spark, sf_dir):
         FROM f JOIN g ON g.k = f.k AND g.i = f.i + 1 CROSS JOIN LATERAL (SELECT 0.3 * (g.v - f.sea[f.i % 7 + 1]) + 0.7 * (f.level + f.slope) AS level) a)
     SELECT k, CAST(h AS INT) AS h, {r6('level + h * slope + sea[(h - 1) % 7 + 1]', 'predicted', 5)} FROM f, range(1, 13) x(h) WHERE i = n AND n >= 14"""
 )
-def holt_winters(spark, sf_dir):
+def holt_winters(spark, sf_dir, every: bool = False):
     """Seasonal forecast, seven points a season."""
     from tidemark.operators.fold import keyed_fold
 
-    d = daily(spark, sf_dir)
+    d = daily(spark, sf_dir, every)
     f = keyed_fold(d, ["k"], ["day"], lambda: FC.WintersState(7), "level double, slope double, seasonal array<double>")
     last = f.groupBy("k").agg(F.max_by(F.struct("level", "slope", "seasonal"), "day").alias("s"), F.count("*").alias("n")).select("k", "s.*", "n")
     h = F.explode(F.sequence(F.lit(1), F.lit(12))).alias("h")
@@ -251,4 +257,18 @@ def holt_winters(spark, sf_dir):
 
 @query()
 def backtest(spark, sf_dir):
-    return FC.backtest_mase(daily(spark, sf_dir), "k", ["day"], "v", FC.theta)
+    return FC.backtest_mase(daily(spark, sf_dir, every=True), "k", ["day"], "v", FC.theta)
+
+
+def _every(f):
+    """Registers f over every supplier; the SQL of f itself has those below 50 only."""
+
+    def run(spark, sf_dir):
+        return f(spark, sf_dir, every=True)
+
+    run.__name__ = f"{f.__name__}_all"
+    return query()(run)
+
+
+for _f in (holt_forecast, theta_forecast, ar1_forecast, ols_trend, theil_sen, holt_winters, ensemble_pool, tti_crossing, pick_tti):
+    _every(_f)
