@@ -29,3 +29,30 @@ def test_every_supplier_is_forecast(spark, sf, far, name):
 def test_backtest_takes_every_supplier(spark, sf, far):
     near, moved = ({r.k: r.mase for r in RUNS["backtest"](spark, d).collect()} for d in (sf, far))
     assert near and {k + 1000: pytest.approx(v) for k, v in near.items()} == moved
+
+
+@pytest.mark.parametrize("name", ["hbos", "copod", "isolation_forest", "lof", "pca_reconstruction"])
+def test_every_user_is_scored(spark, sf, tmp_path, name):
+    """Users from 1000 on get the scores of their likes below."""
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("user_id", F.col("user_id") % 5)
+    scores = []
+    for up in (0, 1000):
+        e.withColumn("user_id", F.col("user_id") + up).write.parquet(f"{tmp_path}/{up}/events.parquet")
+        scores.append({(r.k - up, r.seq): (r.score, r.fired) for r in RUNS[f"rolling_{name}"](spark, f"{tmp_path}/{up}").collect()})
+    assert len(scores[0]) == e.count() and scores[0] == scores[1]
+
+
+def test_boosted_forecast_takes_whole_series(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from tidemark.functions.models import boosted_forecast
+
+    n = 260
+    rows = [(k, datetime(2020, 1, 1) + timedelta(days=i), float((i * 7 + k) % 13 + (60 if i < 40 else 0))) for k in (3, 1003) for i in range(n)]
+    spark.createDataFrame(rows, "l_suppkey long, l_shipdate timestamp, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.k, r.h): (r.predicted, r.lower, r.upper) for r in RUNS["boosted_forecast"](spark, str(tmp_path)).collect()}
+    import numpy as np
+
+    for k in (3, 1003):
+        want = boosted_forecast(np.array([r[2] for r in rows if r[0] == k]), 6)
+        assert [got[k, h] for h in range(1, 7)] == [pytest.approx(x) for x in zip(*want)]

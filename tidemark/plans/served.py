@@ -74,8 +74,7 @@ def _method(name):
         from tidemark.functions.models import Rolling
         from tidemark.operators.fold import keyed_fold
 
-        t = telemetry(spark, sf_dir).where("k < 20")
-        return keyed_fold(t, ["k"], ["us", "seq"], lambda: Rolling(name), "score double, fired boolean")
+        return keyed_fold(telemetry(spark, sf_dir), ["k"], ["us", "seq"], lambda: Rolling(name), "score double, fired boolean")
 
     run.__name__ = f"rolling_{name}"
     return query()(run)
@@ -103,21 +102,18 @@ def matrix_profile(spark, sf_dir):
 
 @query()
 def boosted_forecast(spark, sf_dir):
-    """Gradient-boosted lags per series: the last 200 points of a series are one task's array."""
+    """Gradient-boosted lags per series: a whole series, a point a day, is one task's array."""
     from tidemark.functions.models import boosted_forecast as model
     from tidemark.plans.scoring import daily
 
     import numpy as np
     import pandas as pd
 
-    w = Window.partitionBy("k").orderBy(F.desc("day"))
-    tail = daily(spark, sf_dir).where("k < 10").withColumn("n", F.row_number().over(w)).where("n <= 200")
-
     def each(g: pd.DataFrame) -> pd.DataFrame:
         p, lo, hi = model(g.sort_values("day").v.to_numpy(float), 6)
         return pd.DataFrame({"k": g.k.iloc[0], "h": np.arange(1, 7), "predicted": p, "lower": lo, "upper": hi})
 
-    return tail.groupBy("k").applyInPandas(each, "k long, h int, predicted double, lower double, upper double")
+    return daily(spark, sf_dir, every=True).groupBy("k").applyInPandas(each, "k long, h int, predicted double, lower double, upper double")
 
 
 @query()
