@@ -118,14 +118,13 @@ def boosted_forecast(spark, sf_dir):
 
 @query()
 def survival(spark, sf_dir):
-    """Cox model of the time between a user's events, by the value before: its sufficient sums come from a bounded sample of 5000 intervals."""
-    from tidemark.functions.models import cox_fit
-
-    import numpy as np
+    """Cox model of the time between a user's events, by the value before, over all intervals; the last of a user is open. Intervals without a value are left out."""
+    from tidemark.operators.risk import cox_proportional
 
     t = telemetry(spark, sf_dir)
     w = Window.partitionBy("k").orderBy("us", "seq")
-    gaps = t.select("seq", "v", ((F.lead("us").over(w) - F.col("us")) / 3.6e9).alias("hours")).orderBy(F.xxhash64("seq")).limit(5000).toPandas()
-    x, seen = gaps[["v"]].to_numpy(float) / 100, gaps.hours.notna().to_numpy()
-    beta, times, hazard = cox_fit(x, gaps.hours.fillna(gaps.hours.max() if seen.any() else 1.0).to_numpy(float), seen)
-    return spark.createDataFrame([(float(beta[0]), int(np.sum(seen)), float(hazard[-1]))], "beta double, n_events long, hazard double")
+    gaps = t.select((F.col("v") / 100).alias("x"), (F.lead("us").over(w) - F.col("us")).alias("gap")).where("x is not null and not isnan(x)")
+    # An open interval is as long as the longest.
+    longest = gaps.agg(F.coalesce(F.max("gap"), F.lit(0))).first()[0]
+    gaps = gaps.select("x", F.coalesce("gap", F.lit(longest)).alias("gap"), F.col("gap").isNotNull().alias("seen"))
+    return spark.createDataFrame([cox_proportional(gaps, "x", "gap", "seen")], "beta double, n_events long, hazard double")
