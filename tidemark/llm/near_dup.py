@@ -16,10 +16,15 @@
 
 With 24 bands of 4, a pair of similarity 0.8 shares no band with a probability of 3 in a million.
 
-Defined results: a null or wordless text has an empty set and is linked with nothing; a row without
-doc_id has no component and is kept; rows that share doc_id and text share the result; rows that
-share a doc_id but not the text are judged by their own text each; an empty table gives an empty
-result; other columns are ignored.
+A class is a node, and nodes are numbered in the order of their smallest doc_id, so the smallest node
+of a component has its smallest doc_id.
+
+Defined results: a null or wordless text has an empty set and is linked with nothing; very long texts
+are taken whole; a row without doc_id is linked by its text, has its component's smallest doc_id or, if
+none has one, no component, and is kept only in such a component's first class; rows that share doc_id
+and text share the result; rows that share a doc_id but not the text are judged by their own text each;
+an empty table gives an empty result.  Other columns are ignored by ``group`` and carried along by
+``keep_one``, whatever their names; ``keep_one`` leaves one of rows that are equal in doc_id and text.
 """
 
 from __future__ import annotations
@@ -30,14 +35,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import first_of, identity, packed, unpacked, written
 
 BANDS, ROWS = 24, 4
 M = BANDS * ROWS
-BLOCK = 256
+#: Most members of a block, and about the most shingles that they have together.
+BLOCK, BLOCK_ITEMS = 256, 2_000_000
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -120,17 +126,21 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+KEY = ["key_a", "key_b", "n_shingles"]
+
+
+def _columns() -> tuple:
+    return F.col("doc_id").cast("long"), F.col("text").cast("string")
 
 
 def features(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, class hashes key_a and key_b, bands."""
+    """h1 and h2 (identity of doc_id and text), doc_id, n_shingles, class hashes key_a and key_b, bands."""
+    doc_id, text = _columns()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(k)
 
-        def out(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        def out(head: list[pa.Array], sets: list[np.ndarray]) -> pa.RecordBatch:
             sizes = np.array([len(s) for s in sets], np.int64)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             owner = np.repeat(np.arange(len(sets)), sizes)
@@ -141,36 +151,39 @@ def features(docs: DataFrame, k: int) -> DataFrame:
             with np.errstate(over="ignore"):
                 a = [int(mixed(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                 b = [int(np.bitwise_xor.reduce(mixed(s ^ _GOLD)).view(np.int64)) if len(s) else 0 for s in sets]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists], names=["doc_id", "n_shingles", "key_a", "key_b", "bands"])
+            return pa.RecordBatch.from_arrays([*head, pa.array(sizes), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists], names=["h1", "h2", "doc_id", "n_shingles", "key_a", "key_b", "bands"])
 
         for batch in batches:
-            ids, sets, size = [], [], 0
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(i)
+            lo, sets, size = 0, [], 0
+            for i, text in enumerate(batch.column(3).to_pylist()):
                 sets.append(shingles.of(text))
                 size += len(sets[-1])
-                if size > 200_000:
-                    yield out(ids, sets)
-                    ids, sets, size = [], [], 0
-            if ids:
-                yield out(ids, sets)
+                if size > 200_000 or i == batch.num_rows - 1:
+                    yield out([batch.column(c).slice(lo, len(sets)) for c in range(3)], sets)
+                    lo, sets, size = i + 1, [], 0
 
-    return _narrow(docs).mapInArrow(each, "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>")
+    narrow = docs.select(*identity(doc_id, text), doc_id.alias("doc_id"), text.alias("text"))
+    return narrow.mapInArrow(each, "h1 long, h2 long, doc_id long, n_shingles long, key_a long, key_b long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """node, items (the full sets) of the documents in ids."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int, at_once: int = 1_000_000) -> DataFrame:
+    """node, items (the full sets) of the rows whose h1 and h2 are in nodes (h1, h2, node)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(k)
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                some = b.slice(lo, 500)
-                sets = [shingles.of(t).view(np.int64) for t in some.column(1).to_pylist()]
-                offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["node", "items"])
+            lo, sets, size = 0, [], 0
+            for i, text in enumerate(b.column(1).to_pylist()):
+                sets.append(shingles.of(text).view(np.int64))
+                size += len(sets[-1])
+                if size > at_once or i == b.num_rows - 1:
+                    offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(sets)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["node", "items"])
+                    lo, sets, size = i + 1, [], 0
 
-    return _narrow(docs).join(ids, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(each, "node long, items array<long>")
+    doc_id, text = _columns()
+    once = first_of(docs.select(*identity(doc_id, text), text.alias("text")), ["h1", "h2"])
+    return once.join(nodes, ["h1", "h2"]).select("node", "text").mapInArrow(each, "node long, items array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -231,7 +244,8 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = tuple(state)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that the join has nothing else by u in its stage and Spark can split a node with many neighbours.
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
@@ -247,13 +261,13 @@ def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def _unsettled(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one component, with n, the bucket's size.
+    """The members of buckets that hold more than one component, with n members and ``items`` shingles of the bucket.
 
     The sizes are written first, so that the join by bucket has nothing else by bucket in its stage and
     Spark can split a large bucket.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "n")
-    return members.drop("n").join(written(sizes, "sizes"), "bucket")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("items"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "n", "items")
+    return members.drop("n", "items").join(written(sizes, "sizes"), "bucket")
 
 
 def _with_hub(members: DataFrame, second: bool = False) -> DataFrame:
@@ -262,18 +276,17 @@ def _with_hub(members: DataFrame, second: bool = False) -> DataFrame:
     second: the hub is the first outside the component of the one that was first.
     """
     rank = F.struct(F.col("weight"), (-F.col("node")).alias("less"), "node", "comp")
-    if not second:
-        hubs = members.groupBy("bucket").agg(F.max(rank).alias("hub"))
-    else:
-        old = members.groupBy("bucket").agg(F.max(rank).alias("old"))
-        hubs = members.join(old, "bucket").where(F.col("comp") != F.col("old.comp")).groupBy("bucket").agg(F.max(rank).alias("hub"))
-    # Written for the same reason as sizes.
+    hubs = members.groupBy("bucket").agg(F.max(rank).alias("hub"))
+    if second:
+        # Maxima are written for the same reason as sizes.
+        first = written(hubs, "hubs").select("bucket", F.col("hub.comp").alias("of"))
+        hubs = members.join(first, "bucket").where("comp <> of").groupBy("bucket").agg(F.max(rank).alias("hub"))
     return members.join(written(hubs, "hubs"), "bucket").where(F.col("comp") != F.col("hub.comp")).select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct()
 
 
 def _in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components within buckets (n members), by comparing all pairs in blocks of about BLOCK members."""
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    """Links between components within buckets, by comparing all pairs in blocks of bounded numbers of members and of shingles."""
+    n_blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int")
     mine = members.select("bucket", "node", "comp", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("node", "bucket"), n_blocks).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     dealt = mine.select("bucket", "node", "comp", "block", other.alias("other")).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp")
@@ -301,23 +314,21 @@ def _in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.join(sets, "node").groupBy("bucket", "i", "j").applyInPandas(each, "u long, v long")
 
 
-def group(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
-    """A row for each row of docs: doc_id, n_shingles, component_id, kept.
-
-    Texts are linked whose sets of k-word shingles have a similarity of percent or more.
-    """
+def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """features(); classes (KEY, doc_id, h1, h2 of their first row, node); components (node, component)."""
     feats = written(features(docs, k), "shingles")
-    key = ["key_a", "key_b", "n_shingles"]
-    some = feats.where("doc_id is not null and n_shingles > 0")
-    classes = written(some.groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
-    postings = classes.select(F.explode("bands").alias("bucket"), "node")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")).alias("first")
+    by = feats.where("n_shingles > 0").groupBy(*KEY).agg(first, F.first("bands").alias("bands"))
+    # Numbers rise with the sort, whose ranges Spark deals to partitions in order.
+    classes = written(by.orderBy("first").select(*KEY, "first.doc_id", "first.h1", "first.h2", "bands", F.monotonically_increasing_id().alias("node")), "classes")
+    postings = classes.select(F.explode("bands").alias("bucket"), "node", "n_shingles")
     shared = postings.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who")).where("n > 1")
     # Buckets of the same members say the same; one of them stays, with the weight of all.
     buckets = shared.groupBy("n", "who").agg(F.min("bucket").alias("bucket"), F.count("*").alias("times"))
-    members = written(postings.join(buckets, "bucket").select("bucket", "node", "n", "times").distinct(), "buckets")
+    members = written(postings.join(buckets, "bucket").select("bucket", "node", "n_shingles", "n", "times").distinct(), "buckets")
     weights = members.groupBy("node").agg(F.sum(F.col("n") * F.col("times")).alias("weight"))
-    members = members.select("bucket", "node").join(weights, "node")
-    nodes = members.select("node").distinct()
+    members = members.select("bucket", "node", "n_shingles").join(weights, "node")
+    nodes = classes.select("h1", "h2", "node").join(members.select("node").distinct(), "node", "left_semi")
     sets = written(shingle_sets(docs, nodes, k), "sets")
 
     members = _labelled(members, None)
@@ -328,23 +339,37 @@ def group(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     # A bucket of two has had its only pair compared.
     many = written(_unsettled(_labelled(members.drop("comp"), links)).where("n > 2"), "unsettled")
     links = written(links.unionByName(_in_blocks(many, sets, percent)), "links")
+    return feats, classes.drop("bands"), components(links)
+
 
-    comps = components(links).withColumnRenamed("node", "of")
-    labelled = classes.select(*key, "node").join(comps, F.col("node") == F.col("of"), "left").select(*key, F.coalesce("component", "node").alias("group_id"))
-    out = feats.select("doc_id", *key).join(labelled, key, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("group_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+def group(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
+    """A row for each row of docs: doc_id, n_shingles, component_id, kept.
+
+    Texts are linked whose sets of k-word shingles have a similarity of percent or more.
+    """
+    feats, classes, comps = _grouped(docs, k, percent)
+    roots = classes.select(F.col("node").alias("component"), F.col("doc_id").alias("root_id"))
+    linked = comps.join(roots, "component").select("node", "root_id", F.lit(False).alias("is_root"))
+    by_class = classes.join(linked, "node", "left").select(*KEY, F.coalesce("is_root", F.lit(True)).alias("is_root"), F.when(F.col("is_root").isNull(), F.col("doc_id")).otherwise(F.col("root_id")).alias("group_id"))
+    out = feats.select("doc_id", *KEY).join(by_class, KEY, "left")
+    own = F.col("n_shingles") == 0
+    component = F.when(own, F.col("doc_id")).otherwise(F.col("group_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "is_root")
+    kept = F.when(F.col("component_id").isNull(), own | F.col("is_root")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.withColumn("kept", kept).drop("is_root")
 
 
 def keep_one(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group, in the columns docs came in: that of the smallest doc_id.
 
-    Of rows that share it, the one with the smallest hash of its text stays.  Rows without doc_id stay.
+    Of rows of one group that share it, the one with the smallest hash of its text stays.  Texts without
+    words are groups of their own.
     """
-    kept = group(docs, k=k, percent=percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    best = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = docs.join(kept, "doc_id", "left_semi").withColumn("__rank", F.row_number().over(best)).where("__rank = 1")
-    return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    feats, classes, comps = _grouped(docs, k, percent)
+    roots = classes.join(comps.select("node"), "node", "left_anti").select("h1", "h2")
+    # Written, so that nothing else by h1 and h2 shares the stage of the join.
+    stay = written(roots.unionByName(feats.where("n_shingles = 0").select("h1", "h2").distinct()), "stay")
+    return unpacked(first_of(packed(docs, *identity(*_columns())), ["h1", "h2"]).join(stay, ["h1", "h2"], "left_semi"))
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
