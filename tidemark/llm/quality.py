@@ -6,11 +6,16 @@ references are the mean histograms of all documents of a language that pass the
 base rules (kept as integer parts per million, so that sums do not depend on the
 order of addition).  A document is rejected when the Jensen-Shannon distance of
 its histogram from the reference exceeds a limit, unless it is too short for the
-histogram to mean anything (``min_words``, ``min_common``).
-
-Defined results: a null text counts as empty and fails the base rules; a null
-language is a language of its own; a null doc_id is carried along; repeated rows
-each get a row; an empty table gives an empty result; other columns are ignored.
+histogram to mean anything (``min_words``, ``min_common``).  The distance of a
+short text's common words from their reference is mostly chance; the limit for
+them has a term for it that falls with the number of words.
+
+Defined results: a null text counts as empty and fails the base rules, as does an
+empty one; a text of any length is measured whole, one at a time; a null language
+is a language of its own; a null doc_id is carried along and its row judged like
+any other; repeated rows each get a row and the same verdict; an empty table gives
+an empty result.  Other columns are ignored by ``score`` and carried along by
+``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, written
+from tidemark.llm.common import SPACE, identity, packed, unpacked, written
 
 # Frequent function words.
 COMMON = {
@@ -37,10 +42,13 @@ WORDS = sorted({w for ws in COMMON.values() for w in ws.split()})
 CLASSES = ("lower_or_digit", "upper", "quote", "space", "stop", "symbol", "other", "beyond_ascii")
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: Expected Jensen-Shannon divergence in bits, times the number of words, of a sample from its own reference:
+#: a language has some 24 bins with any weight, and the divergence is chi-square by 8 n ln 2.
+CHANCE = 4.328
 
 SCHEMA = (
-    "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, n_common long, class_ppm array<int>, word_ppm array<int>"
+    "h1 long, h2 long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "n_repeat_words long, class_ppm array<int>, word_ppm array<int>"
 )
 
 
@@ -95,7 +103,7 @@ def measure(text: str | None, bins: dict[bytes, int] = BINS) -> tuple:
             hist[i] += n
             common += n
     hist[-1] = len(words) - common
-    return (len(words), len(text) - int(classes[3]), int(classes[5]), duplicate_lines(text), repeated_words(words), common, classes, hist)
+    return (len(words), len(text) - int(classes[3]), int(classes[5]), duplicate_lines(text), repeated_words(words), classes, hist)
 
 
 def _lists(hists: list[np.ndarray], width: int) -> pa.Array:
@@ -107,16 +115,23 @@ def _lists(hists: list[np.ndarray], width: int) -> pa.Array:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [measure(t) for t in b.column(1).to_pylist()]
+        rows = [measure(t) for t in b.column(3).to_pylist()]
         long = lambda k: pa.array([r[k] for r in rows], pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(2), *map(long, range(6)), _lists([r[6] for r in rows], 8), _lists([r[7] for r in rows], len(WORDS) + 1)],
-            names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_common", "class_ppm", "word_ppm"],
+            [b.column(0), b.column(1), b.column(2), b.column(4), *map(long, range(5)), _lists([r[5] for r in rows], 8), _lists([r[6] for r in rows], len(WORDS) + 1)],
+            names=[x.split()[0] for x in SCHEMA.split(", ")],
         )
 
 
+def _judged_by() -> list[Column]:
+    """What a verdict depends on besides the doc_id."""
+    return [F.col("text").cast("string"), F.col("lang").cast("string")]
+
+
 def features(docs: DataFrame) -> DataFrame:
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    """A row for each document: h1 and h2 (its identity), doc_id, lang, base figures, both histograms, base_failed."""
+    doc_id, (text, lang) = F.col("doc_id").cast("long"), _judged_by()
+    narrow = docs.select(*identity(doc_id, text, lang), doc_id.alias("doc_id"), text.alias("text"), lang.alias("lang"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return narrow.mapInArrow(_features, SCHEMA).withColumn("base_failed", failed)
 
@@ -157,14 +172,16 @@ def _distances(feats: DataFrame, refs: DataFrame) -> DataFrame:
     return joined.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in by.items()}).drop("ref_lang", "class_ref", "word_ref")
 
 
-def score(docs: DataFrame, *, max_class: float = 0.145, max_word: float = 0.55, min_words: int = MIN_WORDS, min_common: int = 20) -> DataFrame:
-    """A row for each document: base figures, both distances, ``base_failed`` and ``kept``.
+def judged(docs: DataFrame, *, max_class: float = 0.145, max_word: float = 0.3, min_words: int = MIN_WORDS, min_common: int = 80) -> DataFrame:
+    """features() with both distances and kept.
 
     max_class, max_word: largest distances of a document that stays.  The references are taken
     twice, the second time from the half of a language's documents that is nearest the first, so that
     junk does not shift them.  min_words: shorter documents are not judged by character classes.
-    min_common: nor by common words, when they hold fewer words than this.  A language without
-    reference (none of its documents passes the base rules) rejects nothing beyond the base rules.
+    min_common: nor by common words, when they hold fewer words than this.  max_word lies below the
+    distance of a text without any common word (0.39) and is widened by what chance adds to that of
+    a text of so many words.  A language without reference (none of its documents passes the base
+    rules) rejects nothing beyond the base rules.
     """
     feats = written(features(docs), "quality")
     first = _distances(feats, references(feats)).withColumn("bin", F.floor(1000 * F.col("class_distance")))
@@ -172,21 +189,28 @@ def score(docs: DataFrame, *, max_class: float = 0.145, max_word: float = 0.55,
     half = first.where(~F.col("base_failed")).groupBy("lang").agg(F.percentile("bin", F.lit(0.5)).alias("half")).withColumnRenamed("lang", "half_lang")
     near = first.join(half, F.col("lang").eqNullSafe(F.col("half_lang"))).where(F.col("bin") <= F.col("half"))
     out = _distances(feats, references(near))
-    far = ((F.col("n_words") >= min_words) & (F.col("class_distance") > max_class)) | ((F.col("n_words") >= min_common) & (F.col("word_distance") > max_word))
-    return out.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", (~F.col("base_failed") & ~far).alias("kept"))
+    n, words = F.col("n_words"), F.col("word_distance")
+    far = ((n >= min_words) & (F.col("class_distance") > max_class)) | ((n >= min_common) & (words * words > max_word * max_word + CHANCE / F.greatest(n, F.lit(1))))
+    return out.withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def score(docs: DataFrame, **limits) -> DataFrame:
+    """A row for each document: base figures, both distances, ``base_failed`` and ``kept``."""
+    return judged(docs, **limits).select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The rows of documents that pass, in the columns they came in.
 
-    Documents are told apart by doc_id: where rows share one, a row stays if any of them is kept.
-    Rows without doc_id cannot be joined to a verdict and are dropped.
+    A row finds its verdict by doc_id, text and language, so rows that share a doc_id are judged each
+    by its own text, and rows without one like the others.
     """
-    good = score(docs, **limits).where("kept").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+    # Written, so that the join below has nothing else by its key in its stage.
+    good = written(judged(docs, **limits).where("kept").select("h1", "h2").distinct(), "good")
+    return unpacked(packed(docs, *identity(F.col("doc_id").cast("long"), *_judged_by())).join(good, ["h1", "h2"], "left_semi"))
 
 
-def oracle(max_class: float = 0.145, max_word: float = 0.55) -> str:
+def oracle(max_class: float = 0.145, max_word: float = 0.3, min_common: int = 80) -> str:
     """The result of score() in SQL, distances rounded to six digits."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     count = lambda keep: f"length(regexp_replace(t, '[^{keep}]', '', 'g'))"
@@ -233,5 +257,5 @@ def oracle(max_class: float = 0.145, max_word: float = 0.55) -> str:
     {refs('r2', 'g2')},
     {distances('d2', 'r2')}
     SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, round(coalesce(cd, 0) + 3.1e-9, 6) AS class_distance, round(coalesce(wd, 0) + 3.1e-9, 6) AS word_distance, base_failed,
-           NOT base_failed AND NOT ((n_words >= {MIN_WORDS} AND coalesce(cd, 0) > {max_class}) OR (n_words >= 20 AND coalesce(wd, 0) > {max_word})) AS kept
+           NOT base_failed AND NOT ((n_words >= {MIN_WORDS} AND coalesce(cd, 0) > {max_class}) OR (n_words >= {min_common} AND coalesce(wd, 0) * coalesce(wd, 0) > {max_word * max_word} + {CHANCE} / n_words)) AS kept
     FROM f LEFT JOIN d2 ON d2.doc_id = f.doc_id"""
