@@ -4,8 +4,9 @@ Two bigram models over classes of characters, one of random strings and one of o
 identifiers, are trained from labelled samples.  A long unbroken token is reported as ``markov``
 when the ratio of its likelihoods speaks for the random model, in sum and per character.
 
-Defined results: a null text counts as empty; repeated rows each get a row; an empty table gives
-an empty result; other columns are ignored.  The digest of no spans is that of the empty string.
+Defined results: a null text counts as empty; very long texts are scanned whole, one at a time; a null
+doc_id is carried along; repeated rows each get a row; an empty table gives an empty result; other
+columns are ignored, whatever their names.  The digest of no spans is that of the empty string.
 """
 
 from __future__ import annotations
@@ -118,10 +119,22 @@ def scan(text: str | None, table: np.ndarray, least_sum: float = 12.0, least_mea
     """Base spans and all spans of one whole text.  A markov span that touches a base span is left out."""
     text = text or ""
     base = sorted(base_spans(text), key=lambda s: (s[0], KINDS.index(s[2])))
-    more = [s for s in markov_spans(text, table, least_sum, least_mean) if not any(s[0] < e and b < s[1] for b, e, _ in base)]
+    more = untouched(markov_spans(text, table, least_sum, least_mean), base)
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def untouched(spans: list[tuple[int, int, str]], by: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans that overlap none of by; both are in the order of their starts, and one pass goes over them."""
+    out, i, reach = [], 0, -1
+    for span in spans:
+        while i < len(by) and by[i][0] < span[1]:
+            reach = max(reach, by[i][1])
+            i += 1
+        if reach <= span[0]:
+            out.append(span)
+    return out
+
+
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
