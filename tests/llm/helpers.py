@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, size string, shard string, key string"
+#: Beside the columns of documents, ones named like results, like what the operators use inside, and oddly.
+CLASHING = "kept size shard key slot law h1 h2 row first_of lang_ node bucket comp component group_id __key __rank __size __bucket __row a.b c`d".split()
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in CLASHING)
 
 
 def rows(*texts, first: int = 0, lang="en", source="s"):
-    return [(first + i, t, lang, source, len(t or ""), "x", "y", "z", "k") for i, t in enumerate(texts)]
+    return [(first + i, t, lang, source, len(t or ""), *CLASHING) for i, t in enumerate(texts)]
 
 
 def odd_docs(spark, texts=()):
-    """Nulls in every column, empty and long texts, repeated rows, and columns whose names clash with results."""
+    """Nulls in every column, empty and long texts, repeated rows, shared ids of different texts, and columns whose names clash."""
     long = "the quick brown fox and the lazy dog of it in that is " * 4000
-    out = rows(*texts, "", " \t\n ", long, "the same text of some words in it", "the same text of some words in it", None, "x", "naïve café ÉTÉ 日本   end")
-    out += [out[0], out[3], (None, "no id", None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None), (99, "a null source", None, None, None, None, None, None, None)]
+    out = rows(*texts, "", " \t\n ", long, "the same text of some words in it", "the same text of some words in it", None, "x", "naïve café ÉTÉ 日本   end")
+    nulls = (None,) * (2 + len(CLASHING))
+    out += [out[0], out[3], (None, "no id", None, None, *nulls[1:]), (None, None, None, None, *nulls[1:]), (None, "no id", "en", "s", *nulls[1:]), (99, "a null source", None, None, *nulls[1:])]
+    out += rows("one text of a shared id, with words enough", first=99) + rows("one text of a shared id, with words enough", first=100) + rows("another text that stands alone under its id", first=100)
     return spark.createDataFrame(out, DOCS)
 
 
@@ -21,6 +25,18 @@ def empty_docs(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def brute_one_of_each(pairs, percent, k):
+    """Of (doc_id, text), the rows that stay: of each component of texts that of the smallest id (null last); wordless texts are alone."""
+    texts = sorted({t for _, t in pairs if shingle_set(t, k)})
+    comps = brute_components(list(enumerate(texts)), percent, k)
+    first = {}
+    for i, t in pairs:
+        if shingle_set(t, k):
+            c = comps[texts.index(t)]
+            first[c] = min(first.get(c, (True, 0)), (i is None, i or 0))
+    return sorted([*first.values(), *{(i is None, i or 0, t) for i, t in pairs if not shingle_set(t, k)}], key=str)
+
+
 def shingle_set(text, k):
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
