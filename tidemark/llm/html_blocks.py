@@ -6,18 +6,24 @@ bidirectional LSTM in numpy reads the sequence in both directions, so each block
 context of the whole page, and labels it main text or not.  The network is trained here, on pages
 made by a seeded generator, when it is first needed (a few seconds); its size is fixed.
 
-Defined results: a null html counts as empty and gives an empty text; repeated rows each get a row;
-an empty table gives an empty result; other columns are ignored; unclosed elements, comments and
-scripts end with the page.
+Markup is read in one pass whose time is proportional to the page, however broken it is.  A page with
+more than LONG blocks is read by the network in stretches, so memory holds one stretch beside the text.
+
+Defined results: a null html counts as empty and gives an empty text; very long pages are taken whole;
+repeated rows each get a row; a null page_id or url is carried along; an empty table gives an empty
+result; other columns are ignored, whatever their names; unclosed elements, comments and scripts end
+with the page; a ``<`` that begins no markup is text.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,15 +37,21 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CLOSED_BY_BLOCK = frozenset({"p"})
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|title|textarea|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>",
-    re.S | re.I,
-)
+#: Elements whose content is no text of the page.
+RAW = frozenset("script style noscript template svg iframe object title textarea select".split())
+#: A tag with nothing odd in it; possessive, and it ends at the next < at the latest.
+TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>""")
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+MARKS = re.compile("[>\"']")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
 
 PATH_DIM, WORD_DIM, FIGURES = 128, 32, 6
 DIM = PATH_DIM + WORD_DIM + FIGURES
+#: Elements of a path that a block's vector tells of: the outermost and the innermost.
+OUTER, INNER = 8, 24
+#: Blocks that the network reads at once.
+LONG = 4096
 
 
 class Leaf:
@@ -49,14 +61,70 @@ class Leaf:
         self.path, self.text, self.linked = path, text, linked
 
 
+class Scanner:
+    """Pieces of markup of a page in order: (start, end, closing, tag, attributes), tag None for comments and the like."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in ">\"'"}
+        self.marks: list[int] | None = None
+        self.hopeless: set[int] = set()
+
+    def quoted_end(self, at: int) -> int:
+        """Where the > is that ends a tag, outside quotes, or -1.  A place once found to lead nowhere is not followed again."""
+        if self.marks is None:
+            self.marks = [m.start() for m in MARKS.finditer(self.page)]
+        way = []
+        while at not in self.hopeless:
+            way.append(at)
+            i = bisect.bisect_left(self.marks, at)
+            if i == len(self.marks):
+                break
+            at = self.marks[i]
+            mark = self.page[at]
+            if mark == ">":
+                return at
+            if at >= self.last[mark]:
+                break
+            at = self.page.find(mark, at + 1) + 1
+        self.hopeless.update(way)
+        return -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str | None, str]]:
+        page, at, n = self.page, self.page.find("<"), len(self.page)
+        while at >= 0:
+            end, closing, tag, attributes = 0, False, None, ""
+            if m := TAG.match(page, at):
+                end, closing, tag, attributes = m.end(), bool(m[1]), m[2].lower(), m[3]
+            elif page.startswith("<!--", at):
+                end = page.find("-->", at + 4) + 3 if page.find("-->", at + 4) >= 0 else n
+            elif page[at + 1 : at + 2] in ("!", "?"):
+                end = page.find(">", at) + 1 or n
+            elif at < self.last[">"] and (m := NAME.match(page, at)):
+                stop = self.quoted_end(m.end())
+                stop = stop if stop >= 0 else page.find(">", m.end())
+                end, closing, tag, attributes = stop + 1, bool(m[1]), m[2].lower(), page[m.end() : stop]
+            if end:
+                if tag in RAW and not closing:
+                    m = _ends(tag).search(page, end)
+                    end, tag = m.end() if m else n, None
+                yield at, end, closing, tag, attributes
+            at = page.find("<", end or at + 1)
+
+
+@functools.cache
+def _ends(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*+>", re.I)
+
+
 def leaves(page: str | None) -> list[Leaf]:
     """The text blocks of a page in order: references decoded, white space within a block made one."""
     page = page or ""
     stack: list[tuple[str, str]] = []
+    opened: Counter[str] = Counter()
     out: list[Leaf] = []
     parts: list[str] = []
     at: tuple[str, ...] = ()
-    linked = links = 0
+    linked = last = 0
 
     def flush() -> None:
         nonlocal parts, linked
@@ -66,37 +134,36 @@ def leaves(page: str | None) -> list[Leaf]:
                 out.append(Leaf(at, text, linked))
             parts, linked = [], 0
 
+    def take(raw: str) -> None:
+        nonlocal at, linked
+        text = html.unescape(raw) if "&" in raw else raw
+        if text and (parts or not text.isspace()):
+            if not parts:
+                ends = stack if len(stack) <= OUTER + INNER else stack[:OUTER] + stack[-INNER:]
+                at = tuple(label for _, label in ends)
+            parts.append(text)
+            linked += len(text) if opened["a"] else 0
+
     def close_to(i: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[i:])
+        opened.subtract(t for t, _ in stack[i:])
         del stack[i:]
 
-    last = 0
-    for m in MARKUP.finditer(page):
-        if m.start() > last:
-            raw = page[last : m.start()]
-            text = html.unescape(raw) if "&" in raw else raw
-            if text and (parts or not text.isspace()):
-                if not parts:
-                    at = tuple(label for _, label in stack)
-                parts.append(text)
-                linked += len(text) if links else 0
-        last = m.end()
-        if m[3] is None:
+    for start, end, closing, tag, attributes in Scanner(page):
+        if start > last:
+            take(page[last:start])
+        last = end
+        if tag is None:
             continue
-        tag = m[3].lower()
         block = tag not in INLINE
         if block:
             flush()
         elif tag == "br" and parts:
             parts.append(" ")
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close_to(i)
-                    break
+        if closing:
+            if opened[tag] > 0:
+                close_to(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
-        if tag in VOID or m[4].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
         if block:
             for i in range(len(stack) - 1, -1, -1):
@@ -105,15 +172,11 @@ def leaves(page: str | None) -> list[Leaf]:
                     break
                 if stack[i][0] not in INLINE:
                     break
-        names = " ".join(a or b or c for a, b, c in NAMES.findall(m[4])).lower() if m[4] else ""
+        names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower() if attributes else ""
         stack.append((tag, f"{tag} {names}" if names else tag))
-        links += tag == "a"
+        opened[tag] += 1
     if last < len(page):
-        tail = page[last:]
-        if not parts:
-            at = tuple(label for _, label in stack)
-        parts.append(html.unescape(tail))
-        linked += len(tail) if links else 0
+        take(page[last:])
     flush()
     return out
 
@@ -134,9 +197,11 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
     return np.clip(v, -2, 2)
 
 
-def vectors(page: list[Leaf]) -> np.ndarray:
-    x = np.zeros((len(page), DIM), np.float32)
-    for k, leaf in enumerate(page):
+def vectors(page: list[Leaf], lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """Vectors of the blocks lo to hi of a page."""
+    some = page[lo:hi] if lo or hi is not None else page
+    x = np.zeros((len(some), DIM), np.float32)
+    for k, leaf in enumerate(some):
         x[k, :PATH_DIM] = path_vector(leaf.path)
         raw = leaf.text.lower().encode("utf-8", "surrogatepass")
         words = raw.split()
@@ -144,7 +209,7 @@ def vectors(page: list[Leaf]) -> np.ndarray:
         n = len(words)
         x[k, PATH_DIM : PATH_DIM + WORD_DIM] = bins / (n + 8)
         stops = raw.count(b".") + raw.count(b",")
-        x[k, -FIGURES:] = (min(n, 60) / 30, np.log1p(n) / 4, leaf.linked / len(leaf.text), stops / (n + 4), (k + 1) / len(page), 1 / (k + 1))
+        x[k, -FIGURES:] = (min(n, 60) / 30, np.log1p(n) / 4, leaf.linked / len(leaf.text), stops / (n + 4), (lo + k + 1) / len(page), 1 / (lo + k + 1))
     return x
 
 
@@ -161,10 +226,10 @@ class Network:
             bias[hidden : 2 * hidden] = 1  # forget gates begin open
             self.p |= {f"x{d}": scale(DIM, 4 * hidden), f"h{d}": scale(hidden, 4 * hidden), f"c{d}": bias}
 
-    def run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """x: time, batch, DIM; mask: time, batch, 1.  Hidden states, and what the backward pass needs."""
+    def run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool, start: tuple | None = None) -> tuple[np.ndarray, list, tuple]:
+        """x: time, batch, DIM; mask: time, batch, 1.  Hidden states, what the backward pass needs, and the state at the end."""
         n, b, _ = x.shape
-        hid, h, c = self.h, np.zeros((b, self.h), np.float32), np.zeros((b, self.h), np.float32)
+        hid, (h, c) = self.h, start or (np.zeros((b, self.h), np.float32), np.zeros((b, self.h), np.float32))
         z = x @ self.p[f"x{d}"] + self.p[f"c{d}"]
         out, tape = np.zeros((n, b, hid), np.float32), []
         for t in range(n) if d == "f" else range(n - 1, -1, -1):
@@ -178,12 +243,24 @@ class Network:
             m = mask[t]
             c, h = m * new + (1 - m) * c, m * (o * tc) + (1 - m) * h
             out[t] = h
-        return out, tape
+        return out, tape, (h, c)
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         both = np.concatenate([self.run(x, mask, d, False)[0] for d in "fb"], axis=2)
         return (both @ self.p["out"] + self.p["bias"])[..., 0]
 
+    def logits_of(self, page: list[Leaf], at_once: int = LONG) -> np.ndarray:
+        """The same for one page of any length, read in stretches that hand on their state."""
+        out, ones = np.full(len(page), self.p["bias"][0], np.float32), np.ones((at_once, 1, 1), np.float32)
+        for k, d in enumerate("fb"):
+            state, w = None, self.p["out"][k * self.h : (k + 1) * self.h, 0]
+            starts = range(0, len(page), at_once)
+            for lo in starts if d == "f" else reversed(starts):
+                x = vectors(page, lo, lo + at_once)[:, None]
+                hidden, _, state = self.run(x, ones[: len(x)], d, False, state)
+                out[lo : lo + at_once] += hidden[:, 0] @ w
+        return out
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         runs = {d: self.run(x, mask, d, True) for d in "fb"}
         both = np.concatenate([runs[d][0] for d in "fb"], axis=2)
@@ -340,7 +417,10 @@ def extract(pages: DataFrame, net: Network | None = None, *, at_once: int = 256)
 
     def label(group: list[list[Leaf]], model: Network) -> list[str]:
         texts = [""] * len(group)
-        full = sorted((i for i, g in enumerate(group) if g), key=lambda i: len(group[i]))
+        for i, g in enumerate(group):
+            if len(g) > LONG:
+                texts[i] = "\n".join(leaf.text for leaf, x in zip(g, model.logits_of(g)) if x > 0)
+        full = sorted((i for i, g in enumerate(group) if 0 < len(g) <= LONG), key=lambda i: len(group[i]))
         at = 0
         while at < len(full):  # pages of like length share a batch; a batch has a bounded number of blocks
             n = max(1, min(at_once, 40_000 // max(1, len(group[full[min(len(full) - 1, at + at_once - 1)]]))))
