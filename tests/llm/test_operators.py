@@ -315,6 +315,59 @@ def test_leaves_and_references():
     assert html_blocks.leaves(None) == [] and html_blocks.leaves("<!-- open") == []
 
 
+def pieces_by_hand(page):
+    """Markup of a page by the rules of the scanner, with no thought of time."""
+    at, out = 0, []
+    while (at := page.find("<", at)) >= 0:
+        end, tag, closing = 0, None, False
+        m = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)").match(page, at)
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4) + 3 if page.find("-->", at + 4) >= 0 else len(page)
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at) + 1 or len(page)
+        elif m:
+            i, quote = m.end(), None
+            while i < len(page) and (quote or page[i] != ">"):
+                quote = None if page[i] == quote else quote if quote else page[i] if page[i] in "\"'" else None
+                i += 1
+            if i == len(page):
+                i = page.find(">", m.end())
+            end, tag, closing = i + 1, m[2].lower(), bool(m[1])
+            if end and not closing and tag in html_blocks.RAW:
+                close = re.search(rf"</{tag}\s*>", page[end:], re.I)
+                end, tag = end + close.end() if close else len(page), None
+        if end:
+            out.append((at, end, closing, tag))
+        at = end or at + 1
+    return out
+
+
+def test_scanner_of_random_markup():
+    r = random.Random(8)
+    parts = ["<", ">", '"', "'", "<a ", "<p>", "</p>", "</a", "<!--", "-->", "<!x", "<?", "<script>", "</script >", "</SCRIPT", "<title", "x", " ", "=", "/", "<b class='c'>", "< ", "<1"]
+    for _ in range(20_000):
+        page = "".join(r.choices(parts, k=r.randint(0, 14)))
+        assert [x[:4] for x in html_blocks.Scanner(page)] == pieces_by_hand(page), page
+
+
+@pytest.mark.parametrize("unit", ["<script ", '<a "', "<p a='x", '<a ">" ', "<a '>\"", "<div>x", "</x>", "<b>", "<!", "&amp", "<p><b>", "<div a=\"<'>", "</script ", "<li>&lt;", "< "])
+def test_broken_html_takes_time_by_its_length(unit):
+    import time
+
+    page = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    html_blocks.leaves(page)
+    html_blocks.leaves("<div>" * 1000 + page + ">" + "</b>" * 1000)
+    assert time.process_time() - began < 12
+
+
+def test_long_pages_in_stretches():
+    net, page = html_blocks.trained(), html_blocks.leaves("<div class='menu'><li>a</li></div><article>" + "<p>some words of it, and more.</p>" * 300 + "</article><footer>f</footer>")
+    whole = net.logits(*html_blocks.padded([html_blocks.vectors(page)]))[:, 0]
+    for at_once in (1, 7, 301, 5000):
+        assert np.allclose(net.logits_of(page, at_once), whole, atol=1e-3)
+
+
 def test_network_gradients():
     r = np.random.default_rng(0)
     net = html_blocks.Network(hidden=3)
@@ -352,8 +405,10 @@ def test_html_pages(spark, sf):
         parts = (" ".join(h.unescape(re.sub(r"<[^>]+>", "", p)).split()) for p in re.split(r"</?(?:p|h1|br)\b[^>]*>", inner))
         assert got[r.page_id].text == "\n".join(p for p in parts if p)
         assert got[r.page_id].n_chars == len(got[r.page_id].text)
-    odd = spark.createDataFrame([(1, None, None, 5), (1, None, None, 5), (None, "u", "", 5), (2, "u", "<p>" * 3000 + "x", 5)], "page_id long, url string, html string, text int")
-    assert html_blocks.extract(odd).count() == 4 and html_blocks.extract(odd.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, None, None, 5), (1, None, None, 5), (None, "u", "", 5), (2, "u", "<p>" * 3000 + "x", 5), (3, "u", "<article>" + "<p>some words of it, and more.</p>" * 9000 + "</article>", 5)], "page_id long, url string, html string, text int")
+    got = {(r.page_id, r.url): r for r in html_blocks.extract(odd.withColumn("a.b", F.lit(1)).withColumn("n_chars", F.lit(2))).collect()}
+    assert len(got) == 4 and got[1, None].text == got[None, "u"].text == "" and got[3, "u"].text.count("\n") == 8999
+    assert html_blocks.extract(odd.limit(0)).count() == 0
 
 
 # --- 6 decontamination
