@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import cut
+
 # The metric of a routing event.
 ROUTING_METRICS = {
     "bgp_update": "bgp_update_count", "bgp_withdraw": "bgp_withdraw_count", "path_change": "bgp_path_change", "adjacency_down": "ospf_adjacency_flap",
@@ -20,6 +22,21 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str])
     return ranked.where("__rank = 1").drop("__rank")
 
 
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "rank") -> DataFrame:
+    """df with name, 1, 2, ... in a total order, without a window over all rows.
+
+    A sort by ranges deals the rows to partitions in order; the driver adds up a count for each partition.
+    """
+    placed = cut(df.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()))
+    part, within = F.shiftright("__place", 33), F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    before, offsets = 0, []
+    for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
+        offsets.append((r.p, before))
+        before += r.n
+    table = F.broadcast(df.sparkSession.createDataFrame(offsets, "__part long, __before long"))  # a row for each partition
+    return placed.join(table, part == F.col("__part")).withColumn(name, F.col("__before") + within + 1).drop("__place", "__part", "__before")
+
+
 def dedup_earliest(events: DataFrame, keys: Sequence[str], ts: str, seq: str) -> DataFrame:
     """The earliest event of each key (smallest seq of equal times) with how many there were.
 
