@@ -8,49 +8,53 @@ sizes are summed up to the budget.  A document is taken if the middle of its str
 budget, so a source misses its target by half a document at most.
 
 The order within a source is never sorted in one task: keys fall into BUCKETS stretches, sums of
-stretches tell in which one the budget ends, and documents of that stretch alone are ordered.  What
-the driver gets is a row for each source.
-
-Defined results: a null text has size 0; null is a source of its own, the last one; repeated rows
-are taken or left together; a document without doc_id takes part by its text; an empty table gives
-an empty result; other columns are ignored or, in ``mix``, carried along.
+stretches tell in which one the budget ends, and documents of that stretch alone are ordered.  Sources
+may be as many as documents: they are numbered by a sort by ranges, and what is left over by caps is
+shared out by sums over them; the driver gets sums alone.
+
+Defined results: a null text has size 0; very long texts are counted whole; null is a source of its own,
+the last one; repeated rows are taken or left together; a document without doc_id takes part by its text;
+an empty table gives an empty result.  Other columns are ignored by ``shares`` and carried along by
+``mix``, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import n_words, written
+from tidemark.llm.common import n_words, packed, unpacked, written
+from tidemark.operators.relational import numbered
 
 BUCKETS = 4096
 WEIGHTS = (5.0, 2.0, 1.0)
-SOURCE_LIMIT = 100_000
 
 
 def quality_weight(text: Column, size: Column) -> Column:
-    """0 to 1: how near the mean length of words is to that of ordinary prose."""
-    mean = F.length(F.coalesce(text, F.lit(""))) / F.greatest(size, F.lit(1))
-    return 1 / (1 + F.abs(mean - 6) / 6)
-
-
-def targets(sizes: list[tuple[str | None, int]], *, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> dict[str | None, float]:
-    """Target of each source; what a cap leaves over is shared by weight among the others, until none is above."""
-    order = sorted((s for s, _ in sizes), key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    size = dict(sizes)
-    left, out, open_ = share * sum(size.values()), {}, list(order)
-    while open_:
-        total = sum(weight[s] for s in open_)
-        part = {s: left * weight[s] / total for s in open_}
-        over = [s for s in open_ if part[s] > cap * size[s]]
-        if not over:
-            return out | part
-        for s in over:
-            out[s] = cap * size[s]
-            left -= out[s]
-        open_ = [s for s in open_ if s not in out]
-    return out
+    """Above 0, at most 1: the mean length of words is like that of ordinary prose, few symbols, few repeated lines."""
+    text, n = F.coalesce(text, F.lit("")), F.greatest(size, F.lit(1))
+    mean = F.length(text) / n
+    symbols = F.regexp_count(text, F.lit(r"[#*$%&|<>]")) / n
+    lines = F.split(text, "\n")
+    return 1 / (1 + F.abs(mean - 6) / 6) / (1 + symbols) * F.size(F.array_distinct(lines)) / F.size(lines)
+
+
+def targets(sizes: DataFrame, *, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """sizes (source, n) with target; what a cap leaves over is shared by weight among the others, until none is above.
+
+    A source's target is its weight times a level, or its cap.  The level rises with each round, by which
+    more sources meet their caps, until it stays.
+    """
+    turn = ((F.col("rank") - 1) % len(weights)).cast("int")
+    each = numbered(sizes, [F.col("source").asc_nulls_last()]).withColumn("w", F.get(F.array(*map(F.lit, weights)), turn)).select("source", "n", "w")
+    each = written(each, "sources")
+    total, level, n_capped = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 0.0, -1
+    while True:
+        capped = F.col("w") * level > cap * F.col("n")
+        n, at_cap, open_ = each.agg(F.coalesce(F.count_if(capped), F.lit(0)), F.coalesce(F.sum(F.when(capped, F.col("n"))), F.lit(0)), F.sum(F.when(~capped, F.col("w")))).first()
+        if n == n_capped or not open_:
+            return each.withColumn("target", F.when(capped, cap * F.col("n")).otherwise(F.col("w") * level)).drop("w")
+        n_capped, level = n, (share * total - cap * at_cap) / open_
 
 
 def keyed(docs: DataFrame, seed: int = 11) -> DataFrame:
@@ -65,34 +69,25 @@ def keyed(docs: DataFrame, seed: int = 11) -> DataFrame:
 
 
 def plan(rows: DataFrame, **how) -> DataFrame:
-    """A row for each source: source_size, target, epochs, and the last key and tie that the fraction takes."""
-    spark = rows.sparkSession
-    sizes = rows.groupBy("source", "__bucket").agg(F.sum("__size").alias("n"))
-    found = [(r.source, r.n) for r in sizes.groupBy("source").agg(F.sum("n").alias("n")).collect()]
-    goal = targets(found, **how)
-    epochs = {s: min(int(goal[s] // n), 2**30) if n else 0 for s, n in found}
-    budget = _by_source(spark, [(s, int(n), float(goal[s]), epochs[s], float(goal[s] - epochs[s] * n)) for s, n in found], "source string, source_size long, target double, epochs int, rest double")
+    """A row for each source s: source_size, target, epochs, and the last stretch, key and tie that the fraction takes."""
+    sizes = written(rows.groupBy("source", "__bucket").agg(F.sum("__size").alias("n")), "stretches")
+    goal = targets(sizes.groupBy("source").agg(F.sum("n").alias("n")), **how)
+    epochs = F.when(F.col("n") > 0, F.least(F.floor(F.col("target") / F.col("n")), F.lit(2**30))).otherwise(0).cast("int")
+    goal = goal.select(F.col("source").alias("s"), F.col("n").alias("source_size"), "target", epochs.alias("epochs")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    # Written, as are the ends: joins by source then have nothing else by source in their stage.
+    goal = written(goal, "goals")
     upto = Window.partitionBy("source").orderBy("__bucket")
-    cut = sizes.withColumn("before", F.sum("n").over(upto) - F.col("n")).join(_named(budget, "s"), F.col("source").eqNullSafe(F.col("s"))).where("before < rest").groupBy("source").agg(F.max(F.struct("__bucket", "before", "rest")).alias("c"))
-    cut = cut.select(F.col("source").alias("s"), F.col("c.__bucket").alias("bucket"), "c.before", "c.rest")
-    order = Window.partitionBy("source").orderBy("__key", "__tie")
-    last = rows.join(F.broadcast(cut) if len(found) <= SOURCE_LIMIT else cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("__bucket") == F.col("bucket")))
-    last = last.withColumn("middle", F.col("before") + F.sum("__size").over(order) - F.col("__size") / 2).where("middle <= rest")
-    ends = last.groupBy("source").agg(F.max(F.struct("__key", "__tie")).alias("end"))
+    before = sizes.withColumn("before", F.sum("n").over(upto) - F.col("n"))
+    last = before.join(goal.select("s", "rest"), F.col("source").eqNullSafe(F.col("s"))).where("before < rest").groupBy("s").agg(F.max(F.struct("__bucket", "before", "rest")).alias("c"))
+    last = written(last.select("s", F.col("c.__bucket").alias("last_bucket"), "c.before", "c.rest"), "last")
+    order = Window.partitionBy("s").orderBy("__key", "__tie")
+    inside = rows.join(last, F.col("source").eqNullSafe(F.col("s")) & (F.col("__bucket") == F.col("last_bucket")))
+    ends = inside.withColumn("middle", F.col("before") + F.sum("__size").over(order) - F.col("__size") / 2).where("middle <= rest").groupBy("s").agg(F.max(F.struct("__key", "__tie")).alias("end"))
     # Where none of the stretch fits, all before it does.
-    got = cut.join(ends, F.col("s").eqNullSafe(F.col("source")), "left").select("s", F.col("bucket").alias("last_bucket"), F.col("end.__key").alias("last_key"), F.col("end.__tie").alias("last_tie")).collect()
-    by = {r.s: (r.last_bucket, r.last_key, r.last_tie) for r in got}
-    rows_out = [(s, int(n), float(goal[s]), epochs[s], *by.get(s, (-1, None, None))) for s, n in found]
-    return _by_source(spark, rows_out, "s string, source_size long, target double, epochs int, last_bucket int, last_key double, last_tie long")
-
-
-def _by_source(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    df = spark.createDataFrame(rows, schema)
-    return F.broadcast(df) if len(rows) <= SOURCE_LIMIT else df
-
-
-def _named(budget: DataFrame, name: str) -> DataFrame:
-    return budget.select(F.col("source").alias(name), "rest")
+    by_null_safe = lambda left, right, cols: left.join(right.withColumnRenamed("s", "t"), F.col("s").eqNullSafe(F.col("t")), "left").drop("t").select("*", *cols)
+    out = by_null_safe(goal, last.select("s", "last_bucket"), [])
+    out = by_null_safe(out, ends, [F.col("end.__key").alias("last_key"), F.col("end.__tie").alias("last_tie")]).drop("end", "rest")
+    return written(out.withColumn("last_bucket", F.coalesce("last_bucket", F.lit(-1))), "plan")
 
 
 def with_copies(rows: DataFrame, by_source: DataFrame) -> DataFrame:
@@ -113,8 +108,7 @@ def shares(docs: DataFrame, **how) -> DataFrame:
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: rows of docs as often as they are taken, in the columns they came in."""
-    narrow = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
-    by_source = plan(written(keyed(narrow).drop("text"), "mixing"), **how)
-    plain = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
-    taken = with_copies(keyed(plain), by_source).where("__copies > 0")
-    return taken.select("__row", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select("__row.*")
+    needed = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")]
+    by_source = plan(written(keyed(docs.select(*needed)).drop("text"), "mixing"), **how)
+    taken = with_copies(keyed(packed(docs, *needed)), by_source).where("__copies > 0")
+    return unpacked(taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))))
