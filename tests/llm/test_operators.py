@@ -151,10 +151,55 @@ def test_reshard_leaves_shards_that_fit(spark):
     assert reshard.reshard(docs, 4, F.col("old").cast("int")).count() == 400
 
 
+def test_reshard_many_copies(spark, monkeypatch):
+    """A third of all rows equal in doc_id and text, from two old shards, more than a chunk of them."""
+    monkeypatch.setattr(reshard, "CHUNK", 7)
+    hot = [(5, "the same again", i % 2) for i in range(150)] + [(None, None, 0)] * 20 + [(6, "the same again", 1)] * 30
+    rows = hot + [(i, f"text {i} " * (i % 9), i % 3) for i in range(10, 260)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, old int")
+    got = reshard.reshard(docs, 4, F.col("old")).collect()
+    texts = {(i, zlib.crc32((t or "").encode())): len((t or "").encode()) + 1 for i, t, _ in rows}
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((i, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    assert all(r.size == texts[r.doc_id, r.text_crc32] for r in got)
+    check_shards(got, 4)
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert max(sizes.values()) - min(sizes.values()) < 60
+
+
+def test_reshard_places_copies_by_their_middles(spark):
+    """Against a row of its own for each copy, laid out in the same order."""
+    r = random.Random(2)
+    rows = [(i, "y" * r.randint(0, 40), r.randint(0, 2)) for i in range(60) for _ in range(r.choice([1, 1, 2, 9]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, old int")
+    unit = reshard.units(docs, F.col("old"))
+    placed, _ = reshard.assign(unit, 5)
+    got = Counter()
+    for x in placed.collect():
+        got[x.old, x.h1, x.shard] += x.copies
+    sizes = Counter()
+    for x in unit.collect():
+        sizes[x.old] += x.size * x.copies
+    flow = reshard.transfers([sizes[i] for i in range(3)], reshard.even(sum(sizes.values()), 5))
+    want = Counter()
+    for i in range(3):
+        cuts, at = [], 0
+        for j in sorted((j for a, j in flow if a == i), key=lambda j: (j != i, j)):
+            cuts.append((at, at + flow[i, j], j))
+            at += flow[i, j]
+        at = 0
+        for x in sorted((x for x in unit.collect() if x.old == i), key=lambda x: (x.block, x.h1, x.h2)):
+            for _ in range(x.copies):
+                want[i, x.h1, next(j for lo, hi, j in cuts if 2 * lo <= 2 * at + x.size < 2 * hi)] += 1
+                at += x.size
+    assert got == want
+
+
 def test_reshard_odd_and_empty(spark):
     docs = odd_docs(spark)
     got = reshard.reshard(docs, 3, F.pmod(F.xxhash64("source"), F.lit(2))).collect()
-    assert len(got) == docs.count()
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((r.doc_id, zlib.crc32((r.text or "").encode())) for r in docs.collect())
     check_shards(got, 3)
     assert reshard.reshard(empty_docs(spark), 8, F.lit(0)).count() == 0
 
@@ -267,11 +312,28 @@ def test_markov_spans_beside_base_spans():
 # --- 4 mixing
 
 
-def test_targets_share_out_excess():
-    t = mixing.targets([("b", 10), ("a", 1000), (None, 1000)])
-    assert t["b"] == 20 and sum(t.values()) == pytest.approx(1.5 * 2010)
-    assert all(t[s] <= 2 * n for s, n in (("a", 1000), ("b", 10), (None, 1000)))
-    assert t["a"] == 2000 and t[None] == pytest.approx(995)
+def targets_by_hand(sizes, share=1.5, cap=2.0):
+    """Share by weight; cap those above; share what is left among the others, until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    left, out, open_ = share * sum(sizes.values()), {}, list(order)
+    while open_:
+        part = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = [s for s in open_ if part[s] > cap * sizes[s]]
+        if not over:
+            return out | part
+        for s in over:
+            out[s] = cap * sizes[s]
+        left -= sum(out[s] for s in over)
+        open_ = [s for s in open_ if s not in out]
+    return out
+
+
+def test_targets_share_out_excess(spark):
+    r = random.Random(3)
+    for sizes in ({"b": 10, "a": 1000, None: 1000}, {f"s{i}": int(10 ** r.uniform(0, 6)) for i in range(300)}, {"é": 0, "z": 5, "\U0001f600": 7, "\uffff": 7}, {None: 3}, {}):
+        t = {x.source: x.target for x in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, n long").repartition(5)).collect()}
+        assert t == pytest.approx(targets_by_hand(sizes))
 
 
 def test_mix_meets_targets(spark, sf):
@@ -284,6 +346,8 @@ def test_mix_meets_targets(spark, sf):
         assert r.taken <= 2 * r.size
         by.setdefault(r.source, [r.target, 0])[1] += r.taken
         biggest[r.source] = max(biggest.get(r.source, 0), r.size)
+    sizes = {r.source: r.source_size for r in got}
+    assert {s: t for s, (t, _) in by.items()} == pytest.approx(targets_by_hand(sizes))
     for s, (target, taken) in by.items():
         assert abs(target - taken) <= biggest[s] / 2 + 1
     mixed = Counter(r.doc_id for r in mixing.mix(docs).select("doc_id").collect())
@@ -297,12 +361,28 @@ def test_sampling_follows_quality(spark):
     got = mixing.shares(docs, share=0.5, cap=0.5).groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.avg((F.col("copies") > 0).cast("int")).alias("p")).collect()
     p = {r.odd: r.p for r in got}
     assert p[1] > p[0]
+    for worse in (good.replace("words", "###$$$ *** |||"), "\n".join([good] * 9)):
+        text = lambda i: good if i % 2 else worse
+        docs = spark.createDataFrame([(i, text(i), "s") for i in range(2000)], "doc_id long, text string, source string")
+        got = mixing.shares(docs, share=0.5, cap=0.5).groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.avg((F.col("copies") > 0).cast("int")).alias("p")).collect()
+        p = {r.odd: r.p for r in got}
+        assert p[1] > p[0]
+
+
+def test_mix_of_as_many_sources_as_documents(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 30), f"host{i}") for i in range(3000)], "doc_id long, text string, source string")
+    got = {r.source: r for r in mixing.shares(docs).collect()}
+    want = targets_by_hand({s: r.size for s, r in got.items()})
+    assert {s: r.target for s, r in got.items()} == pytest.approx(want)
+    assert all(abs(r.taken - r.target) <= r.size / 2 + 1e-6 for r in got.values())
 
 
 def test_mix_odd_and_empty(spark):
     docs = odd_docs(spark)
-    assert mixing.shares(docs).count() == docs.count()
-    assert mixing.mix(docs).columns == docs.columns
+    shares = mixing.shares(docs).collect()
+    assert len(shares) == docs.count()
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and Counter(r.doc_id for r in mixed.collect()) == Counter(r.doc_id for r in shares for _ in range(r.copies))
     assert mixing.shares(empty_docs(spark)).count() == 0 and mixing.mix(empty_docs(spark)).count() == 0
 
 
