@@ -22,7 +22,7 @@ def far(spark, sf, tmp_path_factory):
 
 @pytest.mark.parametrize("name", FORECASTS)
 def test_every_supplier_is_forecast(spark, sf, far, name):
-    got = RUNS[f"{name}_all"](spark, far).withColumn("k", F.col("k") - 1000).toPandas()
+    got = RUNS[name](spark, far).withColumn("k", F.col("k") - 1000).toPandas()
     assert len(got) and canonical(got) == canonical(connect(sf).sql(SQL[name]).df())
 
 

@@ -45,7 +45,7 @@ def batch_bank(df: DataFrame, keys: list[str], order: list[str], peaks: DataFram
 
     peaks has keys, peak (in order[0]'s unit) and risk.
     """
-    top = peaks.withColumn("__rank", F.row_number().over(Window.orderBy(F.desc("risk"), *keys))).where(F.col("__rank") <= streams)
+    top = peaks.orderBy(F.desc("risk"), *keys).limit(streams)
     before = df.join(F.broadcast(top.select(*keys, "peak")), keys).where(F.col(order[0]) <= F.col("peak"))
     back = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
     tail = before.withColumn("__back", F.row_number().over(back)).where(F.col("__back") <= last).drop("__back", "peak")

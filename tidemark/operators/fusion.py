@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import MAD_SCALE, clip, deviations, fold_sum, median, normal_cdf, quantile
 from tidemark.functions.kernels import extreme_scores
+from tidemark.functions.lineage import cut
+from tidemark.operators.relational import running_total
 
 # Weight of a detector family, and the issue that it hints at.
 FAMILY_PRIOR = {
@@ -22,14 +24,23 @@ def prior(family: Column) -> Column:
     return F.coalesce(F.try_element_at(table, family), F.lit(1.0))
 
 
-def minmax(x: Column, w: Window) -> Column:
-    lo, hi = F.min(x).over(w), F.max(x).over(w)
-    return F.when(hi - lo < 1e-12, 0.0).otherwise(clip((x - lo) / (hi - lo)))
+def minmax(df: DataFrame, keys: list[str], value: str, name: str = "norm") -> DataFrame:
+    """df with name: the value's place between its key's least and greatest, which two partial aggregates give."""
+    bounds = cut(df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi")))
+    width = F.col("__hi") - F.col("__lo")
+    return df.join(bounds, keys, "left").withColumn(name, F.when(width < 1e-12, 0.0).otherwise(clip((F.col(value) - F.col("__lo")) / width))).drop("__lo", "__hi")
 
 
-def rank(w_ordered: Window) -> Column:
-    """Share of values that are not greater."""
-    return F.cume_dist().over(w_ordered)
+def shares(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """df with at_most and at_least: the shares of its key's values that are not greater, and not smaller.
+
+    Distinct values are counted first and their counts run along a sort by ranges, so no key is one task.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    upto = cut(running_total(counts, keys, [value], F.col("__n"), "__upto"))
+    total = cut(upto.groupBy(*keys).agg(F.max("__upto").alias("__total")))
+    placed = df.join(upto, [*keys, value], "left").join(total, keys, "left")
+    return placed.withColumns({"at_most": F.col("__upto") / F.col("__total"), "at_least": (F.col("__total") - F.col("__upto") + F.col("__n")) / F.col("__total")}).drop("__n", "__upto", "__total")
 
 
 def robust_standard(df: DataFrame, keys: list[str], value: str, name: str = "z", *, accuracy: int | None = None) -> DataFrame:

@@ -37,6 +37,19 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "rank") -
     return placed.join(table, part == F.col("__part")).withColumn(name, F.col("__before") + within + 1).drop("__place", "__part", "__before")
 
 
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], what: Column, name: str) -> DataFrame:
+    """df with name, the sum of what over a key's rows up to this one, for keys of any size.
+
+    A sort by ranges deals the rows to partitions in order; sums of a key's partitions, few rows, give what lies
+    before, and running sums within a partition the rest.  keys and order together must be unique.
+    """
+    placed = cut(df.withColumn("__what", what).orderBy(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    sums = placed.groupBy(*keys, "__part").agg(F.sum("__what").alias("__sum"))
+    before = cut(sums.withColumn("__before", F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__part")) - F.col("__sum")).drop("__sum"))
+    within = F.sum("__what").over(Window.partitionBy(*keys, "__part").orderBy(*order))
+    return placed.withColumn("__within", within).join(before, [*keys, "__part"]).withColumn(name, F.col("__before") + F.col("__within")).drop("__what", "__part", "__before", "__within")
+
+
 def dedup_earliest(events: DataFrame, keys: Sequence[str], ts: str, seq: str) -> DataFrame:
     """The earliest event of each key (smallest seq of equal times) with how many there were.
 
@@ -95,6 +108,34 @@ def near_pairs(events: DataFrame, ts: str, seq: str, window: int, columns: Seque
     return side("a").join(b, ["__bin", *on]).where((F.col(f"a_{seq}") < F.col(f"b_{seq}")) & (F.abs(F.col(f"a_{ts}") - F.col(f"b_{ts}")) <= window)).drop("__bin")
 
 
+def adjacent_links(events: DataFrame, keys: Sequence[str], ts: str, seq: str, window: int) -> DataFrame:
+    """(a, b): each event and the one before it among those of its key, where they are at most ``window`` apart.
+
+    Their components are those of all pairs at most ``window`` apart, from as many links as events.  Events lie in
+    bins of that width, so a key of any size is many groups; the first of a bin may be linked to the last of the bin
+    before.
+    """
+    binned = events.select(*keys, F.col(ts).alias("__t"), F.col(seq).alias("__s"), F.floor(F.col(ts) / window).alias("__bin"))
+    w = Window.partitionBy(*keys, "__bin").orderBy("__t", "__s")
+    inside = binned.select(F.col("__s").alias("a"), F.lag("__s").over(w).alias("b"), (F.col("__t") - F.lag("__t").over(w)).alias("gap"))
+    ends = binned.groupBy(*keys, "__bin").agg(F.min(F.struct("__t", "__s")).alias("first"), F.max(F.struct("__t", "__s")).alias("last"))
+    after = ends.select(*keys, (F.col("__bin") + 1).alias("__bin"), "last").join(ends.select(*keys, "__bin", "first"), [*keys, "__bin"])
+    across = after.select(F.col("first.__s").alias("a"), F.col("last.__s").alias("b"), (F.col("first.__t") - F.col("last.__t")).alias("gap"))
+    return inside.unionByName(across).where(F.col("gap") <= window).select("a", "b")
+
+
+def nearest_links(events: DataFrame, marked: Column, ts: str, seq: str, window: int) -> DataFrame:
+    """(a, b): each event that is not marked and the nearest marked ones before and after it, at most ``window`` apart."""
+    some = events.select(F.col(ts).alias("__t"), F.col(seq).alias("__s"), marked.alias("__m"), F.floor(F.col(ts) / window).alias("__bin"))
+    near = some.where("__m").withColumn("__bin", F.explode(F.array(F.col("__bin") - 1, F.col("__bin"), F.col("__bin") + 1)))
+    both = near.unionByName(some.where("not __m"))
+    mark = F.when(F.col("__m"), F.struct("__t", "__s"))
+    w = Window.partitionBy("__bin").orderBy("__t", "__s")
+    before, after = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.last(mark, ignorenulls=True).over(Window.partitionBy("__bin").orderBy(F.desc("__t"), F.desc("__s")).rowsBetween(Window.unboundedPreceding, -1))
+    ends = both.withColumns({"__before": before, "__after": after}).where("not __m").select(F.col("__s").alias("a"), "__t", F.explode(F.array("__before", "__after")).alias("n"))
+    return ends.where(F.abs(F.col("n.__t") - F.col("__t")) <= window).select("a", F.col("n.__s").alias("b"))
+
+
 def map_to_node(entities: DataFrame, nodes: DataFrame, entity: str = "entity") -> DataFrame:
     """entity, node: the node of that name, else of its longest prefix of segments, else the first node that begins with its first two.
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clip, logistic
+from tidemark.functions.lineage import cut
+from tidemark.operators.relational import numbered
 
 EPS = 0.02
 
@@ -47,13 +50,13 @@ def blast_factor(size: Column, n_sites: Column) -> Column:
 def prioritized(incidents: DataFrame, *, seq: str = "incident") -> DataFrame:
     """incidents (confidence, risk, eta, blast, criticality, demotion) with priority, severity and rank.
 
-    The order is total over all incidents; there are few, and Spark's sort by range deals it out.
+    The order is total over all incidents, and numbered by a sort by ranges.
     """
     a = F.greatest(confidence_factor(F.col("confidence"), F.col("risk")), F.lit(EPS))
     raw = F.round(raw_product([a, urgency(F.col("eta")), F.col("blast"), clip(F.col("criticality"), EPS, 1.0)]), 6)
     scored = incidents.withColumn("base", geometric_mean(raw)).withColumn("priority", F.round(F.col("base") * F.col("demotion"), 6))
-    order = Window.orderBy(F.desc("priority"), F.coalesce(F.round(minutes(F.col("eta")), 3), F.lit(1e9)), F.desc("blast"), seq)
-    return scored.withColumns({"severity": severity(F.col("priority")), "rank": F.row_number().over(order)})
+    order = [F.desc("priority"), F.coalesce(F.round(minutes(F.col("eta")), 3), F.lit(1e9)), F.desc("blast"), seq]
+    return numbered(scored.withColumn("severity", severity(F.col("priority"))), order)
 
 
 def brier(p: Column, y: Column) -> Column:
@@ -109,25 +112,38 @@ class Platt:
         return clip(logistic(F.lit(self.a) * score + F.lit(self.b)))
 
 
+def pool(blocks: list[list[float]], new) -> None:
+    """Add a block (greatest x, sum, number) to blocks of rising means; those that it violates or equals become one with it."""
+    blocks.append(list(new))
+    while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+        x, s, n = blocks.pop()
+        blocks[-1] = [x, blocks[-1][1] + s, blocks[-1][2] + n]
+
+
 class Isotonic:
-    """Monotone calibration by pooling adjacent violators over the means of ``bins`` quantile bins (all distinct scores if fewer)."""
+    """Monotone calibration by pooling adjacent violators over all distinct scores.
+
+    Scores are sorted by ranges and pooled within each range by the tasks; the blocks that are left, which rise
+    within a range, are pooled in order at the driver as they arrive, so it holds the fitted steps alone.
+    """
 
     def __init__(self):
         self.knots: list[tuple[float, float]] = []
 
-    def fit(self, df: DataFrame, score: str, label: str, bins: int = 10_000) -> "Isotonic":
+    def fit(self, df: DataFrame, score: str, label: str) -> "Isotonic":
         x, y = F.col(score).cast("double"), F.col(label).cast("double")
-        by = df.select(x.alias("x"), y.alias("y")).where("x is not null and y is not null").groupBy("x").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
-        if (n := by.count()) > bins:
-            edges = F.lit(by.approxQuantile("x", [i / bins for i in range(1, bins)], 0.1 / bins))
-            by = by.groupBy(F.size(F.filter(edges, lambda e: e < F.col("x"))).alias("bin")).agg(F.max("x").alias("x"), F.sum("s").alias("s"), F.sum("n").alias("n"))
-        del n
+        by = df.select(x.alias("x"), y.alias("y")).where("x is not null and y is not null and not isnan(x)").groupBy("x").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
+
+        def each(batches):
+            blocks: list[list[float]] = []
+            for b in batches:
+                for r in zip(*(c.to_pylist() for c in b.columns)):
+                    pool(blocks, r)
+            yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blocks], pa.float64()), pa.array([b[1] for b in blocks], pa.float64()), pa.array([b[2] for b in blocks], pa.int64())], names=["x", "s", "n"])
+
         blocks: list[list[float]] = []
-        for r in by.orderBy("x").toLocalIterator():
-            blocks.append([r.x, r.s, r.n])
-            while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] > blocks[-1][1] / blocks[-1][2]:
-                last = blocks.pop()
-                blocks[-1] = [last[0], blocks[-1][1] + last[1], blocks[-1][2] + last[2]]
+        for r in cut(by.orderBy("x").mapInArrow(each, "x double, s double, n long")).toLocalIterator():
+            pool(blocks, r)
         self.knots = [(b[0], min(1.0, max(0.0, b[1] / b[2]))) for b in blocks]
         return self
 

@@ -64,19 +64,16 @@ def tag(labels: DataFrame, incidents: DataFrame) -> DataFrame:
     return hit.groupBy("incident").agg(F.min_by("scenario", "seq").alias("scenario"))
 
 
-def retrieve(docs: DataFrame, questions: DataFrame, key: str, text: str, *, k: int = 5, pool: int = 50, allowed: DataFrame | None = None, n_docs: int | None = None, mean_len: float | None = None) -> DataFrame:
+def retrieve(docs: DataFrame, questions: DataFrame, key: str, text: str, *, k: int = 5, pool: int = 50, allowed: DataFrame | None = None) -> DataFrame:
     """qid, key, rank, score: sparse and dense rankings, each cut to its pool before the filter, fused by reciprocal ranks.
 
     The score shown falls evenly from 1 with the rank.  allowed: keys that pass a metadata filter.
     """
-    if n_docs is None or mean_len is None:
-        s = docs.agg(F.count("*").alias("n"), F.avg(F.size(X.tokens(F.col(text)))).alias("m")).first()
-        n_docs, mean_len = s.n, s.m or 1.0
     terms = questions.select("qid", F.explode(X.tokens(F.col("query"))).alias("term"))
-    sparse = X.top(X.bm25(X.terms(docs, key, text), terms, key, n_docs, mean_len), "qid", key, pool)
+    sparse = X.top(X.search(docs, terms, key, text), "qid", key, pool)
     w, idf = X.tfidf(docs, key, text)
     qw, _ = X.tfidf(questions.select("qid", F.col("query").alias("text")), "qid", "text", idf)
-    dense = X.top(X.sparse_cosine(qw, w, "qid", key), "qid", key, pool)
+    dense = X.top(X.sparse_cosine(qw, w, "qid", key).withColumn("score", F.round("score", 9)), "qid", key, pool)
 
     def passed(r: DataFrame) -> DataFrame:
         if allowed is None:
@@ -84,8 +81,8 @@ def retrieve(docs: DataFrame, questions: DataFrame, key: str, text: str, *, k: i
         left = r.join(allowed, key, "left_semi")
         return left.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
 
-    fused = X.top(X.rrf([passed(sparse), passed(dense)], "qid", key), "qid", key, k)
-    return fused.withColumn("score", 1 - (F.col("rank") - 1) / F.count("*").over(Window.partitionBy("qid")))
+    fused = X.rrf([passed(sparse), passed(dense)], "qid", key).withColumn("score", F.round("score", 9))
+    return X.rerank(X.top(fused, "qid", key, k), "qid")
 
 
 def facts(reached: DataFrame, *, most: int = 2) -> DataFrame:

@@ -166,10 +166,10 @@ def rekey_z(spark, sf_dir):
 
 
 @query(
-    f"""WITH {T} SELECT seq, CAST(least(sum(1) OVER (PARTITION BY metric ORDER BY us RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW), 1024) AS BIGINT) AS flaps FROM t"""
+    f"""WITH {T} SELECT seq, CAST(least(sum(1) OVER (PARTITION BY k, metric ORDER BY us RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW), 1024) AS BIGINT) AS flaps FROM t"""
 )
 def flap_window_300s(spark, sf_dir):
-    return telemetry(spark, sf_dir).select("seq", W.sliding_count(F.lit(1), ["metric"], 300).cast("long").alias("flaps"))
+    return telemetry(spark, sf_dir).select("seq", W.sliding_count(F.lit(1), ["k", "metric"], 300).cast("long").alias("flaps"))
 
 
 @query(
@@ -226,14 +226,14 @@ def drift_pulse(spark, sf_dir):
 
 
 @query(
-    f"""WITH {T}, b AS (SELECT metric, seq, us, v, list(v) OVER (PARTITION BY metric ORDER BY us, seq ROWS BETWEEN 80 PRECEDING AND 1 PRECEDING) AS xs FROM t), c AS (SELECT *, list_aggregate(xs, 'quantile_cont', 0.5) AS med FROM b),
+    f"""WITH {T}, b AS (SELECT metric, seq, us, v, list(v) OVER (PARTITION BY k, metric ORDER BY us, seq ROWS BETWEEN 80 PRECEDING AND 1 PRECEDING) AS xs FROM t), c AS (SELECT *, list_aggregate(xs, 'quantile_cont', 0.5) AS med FROM b),
     d AS (SELECT *, list_aggregate(list_transform(xs, lambda x: abs(x - med)), 'quantile_cont', 0.5) * 1.4826 AS mad FROM c)
     SELECT seq, round(CASE WHEN coalesce(len(xs), 0) < 5 THEN 0 ELSE abs(v - med) / mad END + 3.1e-08, 5) + 0.0 AS z FROM d"""
 )
 def forecast_residual(spark, sf_dir):
-    """Misses of a forecast (here of 0) per metric."""
+    """Misses of a forecast (here of 0) per user and metric."""
     t = telemetry(spark, sf_dir)
-    return shown(keyed_fold(t, ["metric"], ORDER, K.Residual, "z double, fired boolean"), "z")
+    return shown(keyed_fold(t, ["k", "metric"], ORDER, K.Residual, "z double, fired boolean"), "z")
 
 
 @query(
@@ -249,20 +249,20 @@ def alert_keys(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {T}, x AS (SELECT metric, seq, us, row_number() OVER (PARTITION BY metric ORDER BY us, seq) AS i FROM t WHERE v > 60),
-    f AS (SELECT metric, i, seq, us AS at, true AS passes FROM x WHERE i = 1 UNION ALL SELECT x.metric, x.i, x.seq, CASE WHEN f.at < x.us - 600000000 THEN x.us ELSE f.at END, f.at < x.us - 600000000 FROM f JOIN x ON x.metric = f.metric AND x.i = f.i + 1)
-    SELECT metric, seq FROM f WHERE passes"""
+    f"""WITH RECURSIVE {T}, x AS (SELECT k, metric, seq, us, row_number() OVER (PARTITION BY k, metric ORDER BY us, seq) AS i FROM t WHERE v > 60),
+    f AS (SELECT k, metric, i, seq, us AS at, true AS passes FROM x WHERE i = 1 UNION ALL SELECT x.k, x.metric, x.i, x.seq, CASE WHEN f.at < x.us - 600000000 THEN x.us ELSE f.at END, f.at < x.us - 600000000 FROM f JOIN x ON x.k = f.k AND x.metric = f.metric AND x.i = f.i + 1)
+    SELECT k, metric, seq FROM f WHERE passes"""
 )
 def alert_dedup(spark, sf_dir):
     """Alerts of a key within 600 s of the last that passed are suppressed."""
     t = telemetry(spark, sf_dir).where("v > 60")
-    return keyed_fold(t, ["metric"], ORDER, K.AlertGate, "passes boolean", seconds="s").where("passes").select("metric", "seq")
+    return keyed_fold(t, ["k", "metric"], ORDER, K.AlertGate, "passes boolean", seconds="s").where("passes").select("k", "metric", "seq")
 
 
-@query(f"WITH RECURSIVE {T}, x AS (SELECT metric, seq, us, row_number() OVER (PARTITION BY metric ORDER BY us, seq) AS i FROM t WHERE v > 60), f AS (SELECT metric, i, seq, us, CAST(1 AS DOUBLE) AS p, false AS s FROM x WHERE i = 1 UNION ALL SELECT x.metric, x.i, x.seq, x.us, least(16, p * pow(0.5, (x.us - f.us) / 9e8) + 1), CASE WHEN least(16, p * pow(0.5, (x.us - f.us) / 9e8) + 1) >= 3 THEN true ELSE s AND least(16, p * pow(0.5, (x.us - f.us) / 9e8) + 1) >= 1 END FROM f JOIN x ON x.metric = f.metric AND x.i = f.i + 1) SELECT seq, round(p + 3.1e-08, 5) + 0.0 AS penalty, s AS suppressed FROM f")
+@query(f"WITH RECURSIVE {T}, x AS (SELECT k, metric, seq, us, row_number() OVER (PARTITION BY k, metric ORDER BY us, seq) AS i FROM t WHERE v > 60), f AS (SELECT k, metric, i, seq, us, CAST(1 AS DOUBLE) AS p, false AS s FROM x WHERE i = 1 UNION ALL SELECT x.k, x.metric, x.i, x.seq, x.us, least(16, p * pow(0.5, (x.us - f.us) / 9e8) + 1), CASE WHEN least(16, p * pow(0.5, (x.us - f.us) / 9e8) + 1) >= 3 THEN true ELSE s AND least(16, p * pow(0.5, (x.us - f.us) / 9e8) + 1) >= 1 END FROM f JOIN x ON x.k = f.k AND x.metric = f.metric AND x.i = f.i + 1) SELECT seq, round(p + 3.1e-08, 5) + 0.0 AS penalty, s AS suppressed FROM f")
 def flap_penalty(spark, sf_dir):
     t = telemetry(spark, sf_dir).where("v > 60").withColumn("one", F.lit(1.0))
-    return shown(keyed_fold(t, ["metric"], ORDER, K.FlapPenalty, "penalty double, suppressed boolean, demotion double", value="one", seconds="s"), "penalty", "suppressed")
+    return shown(keyed_fold(t, ["k", "metric"], ORDER, K.FlapPenalty, "penalty double, suppressed boolean, demotion double", value="one", seconds="s"), "penalty", "suppressed")
 
 
 @query(
@@ -300,7 +300,7 @@ def sticky_snapshot(spark, sf_dir):
 
 def _fired(spark, sf_dir, make) -> DataFrame:
     t = telemetry(spark, sf_dir)
-    return keyed_fold(t, ["metric"], ORDER, make, "fired boolean").groupBy("metric").agg(F.count("*").alias("n"), F.sum(F.col("fired").cast("long")).alias("n_fired"))
+    return keyed_fold(t, KEY, ORDER, make, "fired boolean").groupBy("k").agg(F.count("*").alias("n"), F.sum(F.col("fired").cast("long")).alias("n_fired"))
 
 
 @query()
@@ -316,7 +316,7 @@ def kswin(spark, sf_dir):
 @query()
 def half_space_trees(spark, sf_dir):
     t = telemetry(spark, sf_dir)
-    return keyed_fold(t, ["metric"], ORDER, lambda: K.HalfSpaceTrees(limit=0.9), "score double, fired boolean")
+    return keyed_fold(t, KEY, ORDER, lambda: K.HalfSpaceTrees(window=25, limit=0.9), "score double, fired boolean")
 
 
 @query()
@@ -324,14 +324,27 @@ def dspot(spark, sf_dir):
     return _fired(spark, sf_dir, lambda: K.DriftSpot().warm([]))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {R}, f AS (SELECT k, i, seq, v AS z, [v] AS bl, v AS target, CAST(1 AS DOUBLE) AS sigma, 1 AS n, CAST(0 AS DOUBLE) AS stat, false AS fired FROM r WHERE i = 1 UNION ALL
+    SELECT k, i, seq, z, CASE WHEN len(bl) < 30 OR stat < 3 THEN list_append(CASE WHEN len(bl) >= 80 THEN bl[2:] ELSE bl END, v) ELSE bl END, target, sigma, n + 1, stat, n + 1 > 8 AND stat >= 3
+    FROM (SELECT *, abs(z - target) / greatest(sigma * sqrt(0.25 / 1.75), 1e-9) AS stat FROM (
+        SELECT k, i, seq, v, bl, n, z, CASE WHEN learns THEN med ELSE target END AS target, CASE WHEN NOT learns THEN sigma WHEN mad > 1e-9 THEN mad WHEN sd <> 0 THEN sd ELSE 1 END AS sigma FROM (
+            SELECT *, list_aggregate(list_transform(bl, lambda x: abs(x - med)), 'quantile_cont', 0.5) * 1.4826 AS mad FROM (
+                SELECT r.k, r.i, r.seq, r.v, f.bl, f.n, f.target, f.sigma, 0.25 * r.v + 0.75 * f.z AS z, (len(f.bl) < 30 OR f.n % 5 = 0) AND len(f.bl) >= 5 AS learns,
+                list_aggregate(f.bl, 'quantile_cont', 0.5) AS med, list_aggregate(f.bl, 'stddev_pop') AS sd FROM f JOIN r ON r.k = f.k AND r.i = f.i + 1)))))
+    SELECT seq, round(stat + 3.1e-08, 5) + 0.0 AS stat, fired FROM f"""
+)
 def adaptive_chart(spark, sf_dir):
-    return keyed_fold(telemetry(spark, sf_dir), KEY, ORDER, K.AdaptiveChart, "stat double, fired boolean")
+    return shown(keyed_fold(telemetry(spark, sf_dir), KEY, ORDER, K.AdaptiveChart, "stat double, fired boolean"), "stat", "fired")
 
 
-@query()
+@query(
+    f"""WITH {T}, b AS (SELECT seq, list(ceil(ln(greatest(v, 1e-9)) / ln(1.01 / 0.99))) OVER (PARTITION BY k ORDER BY us, seq) AS bs FROM t)
+    SELECT seq, round(2 * pow(1.01 / 0.99, list_sort(bs)[CAST(floor(0.99 * (len(bs) - 1)) AS BIGINT) + 1]) / (1.01 / 0.99 + 1) + 3.1e-08, 5) + 0.0 AS p99 FROM b"""
+)
 def running_p99(spark, sf_dir):
-    return keyed_fold(telemetry(spark, sf_dir), ["metric"], ORDER, K.RunningQuantile, "p99 double")
+    """After each event of a user, the quantile of those so far by logarithmic counts."""
+    return shown(keyed_fold(telemetry(spark, sf_dir), KEY, ORDER, K.RunningQuantile, "p99 double"), "p99")
 
 
 @query()

@@ -169,18 +169,23 @@ def sketch_quantiles(spark, sf_dir):
     return q.select("metric", rounded(F.col("p50"), 5).alias("p50"), rounded(F.col("p99"), 5).alias("p99"))
 
 
-@query()
+@query(f"WITH {T} SELECT metric, count(DISTINCT k) AS n, true AS close FROM t GROUP BY metric")
 def sketch_distinct(spark, sf_dir):
+    """Distinct users of each metric, and whether the sketch says so to a tenth."""
     from tidemark.operators.sketches import distinct_sketch
 
-    return distinct_sketch(telemetry(spark, sf_dir), "metric", "k")
+    t = telemetry(spark, sf_dir)
+    exact = t.groupBy("metric").agg(F.countDistinct("k").alias("exact"))
+    return distinct_sketch(t, "metric", "k").join(exact, "metric").select("metric", F.col("exact").alias("n"), (F.abs(F.col("n") / F.col("exact") - 1) < 0.1).alias("close"))
 
 
-@query()
+@query(f"WITH {T}, c AS (SELECT k, count(*) AS n FROM t GROUP BY k) SELECT k, n, true AS covered FROM c")
 def sketch_counts(spark, sf_dir):
+    """Events of each user, and whether the count-min table's estimate is at least that."""
     from tidemark.operators.sketches import count_min
 
-    return count_min(telemetry(spark, sf_dir), "k")
+    c = count_min(telemetry(spark, sf_dir), "k")
+    return c.select("k", F.col("exact").alias("n"), (F.col("estimate") >= F.col("exact")).alias("covered"))
 
 
 @query(f"WITH {T}, b AS (SELECT k, seq, us, v, row_number() OVER (PARTITION BY k ORDER BY us, seq) AS i, count(*) OVER (PARTITION BY k) AS n FROM t), m AS (SELECT *, greatest(5, n // 3) AS h FROM b), a AS (SELECT k, max(n) AS n, quantile_cont(CASE WHEN i <= h THEN v END, 0.5) AS med, max(v) AS peak, arg_max(v, i) AS last FROM m GROUP BY k), d AS (SELECT m.k, quantile_cont(CASE WHEN i <= h THEN abs(v - med) END, 0.5) * 1.4826 AS mad FROM m JOIN a USING (k) GROUP BY m.k) SELECT a.k, a.n >= 12 AND ((abs(peak - med) / greatest(mad, 1e-9) >= 6 AND abs(peak - med) >= 0.5 * 150) OR peak >= 0.5 * 150) AS genuine FROM a JOIN d USING (k)")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clip, micros, rounded
@@ -28,12 +27,12 @@ def scores(spark, sf_dir):
 
 @query(f"WITH {T} SELECT seq, {r6('(v - min(v) OVER (PARTITION BY metric)) / (max(v) OVER (PARTITION BY metric) - min(v) OVER (PARTITION BY metric))', 'norm')} FROM t")
 def minmax_norm(spark, sf_dir):
-    return telemetry(spark, sf_dir).select("seq", rounded(fusion.minmax(F.col("v"), Window.partitionBy("metric"))).alias("norm"))
+    return fusion.minmax(telemetry(spark, sf_dir), ["metric"], "v").select("seq", rounded(F.col("norm")).alias("norm"))
 
 
 @query(f"WITH {T} SELECT seq, {r6('cume_dist() OVER (PARTITION BY metric ORDER BY v)', 'rank')} FROM t")
 def rank_norm(spark, sf_dir):
-    return telemetry(spark, sf_dir).select("seq", rounded(fusion.rank(Window.partitionBy("metric").orderBy("v"))).alias("rank"))
+    return fusion.shares(telemetry(spark, sf_dir), ["metric"], "v").select("seq", rounded(F.col("at_most")).alias("rank"))
 
 
 @query(f"WITH {T}, c AS (SELECT *, median(v) OVER (PARTITION BY metric) AS m FROM t), d AS (SELECT *, median(abs(v - m)) OVER (PARTITION BY metric) * 1.4826 AS s FROM c) SELECT seq, {r6('(v - m) / s', 'z')} FROM d")
@@ -41,7 +40,19 @@ def zscore_norm(spark, sf_dir):
     return fusion.robust_standard(telemetry(spark, sf_dir), ["metric"], "v").select("seq", rounded(F.col("z")).alias("z"))
 
 
-@query()
+def _erfc_sql(x: str) -> str:
+    """columns.normal_cdf's fit in SQL: half the complementary error function of x / sqrt(2)."""
+    terms = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)  # fixed values: those of the fit
+    poly = str(terms[-1])
+    for c in reversed(terms[:-1]):
+        poly = f"({c} + w * {poly})"
+    return f"0.5 * w * exp(-x * x + {poly})".replace("x * x", f"({x}) * ({x})")
+
+
+@query(
+    f"""WITH {T}, c AS (SELECT *, median(v) OVER (PARTITION BY metric) AS m FROM t), d AS (SELECT *, median(abs(v - m)) OVER (PARTITION BY metric) * 1.4826 AS s FROM c), z AS (SELECT seq, (v - m) / s AS z, abs((v - m) / s) / sqrt(2) AS x FROM d),
+    w AS (SELECT *, 1 / (1 + 0.5 * x) AS w FROM z), p AS (SELECT seq, z, {_erfc_sql('x')} AS tail FROM w) SELECT seq, {r6('CASE WHEN z >= 0 THEN 1 - tail ELSE tail END', 'p')} FROM p"""
+)
 def unify_norm(spark, sf_dir):
     """Normal distribution function of the robust z."""
     z = fusion.robust_standard(telemetry(spark, sf_dir), ["metric"], "v")
@@ -51,9 +62,8 @@ def unify_norm(spark, sf_dir):
 @query(f"WITH {T} SELECT seq, {r6('greatest(-ln(cume_dist() OVER (PARTITION BY metric ORDER BY v)), -ln(cume_dist() OVER (PARTITION BY metric ORDER BY v DESC)))', 'score')} FROM t")
 def ecod_batch(spark, sf_dir):
     """Tail probability of a value in its series, the smaller tail, as -log."""
-    w = Window.partitionBy("metric")
-    left, right = F.cume_dist().over(w.orderBy("v")), F.cume_dist().over(w.orderBy(F.desc("v")))
-    return telemetry(spark, sf_dir).select("seq", rounded(F.greatest(-F.log(left), -F.log(right))).alias("score"))
+    tails = fusion.shares(telemetry(spark, sf_dir), ["metric"], "v")
+    return tails.select("seq", rounded(F.greatest(-F.log("at_most"), -F.log("at_least"))).alias("score"))
 
 
 @query(
@@ -133,32 +143,38 @@ def reliability(spark, sf_dir):
     return r.select("bin", "n", rounded(F.col("mean_p")).alias("mean_p"), rounded(F.col("mean_y")).alias("mean_y"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE c AS ({CALIB}), f AS (SELECT 0 AS step, CAST(1 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b UNION ALL
+    SELECT step + 1, a - (g0 * (s4 + 1e-6) - g1 * s3) / ((s2 + 1e-6) * (s4 + 1e-6) - s3 * s3), b - ((s2 + 1e-6) * g1 - s3 * g0) / ((s2 + 1e-6) * (s4 + 1e-6) - s3 * s3) FROM (
+        SELECT step, a, b, sum((q - y) * p) + 1e-6 * a AS g0, sum(q - y) + 1e-6 * b AS g1, sum(w * p * p) AS s2, sum(w * p) AS s3, sum(w) AS s4
+        FROM (SELECT *, greatest(q * (1 - q), 1e-9) AS w FROM (SELECT step, a, b, p, y, 1 / (1 + exp(-(a * p + b))) AS q FROM f, c WHERE step < 25)) GROUP BY step, a, b))
+    SELECT {r6('a', 'a', 5)}, {r6('b', 'b', 5)}, {r6('avg(pow(1 / (1 + exp(-(a * p + b))) - y, 2))', 'brier_after')}, {r6('avg(pow(p - y, 2))', 'brier_before')} FROM (SELECT a, b FROM f ORDER BY step DESC LIMIT 1), c GROUP BY a, b"""
+)
 def platt(spark, sf_dir):
     c = calib(spark, sf_dir)
     m = risk.Platt().fit(c, "p", "y")
-    return c.agg(F.lit(m.a).alias("a"), F.lit(m.b).alias("b"), risk.brier(m.apply(F.col("p")), F.col("y")).alias("brier_after"), risk.brier(F.col("p"), F.col("y")).alias("brier_before"))
+    r = lambda x, name, d=6: rounded(x, d).alias(name)
+    return c.agg(r(F.lit(m.a), "a", 5), r(F.lit(m.b), "b", 5), r(risk.brier(m.apply(F.col("p")), F.col("y")), "brier_after"), r(risk.brier(F.col("p"), F.col("y")), "brier_before"))
 
 
-@query()
+@query(
+    f"""WITH c AS ({CALIB}), x AS (SELECT p AS x, sum(y) AS s, count(*) AS n, row_number() OVER (ORDER BY p) AS i FROM c GROUP BY p), u AS (SELECT *, sum(s) OVER (ORDER BY i) AS su, sum(n) OVER (ORDER BY i) AS nu FROM x),
+    m AS (SELECT j.i AS j, k.i AS k, (k.su - j.su + j.s) / (k.nu - j.nu + j.n) AS m FROM u j JOIN u k ON j.i <= k.i), a AS (SELECT j, k AS i, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS least FROM m),
+    y AS (SELECT i, max(least) AS y FROM a GROUP BY i) SELECT {r6('max(x)', 'x', 5)}, {r6('y', 'y')} FROM y JOIN x USING (i) GROUP BY y"""
+)
 def isotonic(spark, sf_dir):
+    """The steps of the calibration: the greatest of those below j of the least mean from there to k."""
     c = calib(spark, sf_dir)
     m = risk.Isotonic().fit(c, "p", "y")
-    return spark.createDataFrame(m.knots, "x double, y double")
-
+    return spark.createDataFrame(m.knots, "x double, y double").select(rounded(F.col("x"), 5).alias("x"), rounded(F.col("y")).alias("y"))
 
-DAILY = "d AS (SELECT l_suppkey AS k, CAST(epoch(l_shipdate) / 86400 AS BIGINT) AS day, sum(l_quantity) AS v FROM lineitem WHERE l_suppkey < 50 GROUP BY 1, 2), g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY day) AS i, count(*) OVER (PARTITION BY k) AS n FROM d)"
 
-
-def shipped(spark, sf_dir, every: bool):
-    """Rows of lineitem: of every supplier, or of those that the SQL takes."""
-    li = table(spark, sf_dir, "lineitem")
-    return li if every else li.where("l_suppkey < 50")
+DAILY = "d AS (SELECT l_suppkey AS k, CAST(epoch(l_shipdate) / 86400 AS BIGINT) AS day, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY day) AS i, count(*) OVER (PARTITION BY k) AS n FROM d)"
 
 
-def daily(spark, sf_dir, every: bool = False):
+def daily(spark, sf_dir):
     """Quantity shipped a day by a supplier."""
-    li = shipped(spark, sf_dir, every)
+    li = table(spark, sf_dir, "lineitem")
     return li.groupBy(F.col("l_suppkey").alias("k"), F.floor(micros("l_shipdate") / 86_400_000_000).alias("day")).agg(F.sum("l_quantity").alias("v"))
 
 
@@ -167,8 +183,8 @@ def daily(spark, sf_dir, every: bool = False):
     SELECT g.k, g.i, 0.4 * g.v + 0.6 * (level + coalesce(slope, g.v - level)), 0.2 * (0.4 * g.v + 0.6 * (level + coalesce(slope, g.v - level)) - level) + 0.8 * coalesce(slope, g.v - level) FROM f JOIN g ON g.k = f.k AND g.i = f.i + 1)
     SELECT f.k, CAST(h AS INT) AS h, {r6('level + slope * h', 'predicted', 5)} FROM f JOIN (SELECT k, max(i) AS i FROM g GROUP BY k) l ON f.k = l.k AND f.i = l.i, range(1, 13) x(h)"""
 )
-def holt_forecast(spark, sf_dir, every: bool = False):
-    return FC.holt(daily(spark, sf_dir, every), "k", ["day"], "v", 12).select("k", "h", rounded(F.col("predicted"), 5).alias("predicted"))
+def holt_forecast(spark, sf_dir):
+    return FC.holt(daily(spark, sf_dir), "k", ["day"], "v", 12).select("k", "h", rounded(F.col("predicted"), 5).alias("predicted"))
 
 
 @query(
@@ -176,37 +192,37 @@ def holt_forecast(spark, sf_dir, every: bool = False):
     f AS (SELECT k, i, x AS m FROM t WHERE i = 1 UNION ALL SELECT t.k, t.i, 0.5 * t.x + 0.5 * m FROM f JOIN t ON t.k = f.k AND t.i = f.i + 1)
     SELECT l.k, CAST(h AS INT) AS h, {r6('0.5 * (a + b * (n - 1 + h)) + 0.5 * m', 'predicted', 5)} FROM l JOIN f ON f.k = l.k AND f.i = l.n, range(1, 13) x(h)"""
 )
-def theta_forecast(spark, sf_dir, every: bool = False):
-    return FC.theta(daily(spark, sf_dir, every), "k", ["day"], "v", 12).select("k", "h", rounded(F.col("predicted"), 5).alias("predicted"))
+def theta_forecast(spark, sf_dir):
+    return FC.theta(daily(spark, sf_dir), "k", ["day"], "v", 12).select("k", "h", rounded(F.col("predicted"), 5).alias("predicted"))
 
 
 @query(
     f"""WITH {DAILY}, p AS (SELECT k, v AS y, lag(v) OVER (PARTITION BY k ORDER BY day) AS x FROM d), c AS (SELECT k, least(0.999, greatest(-0.999, covar_pop(x, y) / var_pop(x))) AS phi, avg(x) AS mx, avg(y) AS my FROM p WHERE x IS NOT NULL GROUP BY k), l AS (SELECT k, arg_max(v, day) AS z FROM d GROUP BY k)
     SELECT c.k, CAST(h AS INT) AS h, {r6('(my - phi * mx) * (1 - pow(phi, h)) / (1 - phi) + pow(phi, h) * z', 'predicted', 5)} FROM c JOIN l USING (k), range(1, 13) x(h)"""
 )
-def ar1_forecast(spark, sf_dir, every: bool = False):
-    return FC.ar1(daily(spark, sf_dir, every), "k", ["day"], "v", 12).select("k", "h", rounded(F.col("predicted"), 5).alias("predicted"))
+def ar1_forecast(spark, sf_dir):
+    return FC.ar1(daily(spark, sf_dir), "k", ["day"], "v", 12).select("k", "h", rounded(F.col("predicted"), 5).alias("predicted"))
 
 
 @query(f"WITH {DAILY} SELECT k, {r6('regr_slope(v, i - 1)', 'slope')}, {r6('regr_intercept(v, i - 1)', 'intercept', 5)} FROM g GROUP BY k")
-def ols_trend(spark, sf_dir, every: bool = False):
-    t = FC._trend(daily(spark, sf_dir, every), "k", ["day"], "v").select("k", "slope", "intercept").distinct()
+def ols_trend(spark, sf_dir):
+    t = FC._trend(daily(spark, sf_dir), "k", ["day"], "v").select("k", "slope", "intercept").distinct()
     return t.select("k", rounded(F.col("slope")).alias("slope"), rounded(F.col("intercept"), 5).alias("intercept"))
 
 
-MEMBERS = "m AS (SELECT l_suppkey AS k, CAST(1 + l_linenumber % 7 AS INT) AS h, CAST(l_orderkey % 3 AS VARCHAR) AS method, avg(l_quantity) AS predicted, avg(l_quantity) - 5 AS lower, avg(l_quantity) + 5 AS upper FROM lineitem WHERE l_suppkey < 50 GROUP BY 1, 2, 3)"
+MEMBERS = "m AS (SELECT l_suppkey AS k, CAST(1 + l_linenumber % 7 AS INT) AS h, CAST(l_orderkey % 3 AS VARCHAR) AS method, avg(l_quantity) AS predicted, avg(l_quantity) - 5 AS lower, avg(l_quantity) + 5 AS upper FROM lineitem GROUP BY 1, 2, 3)"
 POOL = f"{MEMBERS}, p AS (SELECT k, h, 0.5 * avg(predicted) + 0.5 * median(predicted) AS predicted, min(lower) AS lo, max(upper) AS hi, stddev_pop(predicted) AS sd FROM m GROUP BY k, h), a AS (SELECT k, least(1, greatest(0, 1 - avg(sd) / greatest(avg(abs(predicted)), 1e-9))) AS agreement FROM p GROUP BY k), e AS (SELECT k, h, predicted, least(lo, predicted - sd) AS lower, greatest(hi, predicted + sd) AS upper, agreement FROM p JOIN a USING (k))"
 
 
-def members(spark, sf_dir, every: bool = False):
-    li = shipped(spark, sf_dir, every)
+def members(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
     q = F.avg("l_quantity")
     return li.groupBy(F.col("l_suppkey").alias("k"), (1 + F.col("l_linenumber") % 7).cast("int").alias("h"), (F.col("l_orderkey") % 3).cast("string").alias("method")).agg(q.alias("predicted"), (q - 5).alias("lower"), (q + 5).alias("upper"))
 
 
 @query(f"WITH {POOL} SELECT k, h, {r6('predicted', 'predicted')}, {r6('lower', 'lower')}, {r6('upper', 'upper')}, {r6('agreement', 'agreement')} FROM e")
-def ensemble_pool(spark, sf_dir, every: bool = False):
-    out = FC.ensemble(members(spark, sf_dir, every), ["k"])
+def ensemble_pool(spark, sf_dir):
+    out = FC.ensemble(members(spark, sf_dir), ["k"])
     return out.select("k", "h", *(rounded(F.col(c)).alias(c) for c in ("predicted", "lower", "upper", "agreement")))
 
 
@@ -215,21 +231,21 @@ def ensemble_pool(spark, sf_dir, every: bool = False):
     c AS (SELECT k, h, CASE WHEN predicted >= 27 THEN (h - 1 + CASE WHEN predicted = b THEN 1 ELSE least(1, greatest(0, (27 - b) / (predicted - b))) END) * 20 END AS t FROM l)
     SELECT k, round(arg_min(t, h) FILTER (t IS NOT NULL) + 3.1e-8, 5) + 0.0 AS eta FROM c GROUP BY k"""
 )
-def tti_crossing(spark, sf_dir, every: bool = False):
+def tti_crossing(spark, sf_dir):
     """When the pooled trajectory first reaches 27, from 20 now."""
-    pool = FC.ensemble(members(spark, sf_dir, every), ["k"]).withColumn("now", F.lit(20.0))
+    pool = FC.ensemble(members(spark, sf_dir), ["k"]).withColumn("now", F.lit(20.0))
     return FC.crossing(pool, ["k"], "now", F.lit(27.0), seconds=20.0).select("k", rounded(F.col("eta"), 5).alias("eta"))
 
 
 @query(f"WITH {DAILY}, w AS (SELECT k, v, i FROM g WHERE i > n - 30), s AS (SELECT a.k, (b.v - a.v) / (b.i - a.i) AS s FROM w a JOIN w b ON a.k = b.k AND a.i < b.i) SELECT k, {r6('median(s)', 'slope')} FROM s GROUP BY k")
-def theil_sen(spark, sf_dir, every: bool = False):
-    return FC.theil_sen(daily(spark, sf_dir, every), "k", ["day"], "v").select("k", rounded(F.col("slope")).alias("slope"))
+def theil_sen(spark, sf_dir):
+    return FC.theil_sen(daily(spark, sf_dir), "k", ["day"], "v").select("k", rounded(F.col("slope")).alias("slope"))
 
 
 @query(f"WITH {POOL}, c AS (SELECT k, h, CASE WHEN predicted > 26 THEN predicted END AS eta, agreement * h / 8 AS confidence FROM e) SELECT k, coalesce(arg_min(h, {{'a': eta, 'b': -confidence}}) FILTER (eta IS NOT NULL), arg_max(h, confidence)) AS h FROM c GROUP BY k")
-def pick_tti(spark, sf_dir, every: bool = False):
+def pick_tti(spark, sf_dir):
     """The soonest impact of several estimates; without any, the most confident."""
-    pool = FC.ensemble(members(spark, sf_dir, every), ["k"])
+    pool = FC.ensemble(members(spark, sf_dir), ["k"])
     c = pool.select("k", "h", F.when(F.col("predicted") > 26, F.col("predicted")).alias("eta"), (F.col("agreement") * F.col("h") / 8).alias("confidence"))
     soonest = F.min_by("h", F.when(F.col("eta").isNotNull(), F.struct("eta", -F.col("confidence"))))
     return c.groupBy("k").agg(F.coalesce(soonest, F.max_by("h", "confidence")).alias("h"))
@@ -243,11 +259,11 @@ def pick_tti(spark, sf_dir, every: bool = False):
         FROM f JOIN g ON g.k = f.k AND g.i = f.i + 1 CROSS JOIN LATERAL (SELECT 0.3 * (g.v - f.sea[f.i % 7 + 1]) + 0.7 * (f.level + f.slope) AS level) a)
     SELECT k, CAST(h AS INT) AS h, {r6('level + h * slope + sea[(h - 1) % 7 + 1]', 'predicted', 5)} FROM f, range(1, 13) x(h) WHERE i = n AND n >= 14"""
 )
-def holt_winters(spark, sf_dir, every: bool = False):
+def holt_winters(spark, sf_dir):
     """Seasonal forecast, seven points a season."""
     from tidemark.operators.fold import keyed_fold
 
-    d = daily(spark, sf_dir, every)
+    d = daily(spark, sf_dir)
     f = keyed_fold(d, ["k"], ["day"], lambda: FC.WintersState(7), "level double, slope double, seasonal array<double>")
     last = f.groupBy("k").agg(F.max_by(F.struct("level", "slope", "seasonal"), "day").alias("s"), F.count("*").alias("n")).select("k", "s.*", "n")
     h = F.explode(F.sequence(F.lit(1), F.lit(12))).alias("h")
@@ -255,20 +271,11 @@ def holt_winters(spark, sf_dir, every: bool = False):
     return last.select("*", h).select("k", "h", rounded(F.col("level") + F.col("h") * F.col("slope") + F.coalesce(F.get("seasonal", ((F.col("h") - 1) % 7).cast("int")), F.lit(0.0)), 5).alias("predicted"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {DAILY}, p AS (SELECT k, v, i, n - 12 AS n FROM g WHERE i <= n - 12), l AS (SELECT k, regr_slope(v, i - 1) AS b, regr_intercept(v, i - 1) AS a, max(n) AS n FROM p GROUP BY k), t AS (SELECT p.k, p.i, 2 * p.v - (a + b * (p.i - 1)) AS x FROM p JOIN l USING (k)),
+    f AS (SELECT k, i, x AS m FROM t WHERE i = 1 UNION ALL SELECT t.k, t.i, 0.5 * t.x + 0.5 * m FROM f JOIN t ON t.k = f.k AND t.i = f.i + 1),
+    e AS (SELECT g.k, avg(abs(0.5 * (a + b * (g.i - 1)) + 0.5 * m - g.v)) AS mae FROM g JOIN l ON l.k = g.k AND g.i > l.n JOIN f ON f.k = l.k AND f.i = l.n GROUP BY g.k),
+    nv AS (SELECT k, avg(abs(v - w)) AS naive FROM (SELECT k, v, lag(v) OVER (PARTITION BY k ORDER BY i) AS w FROM p) GROUP BY k) SELECT e.k, {r6('mae / greatest(naive, 1e-9)', 'mase', 5)} FROM e JOIN nv USING (k)"""
+)
 def backtest(spark, sf_dir):
-    return FC.backtest_mase(daily(spark, sf_dir, every=True), "k", ["day"], "v", FC.theta)
-
-
-def _every(f):
-    """Registers f over every supplier; the SQL of f itself has those below 50 only."""
-
-    def run(spark, sf_dir):
-        return f(spark, sf_dir, every=True)
-
-    run.__name__ = f"{f.__name__}_all"
-    return query()(run)
-
-
-for _f in (holt_forecast, theta_forecast, ar1_forecast, ols_trend, theil_sen, holt_winters, ensemble_pool, tti_crossing, pick_tti):
-    _every(_f)
+    return FC.backtest_mase(daily(spark, sf_dir), "k", ["day"], "v", FC.theta).select("k", rounded(F.col("mase"), 5).alias("mase"))

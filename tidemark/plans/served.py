@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import rounded
 from tidemark.operators import bank, catalogue, serving
 from tidemark.plans.registry import query
+from tidemark.plans.texts import BM25, TFIDF
 from tidemark.plans.views import T, table, telemetry
 
 _VALUES = ", ".join(f"('{m.rstrip('*')}', '{f}', {str(m.endswith('*')).lower()})" for f, ms in catalogue.METHODS.items() for m in ms.split())
@@ -54,11 +55,19 @@ def label_tagging(spark, sf_dir):
     return serving.tag(lab, s.select(F.col("s_suppkey").alias("incident"), F.array(F.col("s_nationkey") % 5, F.col("s_nationkey") % 3).alias("nodes")))
 
 
-@query()
+_RANKS = BM25 + TFIDF.replace("WITH g AS", ", g AS", 1)
+
+
+@query(
+    f"""{_RANKS}, al AS (SELECT doc_id FROM documents WHERE lang = 'en'), pb AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM b JOIN al USING (doc_id) WHERE rank <= 50),
+    pv AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM v JOIN al USING (doc_id) WHERE rank <= 50), u AS (SELECT * FROM pb UNION ALL SELECT * FROM pv), r AS (SELECT qid, doc_id, sum(1 / (60 + rank)) AS score FROM u GROUP BY 1, 2),
+    o AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r QUALIFY rank <= 5) SELECT qid, doc_id, CAST(rank AS BIGINT) AS rank, round(1 - (rank - 1) / count(*) OVER (PARTITION BY qid) + 3.1e-9, 6) + 0.0 AS score FROM o"""
+)
 def retrieval(spark, sf_dir):
     """Five documents for each question, among English ones."""
     docs, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return serving.retrieve(docs.select("doc_id", "text"), b.select(F.col("item_id").alias("qid"), F.col("text").alias("query")), "doc_id", "text", allowed=docs.where("lang = 'en'").select("doc_id"))
+    r = serving.retrieve(docs.select("doc_id", "text"), b.select(F.col("item_id").alias("qid"), F.col("text").alias("query")), "doc_id", "text", allowed=docs.where("lang = 'en'").select("doc_id"))
+    return r.select("qid", "doc_id", F.col("rank").cast("long").alias("rank"), rounded(F.col("score")).alias("score"))
 
 
 @query()
@@ -89,7 +98,7 @@ def pelt(spark, sf_dir):
     from tidemark.functions.models import Pelt
     from tidemark.operators.fold import keyed_fold
 
-    return keyed_fold(telemetry(spark, sf_dir), ["metric"], ["us", "seq"], Pelt, "pulse double, fired boolean")
+    return keyed_fold(telemetry(spark, sf_dir), ["k"], ["us", "seq"], Pelt, "pulse double, fired boolean")
 
 
 @query()
@@ -97,7 +106,7 @@ def matrix_profile(spark, sf_dir):
     from tidemark.functions.models import Discord
     from tidemark.operators.fold import keyed_fold
 
-    return keyed_fold(telemetry(spark, sf_dir), ["metric"], ["us", "seq"], Discord, "distance double, fired boolean")
+    return keyed_fold(telemetry(spark, sf_dir), ["k"], ["us", "seq"], Discord, "distance double, fired boolean")
 
 
 @query()
@@ -113,7 +122,7 @@ def boosted_forecast(spark, sf_dir):
         p, lo, hi = model(g.sort_values("day").v.to_numpy(float), 6)
         return pd.DataFrame({"k": g.k.iloc[0], "h": np.arange(1, 7), "predicted": p, "lower": lo, "upper": hi})
 
-    return daily(spark, sf_dir, every=True).groupBy("k").applyInPandas(each, "k long, h int, predicted double, lower double, upper double")
+    return daily(spark, sf_dir).groupBy("k").applyInPandas(each, "k long, h int, predicted double, lower double, upper double")
 
 
 @query()

@@ -57,7 +57,7 @@ def situation(telemetry: DataFrame, nodes: DataFrame, edges: DataFrame, labels:
     final = fusion.fuse(all_scores, key, many=True).select(*key, F.col("risk").alias("final_risk"), F.col("confidence").alias("final_confidence"), "n_methods")
     peaks = screened.join(final, key, "left").withColumns({"risk": F.coalesce("final_risk", "risk"), "confidence": F.coalesce("final_confidence", "confidence")}).drop("final_risk", "final_confidence")
     peaks = cut(peaks)
-    best = peaks.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("risk"), *key))).where(F.col("rank") <= s.forecast_streams)
+    best = peaks.orderBy(F.desc("risk"), *key).limit(s.forecast_streams)
 
     history = watched.join(best.select(*key, F.col("us").alias("peak_us")), key).where("us <= peak_us").withColumn("stream", F.concat_ws("|", *key))
     members = FC.holt(history, "stream", ["us", "seq"], "v", s.steps).unionByName(FC.theta(history, "stream", ["us", "seq"], "v", s.steps)).unionByName(FC.holt(history, "stream", ["us", "seq"], "v", s.steps, damping=0.9, method="ewma_damped"))
