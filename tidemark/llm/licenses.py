@@ -9,8 +9,10 @@ enough of its template within a span of about the template's length.
 Everything runs as DataFrame expressions.  The registry is a constant of this module (its grams are
 bounded), so it is broadcast.  Votes are grouped per text and template; no group exceeds a text.
 
-Defined results: a null text counts as empty; repeated rows each get a row; an empty table gives an
-empty result; other columns are ignored.
+Defined results: a null text counts as empty; very long texts are scanned whole, each gram a row;
+texts are told apart by 128 bits of doc_id and text, so rows that share a doc_id are scanned each for
+itself, and rows without one keep none; repeated rows each get a row; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,8 +22,11 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import identity, written
+
 K = 4
 GAP = 3
+KEY = ["h1", "h2"]
 
 # Phrases of the base rule and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -75,7 +80,7 @@ def registry(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return d.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), words(F.col("text")).alias("words"))
+    return d.select("doc_id", *identity(F.col("doc_id"), F.col("text")), words(F.col("text")).alias("words"))
 
 
 def _places(ws: Column, phrase: str) -> Column:
@@ -96,33 +101,33 @@ def _places(ws: Column, phrase: str) -> Column:
 
 def base(docs: DataFrame) -> DataFrame:
     ws = F.col("words")
-    found = _keyed(docs).select("doc_id", "key", F.size(ws).cast("long").alias("n_words"), *(_places(ws, p).alias(lab) for p, lab in BASE.items()))
+    found = _keyed(docs).select("doc_id", *KEY, F.size(ws).cast("long").alias("n_words"), *(_places(ws, p).alias(lab) for p, lab in BASE.items()))
     places = F.concat(*(F.col(f"`{lab}`") for lab in BASE.values()))
     labels = F.array_compact(F.array(*(F.when(F.size(F.col(f"`{lab}`")) > 0, F.lit(lab)) for lab in sorted(BASE.values()))))
-    return found.select("doc_id", "key", "n_words", places.alias("places"), labels.alias("base"))
+    return found.select("doc_id", *KEY, "n_words", places.alias("places"), labels.alias("base"))
 
 
 def votes(docs: DataFrame) -> DataFrame:
-    """key, template, diagonal: how many grams of the template lie on it, and where."""
+    """KEY, template, diagonal: how many grams of the template lie on it, and where."""
     ws = F.col("words")
     grams = F.transform(F.sequence(F.lit(0), F.size(ws) - K), lambda i: F.xxhash64(*(F.get(ws, i + j) for j in range(K))))
-    rolled = _keyed(docs).where(F.size("words") >= K).select("key", F.posexplode(grams).alias("pos", "gram"))
-    hits = rolled.join(F.broadcast(registry(docs.sparkSession)), "gram").select("key", "template", "n_grams", "label", "pos", "at").distinct()
-    return hits.groupBy("key", "template", "n_grams", "label", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    rolled = _keyed(docs).where(F.size("words") >= K).select(*KEY, F.posexplode(grams).alias("pos", "gram"))
+    hits = rolled.join(F.broadcast(registry(docs.sparkSession)), "gram").select(*KEY, "template", "n_grams", "label", "pos", "at").distinct()
+    return hits.groupBy(*KEY, "template", "n_grams", "label", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
 
 def spans(docs: DataFrame, *, least: float = 0.6, longest: float = 1.5) -> DataFrame:
-    """Verified spans: key, label, first, last (gram positions in the text), coverage.
+    """Verified spans: KEY, label, first, last (gram positions in the text), coverage.
 
     least: share of the template's grams that must be found; longest: length of the span in templates.
     """
-    order = Window.partitionBy("key", "template").orderBy("diagonal")
+    order = Window.partitionBy(*KEY, "template").orderBy("diagonal")
     far = F.col("diagonal") - F.lag("diagonal").over(order) > GAP
     marked = votes(docs).withColumn("run", F.sum(F.when(far, 1).otherwise(0)).over(order))
-    merged = marked.groupBy("key", "template", "n_grams", "label", "run").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
+    merged = marked.groupBy(*KEY, "template", "n_grams", "label", "run").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
     coverage = F.least(F.lit(1.0), F.col("votes") / F.col("n_grams"))
     short = F.col("last") - F.col("first") + 1 <= F.greatest(F.col("n_grams") * longest, F.col("n_grams") + K)
-    return merged.withColumn("coverage", coverage).where((F.col("coverage") >= least) & short).select("key", "label", "first", "last", "coverage")
+    return merged.withColumn("coverage", coverage).where((F.col("coverage") >= least) & short).select(*KEY, "label", "first", "last", "coverage")
 
 
 def best(found: DataFrame) -> DataFrame:
@@ -130,15 +135,16 @@ def best(found: DataFrame) -> DataFrame:
 
     Versions of a license share most of their notice; the better match tells which it is.
     """
-    lists = found.groupBy("key").agg(F.collect_list(F.struct("first", "last", "coverage", "label")).alias("s"))
+    lists = found.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last", "coverage", "label")).alias("s"))
     clear = F.filter("s", lambda x: ~F.exists("s", lambda y: (y["coverage"] > x["coverage"]) & (y["first"] <= x["last"]) & (x["first"] <= y["last"])))
-    return lists.select("key", clear.alias("s")).select("key", F.array_distinct(F.col("s.label")).alias("more"), F.array_max(F.col("s.coverage")).alias("coverage"), F.size("s").alias("n_spans"))
+    return lists.select(*KEY, clear.alias("s")).select(*KEY, F.array_distinct(F.col("s.label")).alias("more"), F.array_max(F.col("s.coverage")).alias("coverage"), F.size("s").alias("n_spans"))
 
 
 def scan(docs: DataFrame, **limits) -> DataFrame:
     """A row for each document: n_words, base places and labels, all labels, score, spans."""
     b = base(docs)
-    out = b.join(best(spans(docs, **limits)), "key", "left")
+    # Written, so that nothing else by KEY shares the stage of the join and Spark can split a row of many copies.
+    out = b.join(written(best(spans(docs, **limits)), "notices"), KEY, "left")
     empty = F.array().cast("array<string>")
     both = F.array_sort(F.array_union("base", F.coalesce("more", empty)))
     return out.select(
