@@ -4,6 +4,14 @@ Quality rules, near duplicates, benchmark decontamination, mixing to target weig
 stage takes (spark, docs, sf_dir), works on all that the stage before kept and returns a DataFrame
 that is written as Parquet and reread as the docs of the next; all but the last return the columns of
 documents.
+
+Defined results, in every stage: docs may have any other columns, whatever their names, and keep them;
+null and empty texts, very long texts, null sources, languages and doc_ids are rows like others, told
+apart by doc_id and text where a verdict must find its row; empty tables give empty ones.  By stage:
+rows with a null, empty or short text fail the quality rules and go; near duplicates leave one row of
+each group and one of rows equal in doc_id and text; decontamination takes or leaves equal rows
+together; mixing repeats a row as often as it is taken, equal rows alike; sharding gives every row of
+the mix a shard and a slot of its own.
 """
 
 from __future__ import annotations
