@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import first_of, identity, packed, unpacked, written
@@ -273,14 +273,17 @@ def _unsettled(members: DataFrame) -> DataFrame:
 def _with_hub(members: DataFrame, second: bool = False) -> DataFrame:
     """(u, v): each member and its bucket's hub where they are in different components.
 
-    second: the hub is the first outside the component of the one that was first.
+    second: the hub is the best of the second best component.
     """
     rank = F.struct(F.col("weight"), (-F.col("node")).alias("less"), "node", "comp")
-    hubs = members.groupBy("bucket").agg(F.max(rank).alias("hub"))
     if second:
-        # Maxima are written for the same reason as sizes.
-        first = written(hubs, "hubs").select("bucket", F.col("hub.comp").alias("of"))
-        hubs = members.join(first, "bucket").where("comp <> of").groupBy("bucket").agg(F.max(rank).alias("hub"))
+        # The best of each component, of which a task hands on two: a bucket of any size is few rows in the shuffle.
+        each = members.groupBy("bucket", "comp").agg(F.max(rank).alias("hub"))
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("hub")))
+        hubs = each.withColumn("place", place).where("place <= 2").where("place = 2").select("bucket", "hub")
+    else:
+        hubs = members.groupBy("bucket").agg(F.max(rank).alias("hub"))
+    # Written for the same reason as sizes.
     return members.join(written(hubs, "hubs"), "bucket").where(F.col("comp") != F.col("hub.comp")).select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct()
 
 
