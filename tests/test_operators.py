@@ -156,7 +156,7 @@ def test_explanations(spark):
     m = frame(spark, [("i", "z:latency_ms", 1.0, 0.8), ("i", "loss", 1.0, 0.2)], "k string, method string, weight double, norm double")
     a = explain.signals(explain.attribute(m, "k", F.lit(0.5)), "k").collect()
     assert [(r.feature, round(r.value, 3), r.direction) for r in a] == [("latency_ms", 0.4, "increases_risk"), ("loss", 0.1, "increases_risk")]
-    assert a[0].meaning.startswith("Latency is drifting")
+    assert a[0].meaning.startswith("Delay on the path adds to the risk")
     imp = explain.permutation_importance(frame(spark, [(5.0, 1.0)], "a double, b double"), lambda c: 2 * c["a"] + 0 * c["b"], ["a", "b"], {"a": [0.0], "b": [0.0]}).first()
     assert (imp.imp_a, imp.imp_b) == (10.0, 0.0)
 
