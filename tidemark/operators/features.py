@@ -84,7 +84,8 @@ class EntityEngine:
         self.registry, self.every, self.trees = registry, every, trees
         self.kernels: dict[tuple[str, int], object] = {}
         self.snapshot: dict[str, float] = {}
-        self.forests: dict[str, K.HalfSpaceTrees] = {}
+        self.names = sorted({f for specs in registry.specs.values() for s in specs for f in s.features if f}) if trees else []
+        self.forest = K.HalfSpaceTrees(height=10, window=250, seed=42, dims=len(self.names)) if trees else None
         self.n, self.last = 0, None
 
     def step(self, x, t, metric):
@@ -99,9 +100,9 @@ class EntityEngine:
             else:
                 self.snapshot |= {k: float(v) for k, v in zip(spec.features, out) if k and v is not None and v - v == 0}
         if self.trees and self.snapshot:
-            scores = [self.forests.setdefault(k, K.HalfSpaceTrees()).step(v)[0] for k, v in self.snapshot.items() if k != "hst_score"]
-            self.snapshot["hst_score"] = sum(scores) / len(scores)
-            if self.snapshot["hst_score"] >= 0.9:
+            score, high = self.forest.step([self.snapshot.get(f, 0.0) for f in self.names])
+            self.snapshot["hst_score"] = score
+            if high:
                 fired.append("half_space_trees:snapshot")
         if self.every is not None and self.last is not None and t - self.last < self.every:
             return None, None, None

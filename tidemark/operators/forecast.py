@@ -141,9 +141,10 @@ def ensemble(members: DataFrame, keys: list[str], weights: dict[str, float] | No
     """keys, h, predicted, lower, upper, agreement of a long table of members.
 
     predicted is half the weighted mean and half the median; the band encloses the members' bands and
-    one standard deviation of their points; agreement falls with their spread over the horizon.
+    one standard deviation of their points; agreement falls with their spread over the horizon.  Members
+    weigh alike, or by weights, or, if they have a column mase (from backtest_mase), by how little they missed.
     """
-    w = F.lit(1.0) if not weights else F.try_element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("method"))
+    w = F.coalesce(1 / (F.col("mase") + 1e-3), F.lit(1.0)) if "mase" in members.columns else F.lit(1.0) if not weights else F.try_element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("method"))
     by = members.withColumn("w", w).groupBy(*keys, "h").agg(
         (0.5 * F.sum(F.col("w") * F.col("predicted")) / F.sum("w") + 0.5 * F.percentile("predicted", F.lit(0.5))).alias("predicted"),
         F.min("lower").alias("lo"), F.max("upper").alias("hi"), F.stddev_pop("predicted").alias("sd"),
@@ -153,6 +154,15 @@ def ensemble(members: DataFrame, keys: list[str], weights: dict[str, float] | No
     return by.join(scale, keys).select(*keys, "h", "predicted", F.least("lo", p - F.col("sd")).alias("lower"), F.greatest("hi", p + F.col("sd")).alias("upper"), "agreement")
 
 
+def tested(members: DataFrame, history: DataFrame, key: str, order: list[str], value: str, models: dict, *, held: int = 12) -> DataFrame:
+    """members (key, method, ...) with the mase of each one's model on the last points of the history."""
+    scores = None
+    for method, model in models.items():
+        one = backtest_mase(history, key, order, value, model, held=held).withColumn("method", F.lit(method))
+        scores = one if scores is None else scores.unionByName(one)
+    return members.join(scores, [key, "method"], "left")
+
+
 def crossing(points: DataFrame, keys: list[str], current: str, threshold: Column, *, seconds: float = 1.0, above: bool = True) -> DataFrame:
     """keys, eta, eta_lower, eta_upper, confidence: when each trajectory first reaches a threshold, linear between points."""
     w = Window.partitionBy(*keys).orderBy("h")
@@ -201,6 +211,34 @@ def theil_sen(df: DataFrame, key: str, order: list[str], value: str, *, window:
     return g.select(key, mid.alias("slope"), F.get("ss", lo).alias("lower"), F.get("ss", hi).alias("upper"), "last", "n")
 
 
+def extrapolated(trend: DataFrame, key: str, threshold: Column, *, seconds: float = 1.0, above: bool = True) -> DataFrame:
+    """key, eta, eta_lower, eta_upper, confidence: when the trend of theil_sen and its bounds reach a threshold."""
+    last = F.col("last")
+    beyond = (last >= threshold) if above else (last <= threshold)
+
+    def reach(slope: Column) -> Column:
+        steps = (threshold - last) / F.when(F.abs(slope) >= 1e-12, slope)
+        return F.when(steps <= 0, F.when(beyond, 0.0)).when((slope > 0) == F.lit(above), steps * seconds)
+
+    out = trend.withColumns({"eta": reach(F.col("slope")), "a": reach(F.col("upper")), "b": reach(F.col("lower"))})
+    sure = clip(1 / (1 + F.abs(F.col("upper") - F.col("lower")) / (F.abs("slope") + 1e-9)), 0.05, 0.95)
+    return out.select(key, "eta", F.least("a", "b").alias("eta_lower"), F.greatest("a", "b").alias("eta_upper"), F.when(F.col("eta").isNotNull(), sure).otherwise(0.3).alias("confidence"))
+
+
+def first_estimate(key: str, estimates: list[tuple[str, DataFrame]]) -> DataFrame:
+    """key, method and estimate of the first of several (eta, eta_lower, eta_upper, confidence) that foresees an impact.
+
+    A key without any keeps what the first says of it, with no time: healthy.
+    """
+    names = ["eta", "eta_lower", "eta_upper", "confidence"]
+    out = None
+    for i, (method, e) in enumerate(estimates):
+        s = e.select(key, F.struct(F.lit(method).alias("method"), *names).alias(f"e{i}"))
+        out = s if out is None else out.join(s, key, "left")
+    found = F.coalesce(*(F.when(F.col(f"e{i}.eta").isNotNull(), F.col(f"e{i}")) for i in range(len(estimates))), F.struct(F.lit("healthy").alias("method"), *(F.col(f"e0.{n}").alias(n) for n in names)))
+    return out.select(key, found.alias("e")).select(key, "e.*")
+
+
 def _erfinv(p: float) -> float:
     lo, hi = 0.0, 6.0
     for _ in range(80):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -162,43 +164,85 @@ def constant_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataF
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-def cox_proportional(df: DataFrame, x: str, time: str, event: str, *, ridge: float = 0.1, steps: int = 30, part_rows: int = 20_000) -> tuple[float, int, float]:
-    """Coefficient of x, number of events, and baseline cumulative hazard at the last time, over all rows.
+def cox_proportional(df: DataFrame, x: str, time: str, event: str, **how) -> tuple[float, int, float]:
+    """Coefficient of x, number of events, and baseline cumulative hazard at the last time, over all rows."""
+    fit = cox_fit(df, x, time, event, **how)
+    return fit.beta, fit.n_events, fit.hazard[-1] if fit.hazard else 0.0
+
+
+@dataclass(frozen=True)
+class Cox:
+    """A fitted model: the baseline cumulative hazard after each of a bounded number of times."""
+
+    beta: float
+    centre: float
+    n_events: int
+    times: list[float]
+    hazard: list[float]
+
+    def _steps(self, x: Column) -> Column:
+        """start, end and the share that lives from the one to the other, of each stretch between times."""
+        risk = F.exp(clip(F.lit(self.beta) * (x - self.centre), -30.0, 30.0))
+        rows = F.array(*(F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), F.lit(float(h)).alias("h")) for a, b, h in zip([0.0, *self.times], self.times, [0.0, *self.hazard])))
+        return F.transform(rows, lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"), F.exp(-r["h"] * risk).alias("s")))
+
+    def expected(self, x: Column) -> Column:
+        """Mean time until the event, up to the last time: the sum of what lives over the stretches."""
+        return F.aggregate(self._steps(x), F.lit(0.0), lambda t, r: t + (r["b"] - r["a"]) * r["s"])
 
-    models.cox_fit with its sums in Spark: rows are dealt to ranges of time, sums of a range are added up at the
-    driver to what its later ranges hold, and running sums within a range give the risk sets; equal times share theirs.
+    def median(self, x: Column) -> Column:
+        """The first time at which half is gone; null if more is left at the last."""
+        risk = F.exp(clip(F.lit(self.beta) * (x - self.centre), -30.0, 30.0))
+        rows = F.array(*(F.struct(F.lit(float(t)).alias("t"), F.lit(float(h)).alias("h")) for t, h in zip(self.times, self.hazard)))
+        return F.get(F.filter(rows, lambda r: F.exp(-r["h"] * risk) <= 0.5), F.lit(0))["t"]
+
+
+def cox_fit(df: DataFrame, x: str, time: str, event: str, *, ridge: float = 0.1, steps: int = 30, part_rows: int = 20_000, knots: int = 256) -> Cox:
+    """Newton's steps on the partial likelihood of all rows, with its sums in Spark.
+
+    Rows are dealt to ranges of time, sums of a range are added up at the driver to what its later ranges hold, and
+    running sums within a range give the risk sets; equal times share theirs.  The hazard comes back at ``knots``
+    quantiles of the times (all of them, if fewer).
     """
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(time).alias("t"), F.col(event).cast("long").alias("e"))
     n, centre, n_events = rows.agg(F.count("*"), F.avg("x"), F.coalesce(F.sum("e"), F.lit(0))).first()
     if not n_events:
-        return 0.0, 0, 0.0
+        return Cox(0.0, float(centre or 0.0), 0, [], [])
     rows = rows.withColumn("x", F.col("x") - centre).repartitionByRange(n // part_rows + 1, "t").withColumn("part", F.spark_partition_id()).persist()
 
-    def sums(beta: float) -> tuple:
-        """Gradient, curvature and hazard."""
+    def at_risk(beta: float) -> tuple[DataFrame, DataFrame]:
+        """d, dx, t and the sums of weights over those at risk, r0, r1 and r2, of each time; and what is persisted."""
         w = F.exp(clip(F.lit(beta) * F.col("x"), -30.0, 30.0))
         by = rows.groupBy("part", "t").agg(F.sum(w).alias("s0"), F.sum(w * F.col("x")).alias("s1"), F.sum(w * F.col("x") * F.col("x")).alias("s2"), F.sum("e").alias("d"), F.sum(F.col("e") * F.col("x")).alias("dx")).persist()
-        try:
-            later, off = np.zeros(3), []
-            for p in sorted(by.groupBy("part").agg(F.max("t").alias("t"), *(F.sum(c).alias(c) for c in ("s0", "s1", "s2"))).collect(), key=lambda p: p.t, reverse=True):
-                off.append((p.part, *map(float, later)))
-                later = later + np.array([p.s0, p.s1, p.s2])
-            at = Window.partitionBy("part").orderBy(F.desc("t"))
-            risk = by.join(constant_table(df.sparkSession, off, "part int, o0 double, o1 double, o2 double"), "part")
-            risk = risk.select("d", "dx", *((F.sum(f"s{i}").over(at) + F.col(f"o{i}")).alias(f"r{i}") for i in range(3)))
-            d, r0, m = F.col("d"), F.col("r0"), F.col("r1") / F.col("r0")
-            return tuple(risk.agg(F.sum(F.col("dx") - d * m), F.sum(d * (F.col("r2") / r0 - m * m)), F.sum(d / r0)).first())
-        finally:
-            by.unpersist()
-
-    beta = 0.0
+        later, off = np.zeros(3), []
+        for p in sorted(by.groupBy("part").agg(F.max("t").alias("t"), *(F.sum(c).alias(c) for c in ("s0", "s1", "s2"))).collect(), key=lambda p: p.t, reverse=True):
+            off.append((p.part, *map(float, later)))
+            later = later + np.array([p.s0, p.s1, p.s2])
+        at = Window.partitionBy("part").orderBy(F.desc("t"))
+        risk = by.join(constant_table(df.sparkSession, off, "part int, o0 double, o1 double, o2 double"), "part")
+        return risk.select("t", "d", "dx", *((F.sum(f"s{i}").over(at) + F.col(f"o{i}")).alias(f"r{i}") for i in range(3))), by
+
+    beta, d, m = 0.0, F.col("d"), F.col("r1") / F.col("r0")
     try:
         for _ in range(steps):
-            grad, curve, _hazard = sums(beta)
+            risk, held = at_risk(beta)
+            grad, curve = risk.agg(F.sum(F.col("dx") - d * m), F.sum(d * (F.col("r2") / F.col("r0") - m * m))).first()
+            held.unpersist()
             move = (grad - ridge * beta) / (curve + ridge)
             beta += move
             if abs(move) < 1e-9:
                 break
-        return float(beta), int(n_events), float(sums(beta)[2])
+        risk, held = at_risk(beta)
+        shares = [(i + 1) / knots for i in range(knots)]
+        edges = sorted(set(risk.where("d > 0").agg(F.percentile_approx("t", shares, 100 * knots)).first()[0]))
+        ends = F.lit([float(e) for e in edges])
+        part = F.size(F.filter(ends, lambda e: e < F.col("t")))
+        gained = {r.part: r.h for r in risk.where("d > 0").groupBy(part.alias("part")).agg(F.sum(d / F.col("r0")).alias("h")).collect()}
+        held.unpersist()
+        total, hazard = 0.0, []
+        for i in range(len(edges)):
+            total += gained.get(i, 0.0)
+            hazard.append(float(total))
+        return Cox(float(beta), float(centre), int(n_events), [float(e) for e in edges], hazard)
     finally:
         rows.unpersist()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("features", "relational", "scoring", "graphs", "texts", "streams", "situation", "served")
+MODULES = ("features", "relational", "scoring", "graphs", "texts", "streams", "situation", "served", "desk")
 
 
 def all_queries() -> tuple[dict, dict]:

@@ -279,3 +279,43 @@ def holt_winters(spark, sf_dir):
 )
 def backtest(spark, sf_dir):
     return FC.backtest_mase(daily(spark, sf_dir), "k", ["day"], "v", FC.theta).select("k", rounded(F.col("mase"), 5).alias("mase"))
+
+
+TREND = f"""{DAILY}, w AS (SELECT k, v, i, n FROM g WHERE i > n - 30), s AS (SELECT a.k, median((b.v - a.v) / (b.i - a.i)) AS slope FROM w a JOIN w b ON a.k = b.k AND a.i < b.i GROUP BY a.k), tr AS (SELECT s.k, slope, v AS last FROM s JOIN w ON w.k = s.k AND w.i = w.n),
+    te AS (SELECT k, CASE WHEN abs(slope) < 1e-12 THEN NULL WHEN (60 - last) / slope <= 0 THEN CASE WHEN last >= 60 THEN 0 END WHEN slope > 0 THEN (60 - last) / slope * 20 END AS eta FROM tr)"""
+
+
+@query(
+    f"""WITH {POOL}, l AS (SELECT *, coalesce(lag(predicted) OVER (PARTITION BY k ORDER BY h), 20.0) AS b FROM e), c AS (SELECT k, h, CASE WHEN predicted >= 27 THEN (h - 1 + CASE WHEN predicted = b THEN 1 ELSE least(1, greatest(0, (27 - b) / (predicted - b))) END) * 20 END AS t FROM l),
+    tc AS (SELECT k, arg_min(t, h) FILTER (t IS NOT NULL) AS eta FROM c GROUP BY k), {TREND.replace("d AS (", "dd AS (", 1).replace("FROM d)", "FROM dd)", 1)}
+    SELECT tc.k, CASE WHEN tc.eta IS NOT NULL THEN 'trajectory' WHEN te.eta IS NOT NULL THEN 'trend' ELSE 'healthy' END AS method, round(coalesce(tc.eta, te.eta) + 3.1e-8, 5) + 0.0 AS eta FROM tc LEFT JOIN te USING (k)"""
+)
+def impact_facade(spark, sf_dir):
+    """The trajectory's crossing of 27; else where the trend of days reaches 60; else healthy."""
+    pool = FC.ensemble(members(spark, sf_dir), ["k"]).withColumn("now", F.lit(20.0))
+    cross = FC.crossing(pool, ["k"], "now", F.lit(27.0), seconds=20.0)
+    trend = FC.extrapolated(FC.theil_sen(daily(spark, sf_dir), "k", ["day"], "v"), "k", F.lit(60.0), seconds=20.0)
+    out = FC.first_estimate("k", [("trajectory", cross), ("trend", trend)])
+    return out.select("k", "method", rounded(F.col("eta"), 5).alias("eta"))
+
+
+@query(
+    f"""WITH {MEMBERS.replace("m AS (", "m0 AS (", 1)}, m AS (SELECT *, CASE method WHEN '0' THEN 0.5 WHEN '1' THEN 2.0 END AS mase FROM m0), w AS (SELECT *, coalesce(1 / (mase + 1e-3), 1.0) AS w FROM m)
+    SELECT k, h, {r6('0.5 * sum(w * predicted) / sum(w) + 0.5 * median(predicted)', 'predicted')} FROM w GROUP BY k, h"""
+)
+def weighted_pool(spark, sf_dir):
+    """Members of an ensemble weigh by the inverse of what they missed in a backtest; one that has none weighs 1."""
+    m = members(spark, sf_dir).withColumn("mase", F.when(F.col("method") == "0", 0.5).when(F.col("method") == "1", 2.0))
+    return FC.ensemble(m, ["k"]).select("k", "h", rounded(F.col("predicted")).alias("predicted"))
+
+
+@query()
+def tested_ensemble(spark, sf_dir):
+    """Holt, theta and AR(1) forecasts of each supplier, pooled by their backtests."""
+    d = daily(spark, sf_dir)
+    models = {"ewma_holt": FC.holt, "theta": FC.theta, "ar1": FC.ar1}
+    points = None
+    for model in models.values():
+        p = model(d, "k", ["day"], "v", 6)
+        points = p if points is None else points.unionByName(p)
+    return FC.ensemble(FC.tested(points, d, "k", ["day"], "v", models), ["k"]).select("k", "h", "predicted", "lower", "upper", "agreement")

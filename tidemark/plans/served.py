@@ -127,13 +127,17 @@ def boosted_forecast(spark, sf_dir):
 
 @query()
 def survival(spark, sf_dir):
-    """Cox model of the time between a user's events, by the value before, over all intervals; the last of a user is open. Intervals without a value are left out."""
-    from tidemark.operators.risk import cox_proportional
+    """How long until a user's next event, by the value of the last one: Cox model of the times between all events by the value before.
+
+    The last interval of a user is open, and as long as the longest.  Intervals without a value are left out of the fit.
+    """
+    from tidemark.operators.risk import cox_fit
 
     t = telemetry(spark, sf_dir)
     w = Window.partitionBy("k").orderBy("us", "seq")
-    gaps = t.select((F.col("v") / 100).alias("x"), (F.lead("us").over(w) - F.col("us")).alias("gap")).where("x is not null and not isnan(x)")
-    # An open interval is as long as the longest.
-    longest = gaps.agg(F.coalesce(F.max("gap"), F.lit(0))).first()[0]
-    gaps = gaps.select("x", F.coalesce("gap", F.lit(longest)).alias("gap"), F.col("gap").isNotNull().alias("seen"))
-    return spark.createDataFrame([cox_proportional(gaps, "x", "gap", "seen")], "beta double, n_events long, hazard double")
+    gaps = t.select("k", (F.col("v") / 100).alias("x"), ((F.lead("us").over(w) - F.col("us")) / 1e6).alias("gap"))
+    known = gaps.where("x is not null and not isnan(x)")
+    longest = known.agg(F.coalesce(F.max("gap"), F.lit(0.0))).first()[0]
+    model = cox_fit(known.select("x", F.coalesce("gap", F.lit(longest)).alias("gap"), F.col("gap").isNotNull().alias("seen")), "x", "gap", "seen")
+    x = F.col("x")
+    return gaps.where("gap is null").select("k", "x", model.expected(x).alias("eta"), model.median(x).alias("median"), F.lit(model.beta).alias("beta"), F.lit(model.n_events).alias("n_events"))

@@ -28,6 +28,16 @@ class Settings:
     step_s: float = 20.0
     alert: float = 0.30
     window_us: int = 300_000_000
+    every: int = 1
+    raw_events: bool = False
+
+    def __post_init__(self):
+        if min(self.forecast_streams, self.batch_streams, self.steps, self.every) < 1:
+            raise ValueError("streams, steps and every must be positive")
+
+
+#: What a run looks at: fast forecasts from every other point, full from all, for more streams and steps.
+PROFILES = {"fast": Settings(every=2), "full": Settings(forecast_streams=40, batch_streams=40, steps=24)}
 
 
 def situation(telemetry: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFrame | None = None, settings: Settings = Settings()) -> dict[str, DataFrame]:
@@ -60,6 +70,10 @@ def situation(telemetry: DataFrame, nodes: DataFrame, edges: DataFrame, labels:
     best = peaks.orderBy(F.desc("risk"), *key).limit(s.forecast_streams)
 
     history = watched.join(best.select(*key, F.col("us").alias("peak_us")), key).where("us <= peak_us").withColumn("stream", F.concat_ws("|", *key))
+    if s.every > 1:
+        # Every so many points, the last one among them; a forecast's step grows along.
+        back = F.row_number().over(Window.partitionBy("stream").orderBy(F.desc("us"), F.desc("seq")))
+        history = history.withColumn("back", back).where((F.col("back") - 1) % s.every == 0).drop("back")
     members = FC.holt(history, "stream", ["us", "seq"], "v", s.steps).unionByName(FC.theta(history, "stream", ["us", "seq"], "v", s.steps)).unionByName(FC.holt(history, "stream", ["us", "seq"], "v", s.steps, damping=0.9, method="ewma_damped"))
     now = history.groupBy("stream", *key, "threshold", "above").agg(F.max_by("v", "us").alias("now"))
     pooled = FC.ensemble(members, ["stream"]).join(now, "stream")
@@ -72,6 +86,11 @@ def situation(telemetry: DataFrame, nodes: DataFrame, edges: DataFrame, labels:
     collapsed = at_risk.groupBy("entity").agg(F.max_by(F.struct("metric", "us", "seq", "risk", "confidence", "issue", "eta"), F.struct("excursion", "risk")).alias("e")).select("entity", "e.*")
     placed = cut(collapsed.join(map_to_node(collapsed, nodes), "entity", "left"))
     events = placed.select("seq", "entity", F.concat(F.lit("fused|"), F.col("issue")).alias("kind"), "us", "node", F.col("risk").alias("score"), "issue", "confidence", "eta")
+    if s.raw_events:
+        # The detectors' own events at the peaks join those of the fused risk.
+        raw = graph.normalized_events(cut(all_scores.where("fired")), peaks.select("seq", "us", "entity", "risk", "issue").limit(0)).where("issue is null")
+        raw = raw.join(placed.select("entity", "node"), "entity").select("seq", "entity", "kind", "us", "node", "score", F.lit("none").alias("issue"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("double").alias("eta"))
+        events = events.unionByName(raw.withColumn("seq", F.xxhash64("seq", "kind")))
     grouped = cut(graph.correlated(events, graph.within_two_hops(edges), window=s.window_us))
     groups = graph.incident_groups(grouped)
 
@@ -79,7 +98,7 @@ def situation(telemetry: DataFrame, nodes: DataFrame, edges: DataFrame, labels:
     member = grouped.join(central, "node", "left")
     w = Window.partitionBy("component")
     spread = F.max("c").over(w) - F.min("c").over(w)
-    candidates = member.select("component", "seq", "entity", "node", "issue", "score", "confidence", "eta", F.when(spread > 0, 0.05 + 0.95 * (F.col("c") - F.min("c").over(w)) / spread).otherwise(1.0).alias("centrality"), graph.onset_score(F.col("us"), w).alias("onset"), F.lit(1.0).alias("causal"))
+    candidates = member.select("component", "seq", "entity", "node", "issue", "score", "confidence", "eta", F.when(spread > 0, 0.05 + 0.95 * (F.col("c") - F.min("c").over(w)) / spread).otherwise(1.0).alias("centrality"), graph.onset_score(F.col("us"), w).alias("onset")).join(_influence(grouped, placed, watched), ["component", "entity"], "left").withColumn("causal", F.coalesce("causal", F.lit(1.0)))
     ranked = cut(graph.root_causes(candidates, "component", "seq"))
     root = ranked.where("rank = 1").select("component", F.col("entity").alias("root"), F.col("node").alias("root_node"), "rationale", F.col("score").alias("cause_score"))
     reached = graph.bfs(edges, root.select(F.col("root_node").alias("id")).where("id is not null").distinct())
@@ -97,6 +116,17 @@ def situation(telemetry: DataFrame, nodes: DataFrame, edges: DataFrame, labels:
     return out
 
 
+def _influence(grouped: DataFrame, placed: DataFrame, watched: DataFrame) -> DataFrame:
+    """component, entity, causal: how much an entity's series foretells those of the others of its incident, 0.25 to 1 within it."""
+    several = grouped.groupBy("component").agg(F.countDistinct("entity").alias("n")).where("n > 1")
+    members = grouped.join(several, "component").select("component", "entity").distinct().join(placed.select("entity", "metric"), "entity")
+    series = watched.join(members, ["entity", "metric"]).select("component", "entity", "us", "seq", "v")
+    scores = cut(graph.granger_scores(series, "component", "entity", ["us", "seq"], "v"))
+    w = Window.partitionBy("component")
+    lo, spread = F.min("causal").over(w), F.max("causal").over(w) - F.min("causal").over(w)
+    return scores.select("component", F.col("cause").alias("entity"), F.when(spread > 1e-9, 0.25 + 0.75 * (F.col("causal") - lo) / spread).otherwise(1.0).alias("causal"))
+
+
 def answers(incidents: DataFrame) -> DataFrame:
     """incident, headline, answer: the template answer of each incident, from its fields alone."""
     minutes = F.bround(risk.minutes(F.col("eta")), 1)

@@ -42,6 +42,12 @@ def write_lines(df: DataFrame, kind: str, path: str, mode: str = "append") -> No
     encode(df, F.lit(kind)).write.mode(mode).text(path)
 
 
+def write_tagged(df: DataFrame, kind: str, path: str) -> None:
+    """Rows of several types, told by a column."""
+    rest = [c for c in df.columns if c != kind]
+    df.select(F.to_json(F.struct(F.col(kind).alias("_type"), *rest)).alias("record")).write.mode("overwrite").text(path)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "record")
 

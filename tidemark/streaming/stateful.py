@@ -9,6 +9,7 @@ events older than the watermark are dropped by Spark and counted in its progress
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from tidemark.functions.lineage import checkpoint_dir
 from tidemark.operators.alerts import alert_key, minute
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -92,15 +94,38 @@ def replay(spark: SparkSession, path: str, schema: StructType | str, *, files_pe
 
 
 def drain(stream: DataFrame, name: str, *, checkpoint: str | None = None, timeout: int = 300) -> DataFrame:
-    """Run a stream over all that is there now and return what it appended (for tests and small replays)."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True)
-    q = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    """Run a stream over all that is there now, into files of the shared folder, and return what it appended."""
+    spark = stream.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    q = to_batches(stream, f"{path}/out", checkpoint or f"{path}/checkpoint")
     try:
         if not q.awaitTermination(timeout):
             raise TimeoutError(f"the stream {name} did not end in {timeout} s")
     finally:
         q.stop()
-    return stream.sparkSession.table(name)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/out")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").select(*stream.columns)
+
+
+def follow(spark: SparkSession, path: str, schema: StructType | str, process: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, *, fmt: str = "json", files_per_trigger: int = 100, once_within: str | None = None, key: str | None = None, ts: str | None = None):
+    """A durable consumer of a folder that others publish files to: read on from the cursor, process, publish, and only then move it.
+
+    The checkpoint is the cursor: a batch whose output is not written is read again, and its output replaces itself.
+    once_within: a message whose key was seen within that time of ts is a repeat and is passed by.
+    """
+    rows = replay(spark, path, schema, files_per_trigger=files_per_trigger, fmt=fmt)
+    if once_within:
+        rows = rows.withWatermark(ts, once_within).dropDuplicatesWithinWatermark([key])
+    return to_batches(process(rows), out, checkpoint)
+
+
+def expired(spark: SparkSession, path: str, ts: str, keep: str) -> DataFrame:
+    """What of a folder's messages is past retention: older than ``keep`` before the latest."""
+    rows = spark.read.parquet(path)
+    latest = rows.agg(F.max(ts)).first()[0]
+    return rows.where(F.col(ts) < F.lit(latest) - F.expr(f"interval {keep}"))
 
 
 def to_batches(stream: DataFrame, path: str, checkpoint: str, *, partition_by: tuple[str, ...] = ()):
