@@ -115,8 +115,14 @@ def test_forests_of_several_features_and_frozen():
     assert not any(frozen.step(x)[1] for x in xs)
     centre = np.median(xs)
     assert frozen.lo == pytest.approx(centre - 4 * 1.4826 * np.median(np.abs(xs - centre)))
-    calm = [frozen.step(x)[1] for x in r.normal(50, 2, 60)]
-    assert sum(calm) < 12 and any(frozen.step(90.0)[1] for _ in range(5))
+    calm = [frozen.step(x) for x in r.normal(50, 2, 60)]
+    far, fired = frozen.step(90.0)
+    assert far > np.median([c for c, _ in calm]) and not any(f for _, f in calm)
+    assert fired == ((far - frozen.centre) / frozen.scale >= 3.5)
+    keen = K.FrozenForest(warm=40, limit=0.5, window=40)
+    for x in r.normal(50, 2, 40):
+        keen.step(x)
+    assert keen.step(90.0)[1]
 
 
 def test_inventory(spark):
@@ -164,7 +170,7 @@ def test_durable_consumer(spark, tmp_path):
     from tidemark.streaming import stateful as S
 
     path, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
-    df = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 1.0), ("b", 2, 2.0)], "key string, t long, v double").withColumn("ts", F.timestamp_seconds("t"))
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 0, 1.0), ("b", 2, 2.0)], "key string, t long, v double").withColumn("ts", F.timestamp_seconds("t"))
 
     def once():
         q = S.follow(spark, path, df.schema, lambda s: s.withColumn("v", F.col("v") * 10), out, ck, fmt="parquet", once_within="10 minutes", key="key", ts="ts")
