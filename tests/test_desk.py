@@ -170,7 +170,7 @@ def test_durable_consumer(spark, tmp_path):
     from tidemark.streaming import stateful as S
 
     path, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
-    df = spark.createDataFrame([("a", 0, 1.0), ("a", 0, 1.0), ("b", 2, 2.0)], "key string, t long, v double").withColumn("ts", F.timestamp_seconds("t"))
+    df = spark.createDataFrame([("a", 100, 1.0), ("a", 100, 1.0), ("b", 102, 2.0)], "key string, t long, v double").withColumn("ts", F.timestamp_seconds("t"))
 
     def once():
         q = S.follow(spark, path, df.schema, lambda s: s.withColumn("v", F.col("v") * 10), out, ck, fmt="parquet", once_within="10 minutes", key="key", ts="ts")
@@ -179,7 +179,7 @@ def test_durable_consumer(spark, tmp_path):
 
     df.write.parquet(path)
     assert once() == [("a", 10.0), ("b", 20.0)]
-    spark.createDataFrame([("c", 3, 3.0)], "key string, t long, v double").withColumn("ts", F.timestamp_seconds("t")).write.mode("append").parquet(path)
+    spark.createDataFrame([("c", 103, 3.0)], "key string, t long, v double").withColumn("ts", F.timestamp_seconds("t")).write.mode("append").parquet(path)
     assert once() == [("a", 10.0), ("b", 20.0), ("c", 30.0)]
     assert sorted(r.key for r in S.expired(spark, out, "ts", "2 seconds").collect()) == ["a"]
 
