@@ -194,3 +194,54 @@ def test_command_line_options(spark, tmp_path, capsys):
     assert cli.main(["generate", "--out", str(tmp_path / "o"), "--duration", "120", "--no-syslog"]) == 0
     counts = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert counts["FlowRecord"] > 0 and "SyslogEvent" not in counts
+
+
+def test_searches_for_change_points():
+    from tidemark.functions import models as M
+
+    r = np.random.default_rng(6)
+    xs = np.concatenate((r.normal(0, 1, 40), r.normal(6, 1, 30), r.normal(-3, 1, 50)))
+    squares = lambda a, b: ((xs[a:b] - xs[a:b].mean()) ** 2).sum()
+    first = max(range(5, 116), key=lambda t: squares(0, 120) - squares(0, t) - squares(t, 120))
+    assert first in M.binary_segmentation(xs, 20.0)
+    for search in M.SEARCHES.values():
+        got = search(xs, 60.0)
+        assert len(got) == 2 and abs(got[0] - 40) <= 2 and abs(got[1] - 70) <= 2
+        assert search(r.normal(0, 1, 100), 60.0) == []
+    k = M.Pelt(search="binseg")
+    assert any(k.step(x)[1] for x in np.concatenate((np.zeros(100), np.full(20, 9.0))))
+
+
+def test_isolation_forest_by_hand():
+    """Depths of its trees against a walk down each of them."""
+    from tidemark.functions import models as M
+
+    r = np.random.default_rng(2)
+    rows = np.vstack((r.normal(size=(100, 3)), np.zeros((20, 3))))
+    score = M.isolation_forest(rows, trees=20)
+    feature, cut, depth, first, norm = (dict(zip(score.__code__.co_freevars, (c.cell_contents for c in score.__closure__)))[n] for n in ("feature", "cut", "depth", "first", "norm"))
+    for v in (rows[0], rows[110], np.full(3, 9.0)):
+        depths = []
+        for root in first:
+            node = root
+            while feature[node] >= 0:
+                node = root + 2 * (node - root) + 1 + int(v[feature[node]] >= cut[node])
+            depths.append(depth[node])
+        assert score(v[None])[0] == pytest.approx(2 ** -(np.mean(depths) / norm))
+    assert score(np.full((1, 3), 9.0))[0] > 0.6 > score(np.zeros((1, 3)))[0]
+
+
+def test_ledger_of_alerts():
+    ledger, last, kept = K.AlertLedger(window=10, most=3), {}, []
+    r = random.Random(3)
+    for t in range(200):
+        key = r.choice("abcdef")
+        want = key not in last or last[key] < t - 10
+        if want:
+            last.pop(key, None)
+            last[key] = t
+            if len(last) > 3:
+                del last[min(last, key=last.get)]
+        passes, n, s = ledger.step(None, t, key)
+        kept.append(passes)
+        assert passes == want and n == sum(kept) and n + s == t + 1

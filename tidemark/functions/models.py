@@ -63,33 +63,46 @@ def tails(rows: np.ndarray, corrected: bool) -> Scorer:
 
 
 def isolation_forest(rows: np.ndarray, trees: int = 150, sample: int = 256, seed: int = 1337) -> Scorer:
-    """Isolation by random cuts: 2 to the minus mean depth over expected depth."""
+    """Isolation by random cuts: 2 to the minus mean depth over expected depth.  All trees grow at once, a level at a time."""
     r = np.random.default_rng(seed)
-    n = min(sample, len(rows))
+    n, dims = min(sample, len(rows)), rows.shape[1]
     limit = max(1, math.ceil(math.log2(max(n, 2))))
-
-    def expected(m: float) -> float:
-        return 0.0 if m <= 1 else 1.0 if m == 2 else 2 * (math.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m
-
-    def grow(x: np.ndarray, depth: int):
-        span = x.max(0) - x.min(0)
-        if depth >= limit or len(x) <= 1 or not span.any():
-            return depth + expected(len(x))
-        j = int(r.choice(np.flatnonzero(span)))
-        cut = r.uniform(x[:, j].min(), x[:, j].max())
-        low = x[:, j] < cut
-        return (j, cut, grow(x[low], depth + 1), grow(x[~low], depth + 1))
-
-    forest = [grow(rows[r.choice(len(rows), n, replace=False)], 0) for _ in range(trees)]
-    norm = expected(n) or 1.0
-
-    def score(x: np.ndarray) -> np.ndarray:
-        def depth(v, node):
-            while isinstance(node, tuple):
-                node = node[2] if v[node[0]] < node[1] else node[3]
-            return node
-
-        return np.array([2 ** -(sum(depth(v, t) for t in forest) / len(forest) / norm) for v in x])
+    nodes = (1 << (limit + 1)) - 1
+
+    def expected(m: np.ndarray) -> np.ndarray:
+        m = np.asarray(m, float)
+        return np.where(m <= 1, 0.0, np.where(m == 2, 1.0, 2 * (np.log(np.maximum(m - 1, 1)) + 0.5772156649) - 2 * (m - 1) / np.maximum(m, 1)))
+
+    x = rows[r.random((trees, len(rows))).argsort(axis=1)[:, :n]].reshape(-1, dims)
+    first = np.arange(trees) * nodes
+    at = np.repeat(first, n)  # the node of each sampled row
+    feature, cut = np.full(trees * nodes, -1), np.zeros(trees * nodes)
+    depth = np.repeat(np.floor(np.log2(np.arange(nodes) + 1))[None], trees, axis=0).ravel()
+    for _ in range(limit):
+        lo, hi = np.full((trees * nodes, dims), np.inf), np.full((trees * nodes, dims), -np.inf)
+        np.minimum.at(lo, at, x)
+        np.maximum.at(hi, at, x)
+        here = np.unique(at)
+        here = here[(feature[here] < 0) & (hi[here] > lo[here]).any(axis=1)]
+        chance = np.where(hi[here] > lo[here], r.random((len(here), dims)), -1.0)
+        feature[here] = f = chance.argmax(axis=1)
+        cut[here] = lo[here, f] + r.random(len(here)) * (hi[here, f] - lo[here, f])
+        moves = np.isin(at, here)
+        node = at[moves]
+        base = node // nodes * nodes
+        at[moves] = base + 2 * (node - base) + 1 + (x[moves, feature[node]] >= cut[node])
+    # A leaf's depth, and what a tree of its rows would add.
+    depth += expected(np.bincount(at, minlength=trees * nodes))
+    norm = float(expected(n)) or 1.0
+
+    def score(v: np.ndarray) -> np.ndarray:
+        node = np.repeat(first[None], len(v), axis=0)
+        row = np.arange(len(v))[:, None]
+        for _ in range(limit):
+            f = feature[node]
+            down = first + 2 * (node - first) + 1 + (v[row, f] >= cut[node])
+            node = np.where(f >= 0, down, node)
+        return 2 ** -(depth[node].mean(axis=1) / norm)
 
     return score
 
@@ -134,6 +147,8 @@ MODELS: dict[str, tuple[str, Callable[[np.ndarray], Scorer], int]] = {
     "isolation_forest": ("ml_unsupervised", isolation_forest, 4),
     "lof": ("ml_unsupervised", lof, 4),
     "pca_reconstruction": ("deep", pca, 8),
+    # Without a library of neural networks the reconstruction is linear: the best that an autoencoder of one layer learns.
+    "autoencoder": ("deep", pca, 8),
 }
 
 
@@ -198,11 +213,54 @@ def pelt(xs: np.ndarray, penalty: float = 8.0, least: int = 5) -> list[int]:
     return out[::-1]
 
 
+def _gain(xs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of values and of their squares."""
+    return np.concatenate(([0.0], np.cumsum(xs))), np.concatenate(([0.0], np.cumsum(xs * xs)))
+
+
+def binary_segmentation(xs: np.ndarray, penalty: float = 8.0, least: int = 5) -> list[int]:
+    """Change points by splitting the stretch where a split saves most squared error, as long as it saves more than the penalty."""
+    s, q = _gain(xs)
+    cost = lambda a, b: q[b] - q[a] - (s[b] - s[a]) ** 2 / (b - a)
+
+    def best(a: int, b: int) -> tuple[float, int]:
+        at = np.arange(a + least, b - least + 1)
+        if not len(at):
+            return -np.inf, a
+        saved = cost(a, b) - cost(a, at) - cost(at, b)
+        k = int(np.argmax(saved))
+        return float(saved[k]), int(at[k])
+
+    stretches, out = [(*best(0, len(xs)), 0, len(xs))], []
+    while stretches:
+        stretches.sort()
+        saved, at, a, b = stretches.pop()
+        if saved <= penalty:
+            break
+        out.append(at)
+        stretches += [(*best(a, at), a, at), (*best(at, b), at, b)]
+    return sorted(out)
+
+
+def window_search(xs: np.ndarray, penalty: float = 8.0, width: int | None = None) -> list[int]:
+    """Change points where two neighbouring windows differ most, and by more than the penalty."""
+    half = max(2, (width or max(10, len(xs) // 6)) // 2)
+    s, q = _gain(xs)
+    cost = lambda a, b: q[b] - q[a] - (s[b] - s[a]) ** 2 / (b - a)
+    at = np.arange(half, len(xs) - half + 1)
+    saved = cost(at - half, at + half) - cost(at - half, at) - cost(at, at + half)
+    near = [saved[max(0, i - half) : i + half + 1].max() for i in range(len(at))]
+    return [int(t) for t, v, top in zip(at, saved, near) if v > penalty and v >= top]
+
+
+SEARCHES = {"pelt": pelt, "binseg": binary_segmentation, "window": window_search}
+
+
 class Pelt:
     """A pulse when the newest fifth of the window holds a change point; looked for every ``every`` values."""
 
-    def __init__(self, window: int = 120, every: int = 15, recent: float = 0.2, penalty: float = 8.0, decay: float = 0.6):
-        self.buffer, self.every, self.recent, self.penalty, self.decay = deque(maxlen=window), every, recent, penalty, decay
+    def __init__(self, window: int = 120, every: int = 15, recent: float = 0.2, penalty: float = 8.0, decay: float = 0.6, search: str = "pelt"):
+        self.search, self.buffer, self.every, self.recent, self.penalty, self.decay = search, deque(maxlen=window), every, recent, penalty, decay
         self.since, self.pulse = 0, 0.0
 
     def step(self, x, t=None):
@@ -213,7 +271,7 @@ class Pelt:
             self.since = 0
             if len(self.buffer) >= 20:
                 xs = np.array(self.buffer)
-                changed = any(b >= len(xs) * (1 - self.recent) for b in pelt(xs, self.penalty))
+                changed = any(b >= len(xs) * (1 - self.recent) for b in SEARCHES[self.search](xs, self.penalty))
         self.pulse = 1.0 if changed else self.pulse * self.decay
         return self.pulse, changed or self.pulse >= 0.5
 

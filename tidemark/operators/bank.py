@@ -32,7 +32,7 @@ def tick_bank(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 #: The detectors that run once on the most anomalous series.
 BATCH = [
-    *((name, family, lambda name=name: Rolling(name)) for name, (family, *_) in MODELS.items()),
+    *((name, family, lambda name=name: Rolling(name)) for name, (family, *_) in MODELS.items() if name != "autoencoder"),
     ("half_space_trees", "ml_unsupervised", lambda: K.FrozenForest(warm=40, window=40)),
     ("kswin", "change_point", lambda: K.Decay(K.Kswin(seed=1337))),
     ("pelt", "change_point", Pelt),

@@ -17,3 +17,14 @@ def evaluate(labels: DataFrame, risks: DataFrame, *, alert: float = 0.30, width:
     by = hits.groupBy("label").agg(F.min(F.when(F.col("risk") >= alert, F.col("us"))).alias("first_us"), F.max("risk").alias("peak"))
     out = labels.join(by, "label", "left")
     return out.withColumns({"detected": F.col("first_us").isNotNull(), "lead_s": (F.col("fault_us") - F.col("first_us")) / 1e6, "peak": F.coalesce("peak", F.lit(0.0))})
+
+
+def incident_of(labels: DataFrame, incidents: DataFrame) -> DataFrame:
+    """scenario, incident: the first incident (by rank) that is tagged with the scenario, else one that holds its node, else none.
+
+    labels (scenario, node); incidents (incident, rank, tag, nodes).
+    """
+    tagged = labels.join(incidents.select(F.col("tag").alias("scenario"), "incident", "rank"), "scenario").select("scenario", "incident", F.lit(0).alias("how"), "rank")
+    held = labels.join(incidents.select(F.explode("nodes").alias("node"), "incident", "rank"), "node").select("scenario", "incident", F.lit(1).alias("how"), "rank")
+    best = tagged.unionByName(held).groupBy("scenario").agg(F.min_by("incident", F.struct("how", "rank", "incident")).alias("incident"))
+    return labels.select("scenario").distinct().join(best, "scenario", "left")

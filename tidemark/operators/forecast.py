@@ -124,6 +124,30 @@ def theta(df: DataFrame, key: str, order: list[str], value: str, steps: int) ->
     return trajectory(state, [key], 0.5 * (F.col("intercept") + F.col("slope") * (F.col("n") - 1 + F.col("h"))) + 0.5 * F.col("level"), steps, "theta")
 
 
+def seasonal(df: DataFrame, key: str, order: list[str], value: str, steps: int, *, period: int = 7) -> DataFrame:
+    """Holt's forecast of the series without its season, and the season's last turn added again.
+
+    The season of a place in the period is the mean distance there from a centred moving average, less the
+    mean of all places; a series of fewer than two periods (or a period below 2) has none.
+    """
+    if period < 2:
+        return holt(df, key, order, value, steps, method="stl_ets")
+    w = Window.partitionBy(key).orderBy(*order)
+    half = period // 2
+    around = w.rowsBetween(-half, half if period % 2 else half - 1)
+    t = df.select(key, *order, F.col(value).alias("x"), (F.row_number().over(w) - 1).alias("__i"), F.count("*").over(Window.partitionBy(key)).alias("__n"))
+    t = t.withColumns({"__ma": F.when(F.count("x").over(around) == period, F.avg("x").over(around)), "__place": F.col("__i") % period})
+    off = t.where("__ma is not null").groupBy(key, "__place").agg(F.avg(F.col("x") - F.col("__ma")).alias("__off"))
+    season = off.withColumn("__season", F.col("__off") - F.avg("__off").over(Window.partitionBy(key))).drop("__off")
+    known = t.join(season, [key, "__place"], "left").withColumn("__season", F.when(F.col("__n") >= 2 * period, F.coalesce("__season", F.lit(0.0))).otherwise(0.0))
+    plain = known.withColumn("y", F.col("x") - F.col("__season"))
+    tail = known.where(F.col("__i") >= F.col("__n") - period).select(key, ((F.col("__i") - F.col("__n")) % period).alias("__turn"), "__season")
+    turn = F.pmod(F.col("__turn"), F.lit(period))
+    points = holt(plain, key, order, "y", steps, method="stl_ets").withColumn("__turn", (F.col("h") - 1) % period)
+    back = points.join(tail.withColumn("__turn", turn), [key, "__turn"], "left").withColumn("__season", F.coalesce("__season", F.lit(0.0)))
+    return back.select(key, "h", "method", *((F.col(c) + F.col("__season")).alias(c) for c in ("predicted", "lower", "upper")))
+
+
 def ar1(df: DataFrame, key: str, order: list[str], value: str, steps: int) -> DataFrame:
     """Autoregression of order one in closed form."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -210,6 +210,19 @@ def ols_trend(spark, sf_dir):
     return t.select("k", rounded(F.col("slope")).alias("slope"), rounded(F.col("intercept"), 5).alias("intercept"))
 
 
+@query(
+    f"""WITH RECURSIVE {DAILY}, ma AS (SELECT k, i, n, v, (i - 1) % 7 AS p, CASE WHEN count(*) OVER w = 7 THEN avg(v) OVER w END AS ma FROM g WINDOW w AS (PARTITION BY k ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+    o AS (SELECT k, p, avg(v - ma) AS off FROM ma WHERE ma IS NOT NULL GROUP BY k, p), se AS (SELECT k, p, off - avg(off) OVER (PARTITION BY k) AS s FROM o), y AS (SELECT ma.k, i, n, v - CASE WHEN n >= 14 THEN coalesce(s, 0) ELSE 0 END AS v FROM ma LEFT JOIN se ON se.k = ma.k AND se.p = ma.p),
+    f AS (SELECT k, i, v AS level, CAST(NULL AS DOUBLE) AS slope FROM y WHERE i = 1 UNION ALL
+    SELECT y.k, y.i, 0.4 * y.v + 0.6 * (level + coalesce(slope, y.v - level)), 0.2 * (0.4 * y.v + 0.6 * (level + coalesce(slope, y.v - level)) - level) + 0.8 * coalesce(slope, y.v - level) FROM f JOIN y ON y.k = f.k AND y.i = f.i + 1),
+    l AS (SELECT f.k, f.level, f.slope, n FROM f JOIN y ON y.k = f.k AND y.i = f.i WHERE f.i = n)
+    SELECT l.k, CAST(h AS INT) AS h, {r6('level + slope * h + CASE WHEN n >= 14 THEN coalesce(s, 0) ELSE 0 END', 'predicted', 5)} FROM l CROSS JOIN range(1, 13) x(h) LEFT JOIN se ON se.k = l.k AND se.p = (n + (h - 1) % 7) % 7"""
+)
+def seasonal_forecast(spark, sf_dir):
+    """Holt on the series without its weekly season, and the season again."""
+    return FC.seasonal(daily(spark, sf_dir), "k", ["day"], "v", 12).select("k", "h", rounded(F.col("predicted"), 5).alias("predicted"))
+
+
 MEMBERS = "m AS (SELECT l_suppkey AS k, CAST(1 + l_linenumber % 7 AS INT) AS h, CAST(l_orderkey % 3 AS VARCHAR) AS method, avg(l_quantity) AS predicted, avg(l_quantity) - 5 AS lower, avg(l_quantity) + 5 AS upper FROM lineitem GROUP BY 1, 2, 3)"
 POOL = f"{MEMBERS}, p AS (SELECT k, h, 0.5 * avg(predicted) + 0.5 * median(predicted) AS predicted, min(lower) AS lo, max(upper) AS hi, stddev_pop(predicted) AS sd FROM m GROUP BY k, h), a AS (SELECT k, least(1, greatest(0, 1 - avg(sd) / greatest(avg(abs(predicted)), 1e-9))) AS agreement FROM p GROUP BY k), e AS (SELECT k, h, predicted, least(lo, predicted - sd) AS lower, greatest(hi, predicted + sd) AS upper, agreement FROM p JOIN a USING (k))"
 

@@ -55,6 +55,20 @@ def label_tagging(spark, sf_dir):
     return serving.tag(lab, s.select(F.col("s_suppkey").alias("incident"), F.array(F.col("s_nationkey") % 5, F.col("s_nationkey") % 3).alias("nodes")))
 
 
+@query(
+    """WITH l AS (SELECT n_name AS scenario, CAST(n_nationkey AS BIGINT) AS node FROM nation), i AS (SELECT c_custkey AS incident, CASE WHEN c_custkey % 7 = 0 THEN 'NATION_' || (c_custkey % 5) END AS tag, [c_custkey % 20, c_nationkey] AS nodes FROM customer),
+    a AS (SELECT scenario, incident, 0 AS how FROM l JOIN i ON tag = scenario UNION ALL SELECT scenario, incident, 1 FROM l JOIN (SELECT incident, unnest(nodes) AS node FROM i) USING (node)), b AS (SELECT scenario, arg_min(incident, {'h': how, 'r': incident}) AS incident FROM a GROUP BY 1) SELECT scenario, incident FROM l LEFT JOIN b USING (scenario)"""
+)
+def scenario_incident(spark, sf_dir):
+    """The incident of each scenario: one with its tag before one with its node."""
+    from tidemark.operators.evaluate import incident_of
+
+    c, n = F.col("c_custkey"), table(spark, sf_dir, "nation")
+    labels = n.select(F.col("n_name").alias("scenario"), F.col("n_nationkey").cast("long").alias("node"))
+    tag = F.when(c % 7 == 0, F.concat(F.lit("NATION_"), (c % 5).cast("string")))
+    return incident_of(labels, table(spark, sf_dir, "customer").select(c.alias("incident"), c.alias("rank"), tag.alias("tag"), F.array(c % 20, F.col("c_nationkey").cast("long")).alias("nodes")))
+
+
 _RANKS = BM25 + TFIDF.replace("WITH g AS", ", g AS", 1)
 
 
