@@ -245,3 +245,46 @@ def test_ledger_of_alerts():
         passes, n, s = ledger.step(None, t, key)
         kept.append(passes)
         assert passes == want and n == sum(kept) and n + s == t + 1
+
+
+def brandes(out):
+    """Betweenness by counting, for each pair, the shortest paths through each node."""
+    n = len(out)
+    total = np.zeros(n)
+    for s in range(n):
+        order, before, paths, dist = [s], [[] for _ in out], np.zeros(n), np.full(n, -1)
+        paths[s], dist[s] = 1, 0
+        for v in order:
+            for w in out[v]:
+                if dist[w] < 0:
+                    dist[w] = dist[v] + 1
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] += paths[v]
+                    before[w].append(v)
+        load = np.zeros(n)
+        for w in reversed(order):
+            for v in before[w]:
+                load[v] += paths[v] / paths[w] * (1 + load[w])
+            if w != s:
+                total[w] += load[w]
+    return total / ((n - 1) * (n - 2))
+
+
+def test_centrality_by_tasks_and_by_joins(spark):
+    r = random.Random(7)
+    n = 14
+    pairs = sorted({(a, b) for a, b in ((r.randrange(n), r.randrange(n)) for _ in range(34)) if a != b} | {(i, i + 1) for i in range(n - 1)} | {(1, 0)})
+    edges = spark.createDataFrame([(f"n{a:02}", f"n{b:02}") for a, b in pairs], "source string, target string")
+    want = brandes([[b for x, b in pairs if x == a] for a in range(n)])
+    near = graph.centrality(edges).orderBy("id").collect()
+    far = graph.centrality(edges, limit=3, state=90).orderBy("id").collect()
+    for rows in (near, far):
+        assert [x.betweenness for x in rows] == pytest.approx(want.tolist())
+    assert [x.eigenvector for x in far] == pytest.approx([x.eigenvector for x in near], abs=1e-6)
+    m = np.eye(n)
+    for a, b in pairs:
+        m[b, a] += 1
+    v = np.abs(np.linalg.eig(m)[1][:, np.argmax(np.linalg.eig(m)[0].real)].real)
+    assert [x.eigenvector for x in near] == pytest.approx((v / np.linalg.norm(v)).tolist(), abs=1e-4)
+    assert graph.centrality(edges.limit(0)).count() == 0

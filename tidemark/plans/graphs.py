@@ -70,10 +70,15 @@ def rca_rank(spark, sf_dir):
     return G.root_causes(c, "g", "seq").select("seq", "g", (F.col("score") + 0.0).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {EDGES}, n AS (SELECT source AS id FROM e UNION SELECT target FROM e), c AS (SELECT source, count(*) AS kids FROM e GROUP BY source), l AS (SELECT target, source FROM e),
+    nat AS (SELECT 'nation:' || n_nationkey AS id, n_regionkey AS r, coalesce(kids, 0) AS kids FROM nation LEFT JOIN c ON c.source = 'nation:' || n_nationkey), reg AS (SELECT 'region:' || r AS id, count(*) AS nats, sum(kids + 1) AS below, sum((kids + 1) * (kids + 1)) AS squares FROM nat GROUP BY r),
+    size AS (SELECT nat.id, kids, below + 1 AS tree FROM nat JOIN reg ON reg.id = 'region:' || r), t AS (SELECT id, 2 * kids * (tree - kids - 1) + kids * (kids - 1) AS pairs FROM size UNION ALL SELECT id, below * below - squares FROM reg)
+    SELECT n.id, round(coalesce(pairs, 0) / ((SELECT count(*) FROM n) - 1) / ((SELECT count(*) FROM n) - 2) + 3.1e-11, 8) + 0.0 AS betweenness FROM n LEFT JOIN t USING (id)"""
+)
 def centrality(spark, sf_dir):
-    e = table(spark, sf_dir, "nation").select(F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("source"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("target"))
-    return G.centrality(G.symmetric(e))
+    """Betweenness in the whole topology.  It is a tree for each region, so SQL can count the pairs whose way leads through a node."""
+    return G.centrality(G.symmetric(edges(spark, sf_dir))).select("id", rounded(F.col("betweenness"), 8).alias("betweenness"))
 
 
 @query()
