@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat, decontam, html_blocks, licenses, mixing, near_dup, quality, reshard, secrets, token_store
-from tests.llm.helpers import brute_components, brute_one_of_each, empty_docs, odd_docs, shingle_set
+from tests.llm.helpers import base_by_hand, brute_components, brute_one_of_each, contaminated_by_hand, empty_docs, kept_by_hand, odd_docs, shingle_set, targets_by_hand
 
 TOKENIZER = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
@@ -23,15 +23,6 @@ def table(spark, sf, name):
 # --- 1 quality
 
 
-def base_by_hand(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
-    hit = {j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
-    failed = len(words) < 50 or 100 * len(hit) > 50 * len(words)
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit), failed
-
-
 def test_quality_base_figures(spark, sf):
     docs = table(spark, sf, "documents")
     got = {r.doc_id: r for r in quality.score(docs).collect()}
@@ -42,35 +33,12 @@ def test_quality_base_figures(spark, sf):
 
 
 def test_quality_verdict_by_hand(spark, sf):
-    docs = table(spark, sf, "documents")
-    rows = docs.collect()
-    feats = {r.doc_id: quality.measure(r.text) for r in rows}
-    ppm = {i: [np.asarray(h) * 1_000_000 // max(sum(h), 1) for h in (f[5], f[6])] for i, f in feats.items()}
-    good = {r.doc_id for r in rows if not base_by_hand(r.text)[-1]}
-
-    def refs(ids):
-        out = {}
-        for lang in {r.lang for r in rows}:
-            own = [r.doc_id for r in rows if r.lang == lang and r.doc_id in ids]
-            if own:
-                out[lang] = [np.sum([ppm[i][k] for i in own], axis=0) // len(own) for k in (0, 1)]
-        return out
-
-    def distance(p, q):
-        p, q = p.astype(float), q.astype(float)
-        part = lambda a, b: sum(x * np.log2(2 * x / (x + y)) for x, y in zip(a, b) if x > 0)
-        return np.sqrt(max(0, part(p, q) + part(q, p)) / 2_000_000)
-
-    first = refs(good)
-    bins = {r.doc_id: int(np.floor(1000 * distance(ppm[r.doc_id][0], first[r.lang][0]))) for r in rows if r.doc_id in good}
-    half = {lang: np.median([bins[r.doc_id] for r in rows if r.lang == lang and r.doc_id in good]) for lang in first}
-    near = {r.doc_id for r in rows if r.doc_id in good and bins[r.doc_id] <= half[r.lang]}
-    second = refs(near)
-    for g in quality.score(docs).collect():
-        lang = next(r.lang for r in rows if r.doc_id == g.doc_id)
-        c, w = (distance(ppm[g.doc_id][k], second[lang][k]) for k in (0, 1))
-        assert g.class_distance == pytest.approx(c, abs=1e-9) and g.word_distance == pytest.approx(w, abs=1e-9)
-        assert g.kept == (g.doc_id in good and c <= 0.145 and (g.n_words < 80 or w * w <= 0.09 + 4.328 / g.n_words))
+    rows = table(spark, sf, "documents").collect()
+    want = kept_by_hand([(r.text, r.lang) for r in rows])
+    got = {r.doc_id: r for r in quality.score(table(spark, sf, "documents")).collect()}
+    for r, (c, w, kept) in zip(rows, want):
+        g = got[r.doc_id]
+        assert g.class_distance == pytest.approx(c, abs=1e-9) and g.word_distance == pytest.approx(w, abs=1e-9) and g.kept == kept
 
 
 def test_quality_odd_and_empty(spark):
@@ -312,23 +280,6 @@ def test_markov_spans_beside_base_spans():
 # --- 4 mixing
 
 
-def targets_by_hand(sizes, share=1.5, cap=2.0):
-    """Share by weight; cap those above; share what is left among the others, until none is above."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
-    left, out, open_ = share * sum(sizes.values()), {}, list(order)
-    while open_:
-        part = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
-        over = [s for s in open_ if part[s] > cap * sizes[s]]
-        if not over:
-            return out | part
-        for s in over:
-            out[s] = cap * sizes[s]
-        left -= sum(out[s] for s in over)
-        open_ = [s for s in open_ if s not in out]
-    return out
-
-
 def test_targets_share_out_excess(spark):
     r = random.Random(3)
     for sizes in ({"b": 10, "a": 1000, None: 1000}, {f"s{i}": int(10 ** r.uniform(0, 6)) for i in range(300)}, {"é": 0, "z": 5, "\U0001f600": 7, "\uffff": 7}, {None: 3}, {}):
@@ -515,77 +466,6 @@ def test_slots_must_agree(spark):
     assert [r.doc_id for r in decontam.contaminated(docs, bench, least=0.3).collect()] == [1]
 
 
-def tokens_by_hand(text, names_at_heads):
-    """(token, value) of each word; value is None for a literal one."""
-    out, head, number = [], True, False
-    for w in (text or "").split():
-        bare = w.strip(decontam.EDGES)
-        is_number = bool(decontam.NUMBER.fullmatch(bare))
-        name = len(bare) > 1 and bare[0].isupper() and bare[1:].islower()
-        if is_number:
-            out.append(("<n>", bare.lower()))
-        elif bare.lower() in decontam.UNITS:
-            out.append(("<u>", bare.lower()) if number else (bare.lower(), None))
-        elif name and (names_at_heads or not head):
-            out.append(("<p>", bare.lower()))
-        else:
-            out.append((bare.lower(), None))
-        number, head = is_number, w.rstrip("\"')]”’»")[-1:] in tuple(".!?:")
-    return out
-
-
-def windows_by_hand(text, sizes, exact_sizes):
-    """{canonical tokens: [(place, values)]} of a text's windows that count."""
-    found = {}
-    plain, named = tokens_by_hand(text, False), tokens_by_hand(text, True)
-    for ts in (plain, named) if named != plain else (plain,):
-        for n in sizes:
-            for i in range(len(ts) - n + 1):
-                w = ts[i : i + n]
-                if sum(v is None for _, v in w) >= 5:
-                    found.setdefault(tuple(t for t, _ in w), set()).add((i, tuple(v for _, v in w if v is not None)))
-    for n in exact_sizes:
-        if n >= 4:
-            ws = [v or t for t, v in plain]
-            for i in range(len(ws) - n + 1):
-                found.setdefault(("word for word", *ws[i : i + n]), set()).add((i, ()))
-    return found
-
-
-def contaminated_by_hand(docs, bench, least=0.5, consistent=0.75):
-    """(doc, item) pairs of positions."""
-    items = []
-    for text in bench:
-        n = len((text or "").split())
-        w = windows_by_hand(text, [8], [])
-        items.append(w or windows_by_hand(text, [n], [n]))
-    alone = {len((t or "").split()) for t in bench if t and not windows_by_hand(t, [8], [])}
-    got = set()
-    for d, text in enumerate(docs):
-        own = windows_by_hand(text, {8, *alone}, alone)
-        for k, item in enumerate(items):
-            hits = sorted({(p - q, q, p, values, theirs) for w, at in item.items() for q, theirs in at for p, values in own.get(w, ())})
-            total = len({q for at in item.values() for q, _ in at})
-            runs, last = [], None
-            for h in hits:
-                if last is None or h[0] - last > 3:
-                    runs.append([])
-                last = h[0]
-                runs[-1].append(h)
-            for run in [*runs, hits]:
-                held = {}
-                for h in sorted(run, key=lambda h: (h[2], h[3], h[4])):
-                    held.setdefault(h[1], h)
-                if total and held and len(held) >= least * total:
-                    stand = {}
-                    for *_, values, theirs in held.values():
-                        for mine, its in zip(values, theirs):
-                            stand.setdefault(its, set()).add(mine)
-                    if sum(len(v) == 1 for v in stand.values()) >= consistent * len(stand):
-                        got.add((d, k))
-    return got
-
-
 def test_decontamination_against_brute_force(spark, sf):
     docs, bench = table(spark, sf, "documents").orderBy("doc_id").collect(), table(spark, sf, "benchmark").orderBy("item_id").collect()
     want = {(docs[d].doc_id, bench[k].item_id) for d, k in contaminated_by_hand([r.text for r in docs], [r.text for r in bench])}
