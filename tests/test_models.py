@@ -60,3 +60,48 @@ def test_cox_recovers_a_coefficient():
     assert beta[0] == pytest.approx(0.8, abs=0.08)
     centre = x.mean(0)
     assert M.cox_expected(beta, times, hazard, np.array([1.5]), centre) < M.cox_expected(beta, times, hazard, np.array([-1.5]), centre)
+
+
+def test_scores_by_plain_versions():
+    """Histograms, tails, local outliers and principal components, point by point."""
+    r = np.random.default_rng(9)
+    rows = np.round(r.normal(size=(60, 3)), 1)
+    news = np.vstack((rows[:5], r.normal(size=(5, 3)) * 3))
+    n = len(rows)
+    for v in news:
+        want = 0.0
+        for j in range(3):
+            lo, hi = rows[:, j].min(), rows[:, j].max()
+            width = (hi - lo) / 10
+            edges = np.linspace(lo, hi, 11)
+            counts = [sum(edges[b] <= x < edges[b + 1] or (b == 9 and x == hi) for x in rows[:, j]) for b in range(10)]
+            inside = [b for b in range(10) if edges[b] <= v[j] < edges[b + 1] or (b == 9 and v[j] == hi)]
+            want -= np.log2((counts[inside[0]] if inside else min(counts)) / n / width + 0.1)
+        assert M.hbos(rows)(v[None])[0] == pytest.approx(want)
+
+        for corrected in (False, True):
+            m = n + corrected
+            left = [-np.log(max(1, sum(x <= v[j] for x in rows[:, j])) / m) for j in range(3)]
+            right = [-np.log(max(1, sum(x >= v[j] for x in rows[:, j])) / m) for j in range(3)]
+            skew = [((rows[:, j] - rows[:, j].mean()) ** 3).mean() for j in range(3)]
+            own = sum(a if k < 0 else b if k > 0 else a + b for a, b, k in zip(left, right, skew))
+            assert M.tails(rows, corrected)(v[None])[0] == pytest.approx(max(sum(left), sum(right), own))
+
+        def nearest(p, k, but=None):
+            far = sorted((float(np.linalg.norm(rows[i] - p)), i) for i in range(n) if i != but)
+            return far[:k]
+
+        def density(p, but=None):
+            near = nearest(p, 8, but)
+            return 1 / (np.mean([max(d, nearest(rows[i], 8, i)[-1][0]) for d, i in near]) + 1e-10), [i for _, i in near]
+
+        own, around = density(v)
+        distances = [d for d, _ in nearest(v, 9)]
+        if len(set(np.round(distances, 9))) == 9:  # ties are broken by place in both, but not alike
+            assert M.lof(rows, k=8)(v[None])[0] == pytest.approx(np.mean([density(rows[i], i)[0] for i in around]) / own, rel=0.05)
+
+        z = (rows - rows.mean(0)) / rows.std(0)
+        values, axes = np.linalg.eigh(z.T @ z)
+        top = axes[:, np.argsort(values)[::-1][:2]]
+        q = (v - rows.mean(0)) / rows.std(0)
+        assert M.pca(rows, components=2)(v[None])[0] == pytest.approx(np.linalg.norm(q - top @ (top.T @ q)))

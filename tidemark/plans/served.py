@@ -115,12 +115,22 @@ def pelt(spark, sf_dir):
     return keyed_fold(telemetry(spark, sf_dir), ["k"], ["us", "seq"], Pelt, "pulse double, fired boolean")
 
 
-@query()
+@query(
+    f"""WITH {T}, b AS (SELECT k, seq, us, list(v) OVER (PARTITION BY k ORDER BY us, seq ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS xs FROM t),
+    w AS (SELECT k, seq, us, list_transform(range(1, len(xs) - 10), lambda i: xs[i : i + 11]) AS w FROM b WHERE len(xs) >= 48),
+    z AS (SELECT k, seq, us, list_transform(w, lambda s: list_transform(s, lambda x: CASE WHEN list_aggregate(s, 'stddev_pop') > 1e-12 THEN (x - list_aggregate(s, 'avg')) / list_aggregate(s, 'stddev_pop') ELSE 0 END)) AS z FROM w),
+    d AS (SELECT k, seq, us, list_min(list_transform(range(1, len(z) - 11), lambda i: sqrt(list_sum(list_transform(range(1, 13), lambda j: pow(z[i][j] - z[len(z)][j], 2)))))) AS d FROM z),
+    p AS (SELECT *, list(d) OVER (PARTITION BY k ORDER BY us, seq ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING) AS past FROM d), c AS (SELECT *, list_aggregate(past, 'quantile_cont', 0.5) AS c FROM p),
+    f AS (SELECT seq, d, coalesce(len(past), 0) >= 8 AND d > c + 3 * greatest(list_aggregate(list_transform(past, lambda x: abs(x - c)), 'quantile_cont', 0.5) * 1.4826, 1e-9) AS fired FROM c)
+    SELECT t.seq, round(coalesce(d, 0) + 3.1e-8, 5) + 0.0 AS distance, coalesce(fired, false) AS fired FROM t LEFT JOIN f USING (seq)"""
+)
 def matrix_profile(spark, sf_dir):
+    """How far the latest dozen values of a user are in shape from the nearest dozen before."""
     from tidemark.functions.models import Discord
     from tidemark.operators.fold import keyed_fold
 
-    return keyed_fold(telemetry(spark, sf_dir), ["k"], ["us", "seq"], Discord, "distance double, fired boolean")
+    out = keyed_fold(telemetry(spark, sf_dir), ["k"], ["us", "seq"], Discord, "distance double, fired boolean")
+    return out.select("seq", rounded(F.col("distance"), 5).alias("distance"), "fired")
 
 
 @query()

@@ -53,11 +53,13 @@ def streaming_level_drift(spark, sf_dir):
     return _drained(out, "level_drift").select("seq", r("level"), r("drift"))
 
 
-@query(f"WITH {T} SELECT count(DISTINCT sha256('none|' || k || '|' || CAST(floor(us / 6e7) AS BIGINT) || '|spike')) AS n FROM t WHERE v > 100")
+@query(f"WITH {T} SELECT DISTINCT 'alert-' || substr(sha256('none|' || k || '|' || CAST(floor(us / 6e7) AS BIGINT) || '|spike'), 1, 24) AS alert_key, CAST(k AS VARCHAR) AS entity, CAST(floor(us / 6e7) AS BIGINT) AS minute FROM t WHERE v > 100")
 def streaming_alerts(spark, sf_dir):
+    """One alert for each user and minute with a spike."""
     e = _events(spark, sf_dir).where("v > 100")
     f = e.select(F.col("k").cast("string").alias("entity"), "ts", F.array(F.lit("spike:v")).alias("triggered"))
-    return _drained(S.alerts(f), "alerts").agg(F.count("*").alias("n"))
+    out = _drained(S.alerts(f), "alerts")
+    return out.select(F.col("key").alias("alert_key"), "entity", F.floor(F.unix_micros("ts") / 60_000_000).alias("minute"))
 
 
 @query(f"WITH {T}, w AS (SELECT CAST(floor(us / 36e8) AS BIGINT) * 3600000000 AS start_us, metric, count(*) AS n, sum(v) AS total FROM t GROUP BY 1, 2) SELECT start_us, metric, n, round(total + 3.1e-7, 4) + 0.0 AS total FROM w WHERE start_us + 3600000000 <= (SELECT max(us) - 120000000 FROM t)")
