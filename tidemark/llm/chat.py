@@ -9,8 +9,8 @@ conversations are gathered and rendered.
 Defined results: turns are ordered by turn (null first), then role and hash; rows without conv_id
 belong to no conversation and are left out; a null role is rendered as ``unknown`` and a null text
 as empty, and both differ from any other value; repeated rows are repeated turns; an empty table
-gives an empty result; other columns are ignored.  A rendered conversation is one value, so one
-conversation must fit into a task's memory; nothing else must.
+gives an empty result; other columns are ignored, whatever their names; very long texts are taken whole.
+A rendered conversation is one value, so one conversation must fit into a task's memory; nothing else must.
 """
 
 from __future__ import annotations

@@ -14,8 +14,8 @@ bounded sample and stored next to the blocks; a reader refuses frames of another
 document can be read alone: its offset leads to its frame.
 
 Defined results: a null text counts as empty (the end id alone); documents without doc_id come
-first; repeated rows are stored as often as they come; an empty table gives no blocks; other
-columns are ignored.
+first; very long texts are encoded whole; repeated rows are stored as often as they come; an empty table
+gives no blocks; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
