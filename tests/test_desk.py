@@ -288,3 +288,31 @@ def test_centrality_by_tasks_and_by_joins(spark):
     v = np.abs(np.linalg.eig(m)[1][:, np.argmax(np.linalg.eig(m)[0].real)].real)
     assert [x.eigenvector for x in near] == pytest.approx((v / np.linalg.norm(v)).tolist(), abs=1e-4)
     assert graph.centrality(edges.limit(0)).count() == 0
+
+
+def test_late_events_are_fed_in_order(spark, tmp_path):
+    """Three batches, the second with events from before the first's last; the watermark of the last releases the rest."""
+    from tidemark.operators.fold import keyed_fold
+    from tidemark.streaming import stateful as S
+
+    S.ready(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    times = [[10, 11, 14, 15], [12, 13, 16, 20], [17, 40], [60]]
+    frames = [spark.createDataFrame([("a", t, float(t * t % 17)) for t in ts], "k string, i long, v double").withColumn("ts", F.timestamp_seconds("i")) for ts in times]
+    path = str(tmp_path / "in")
+    make, out = K.RobustZ, "z double, fired boolean"
+
+    def fed():
+        stream = S.keyed_stream(S.replay(spark, path, frames[0].schema), ["k"], ["i"], make, out, ts="ts", late="5 seconds")
+        q = S.to_batches(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
+        assert q.awaitTermination(200)
+
+    for f in frames:
+        f.coalesce(1).write.mode("append").parquet(path)
+        fed()
+    got = {r.i: r.z for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    whole = frames[0]
+    for f in frames[1:]:
+        whole = whole.unionByName(f)
+    want = {r.i: r.z for r in keyed_fold(whole, ["k"], ["i"], make, out).collect()}
+    assert set(range(10, 18)) <= set(got) <= set(want) and all(got[i] == pytest.approx(want[i]) for i in got)

@@ -39,27 +39,64 @@ class KernelProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("kernel", "body binary")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
+    def feed(self, events: pd.DataFrame) -> pd.DataFrame:
+        """Results of events, fed in order."""
+        events = events.sort_values(self.order, kind="stable").reset_index(drop=True)
         kernel = pickle.loads(self.state.get()[0]) if self.state.exists() else self.make()
         times = events[self.seconds] if self.seconds else [None] * len(events)
         out = [(None,) * len(self.names) if x is None or x - x != 0 else kernel.step(float(x), t) for x, t in zip(events[self.value], times)]
         self.state.update((pickle.dumps(kernel),))
-        made = events[[*self.keys, *self.order]].reset_index(drop=True)
+        made = events[[*self.keys, *self.order]]
         for i, name in enumerate(self.names):
             made[name] = [r[i] for r in out]
-        yield made
+        return made
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield self.feed(pd.concat(list(rows), ignore_index=True))
 
     def close(self) -> None:
         pass
 
 
-def keyed_stream(stream: DataFrame, keys: list[str], order: list[str], make: Callable[[], object], out: str, *, value: str = "v", seconds: str | None = None) -> DataFrame:
-    """The streaming form of operators.fold.keyed_fold."""
+class OrderedProcessor(KernelProcessor):
+    """Keeps events until the watermark has passed them, so that those of later batches that happened earlier come first."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle, self.waiting = handle, handle.getValueState("waiting", "body binary")
+
+    def _release(self, new: pd.DataFrame | None, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        parts = [pickle.loads(self.waiting.get()[0])] if self.waiting.exists() else []
+        events = pd.concat([*parts, *([new] if new is not None else [])], ignore_index=True)
+        ready = events["at_ms"] <= watermark_ms
+        rest = events[~ready]
+        self.waiting.update((pickle.dumps(rest),))
+        if len(rest):
+            self.handle.registerTimer(int(rest["at_ms"].min()))
+        if ready.any():
+            yield self.feed(events[ready])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield from self._release(pd.concat(list(rows), ignore_index=True), timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._release(None, timerValues.getCurrentWatermarkInMs())
+
+
+def keyed_stream(stream: DataFrame, keys: list[str], order: list[str], make: Callable[[], object], out: str, *, value: str = "v", seconds: str | None = None, ts: str | None = None, late: str | None = None) -> DataFrame:
+    """The streaming form of operators.fold.keyed_fold.
+
+    Events are fed batch by batch.  With ts (a timestamp) and late they wait for the watermark instead: whatever
+    comes no later than that is fed in order, as in the batch operator, and what comes later still is dropped.
+    """
     results = StructType.fromDDL(out)
     schema = StructType([stream.schema[c] for c in [*keys, *order]] + results.fields)
-    processor = KernelProcessor(keys, order, value, seconds, make, results.names)
     columns = dict.fromkeys([*keys, *order, value, *([seconds] if seconds else [])])
+    if late:
+        processor = OrderedProcessor(keys, order, value, seconds, make, results.names)
+        rows = stream.withWatermark(ts, late).select(*columns, ts, F.floor(F.unix_micros(ts) / 1000).alias("at_ms"))
+        return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    processor = KernelProcessor(keys, order, value, seconds, make, results.names)
     return stream.select(*columns).groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None")
 
 
