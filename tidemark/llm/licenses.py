@@ -110,8 +110,10 @@ def base(docs: DataFrame) -> DataFrame:
 def votes(docs: DataFrame) -> DataFrame:
     """KEY, template, diagonal: how many grams of the template lie on it, and where."""
     ws = F.col("words")
-    grams = F.transform(F.sequence(F.lit(0), F.size(ws) - K), lambda i: F.xxhash64(*(F.get(ws, i + j) for j in range(K))))
-    rolled = _keyed(docs).where(F.size("words") >= K).select(*KEY, F.posexplode(grams).alias("pos", "gram"))
+    n = F.greatest(F.size(ws) - K + 1, F.lit(0))
+    # The words of a gram side by side, one slice for each: rows are made and hashed in generated code, and the text is split once.
+    side_by_side = F.arrays_zip(*(F.slice(ws, j + 1, n).alias(f"w{j}") for j in range(K)))
+    rolled = _keyed(docs).select(*KEY, F.posexplode(side_by_side).alias("pos", "g")).select(*KEY, "pos", F.xxhash64(*(f"g.w{j}" for j in range(K))).alias("gram"))
     hits = rolled.join(F.broadcast(registry(docs.sparkSession)), "gram").select(*KEY, "template", "n_grams", "label", "pos", "at").distinct()
     return hits.groupBy(*KEY, "template", "n_grams", "label", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
