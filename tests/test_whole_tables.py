@@ -81,3 +81,23 @@ def test_survival_takes_every_interval(spark):
     sf = "/root/testdata/sf0.01"
     n = spark.read.parquet(f"{sf}/events.parquet").agg(F.count("*") - F.countDistinct("user_id")).first()[0]
     assert n > 5000 and RUNS["survival"](spark, sf).first().n_events == n
+
+
+def test_priorities_half_way_between_two_roundings(spark, tmp_path):
+    """Customers of the larger tables whose factors end half way between two of six digits."""
+    keys = [24, 2533, 37008, 40550, 83712, 111718, 121050]
+    c = spark.read.parquet("/root/testdata/sf0.1/customer.parquet")
+    k = spark.createDataFrame([(x, x % 15000) for x in keys], "key long, c_custkey long")
+    c.join(k, "c_custkey").withColumn("c_custkey", F.col("key")).drop("key").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = connect_parts(tmp_path)
+    assert canonical(RUNS["priority_rank"](spark, str(tmp_path)).toPandas()) == canonical(con.sql(SQL["priority_rank"]).df())
+
+
+def connect_parts(path):
+    """connect() for tables of several files."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in path.iterdir():
+        con.sql(f"CREATE VIEW {t.name.removesuffix('.parquet')} AS SELECT * FROM '{t}/*.parquet'")
+    return con

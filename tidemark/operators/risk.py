@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import clip, logistic
+from tidemark.functions.columns import clip, half_up, logistic
 from tidemark.functions.lineage import cut
 from tidemark.operators.relational import numbered
 
@@ -18,7 +18,7 @@ EPS = 0.02
 
 def urgency(eta_seconds: Column) -> Column:
     """1 now, falling with the minutes left; 0.05 where no impact is foreseen."""
-    return F.when(eta_seconds.isNull(), 0.05).otherwise(F.round(1 / (1 + minutes(eta_seconds)), 6))
+    return F.when(eta_seconds.isNull(), 0.05).otherwise(half_up(1 / (1 + minutes(eta_seconds)), 6))
 
 
 def minutes(eta_seconds: Column) -> Column:
@@ -27,7 +27,7 @@ def minutes(eta_seconds: Column) -> Column:
 
 def confidence_factor(confidence: Column, risk: Column) -> Column:
     both = F.greatest(F.lit(EPS), 0.5 * confidence + 0.5 * F.sqrt(confidence * risk))
-    return F.round(F.when(risk > 0, both).otherwise(confidence * 0.5), 6)
+    return half_up(F.when(risk > 0, both).otherwise(confidence * 0.5), 6)
 
 
 def raw_product(factors: list[Column], weights: list[float] | None = None) -> Column:
@@ -38,7 +38,7 @@ def raw_product(factors: list[Column], weights: list[float] | None = None) -> Co
 
 
 def geometric_mean(raw: Column) -> Column:
-    return F.when(raw > 0, F.round(F.pow(raw, F.lit(0.25)), 6)).otherwise(0.0)
+    return F.when(raw > 0, half_up(F.pow(raw, F.lit(0.25)), 6)).otherwise(0.0)
 
 
 def severity(score: Column, p1: float = 0.66, p2: float = 0.33) -> Column:
@@ -55,9 +55,9 @@ def prioritized(incidents: DataFrame, *, seq: str = "incident") -> DataFrame:
     The order is total over all incidents, and numbered by a sort by ranges.
     """
     a = F.greatest(confidence_factor(F.col("confidence"), F.col("risk")), F.lit(EPS))
-    raw = F.round(raw_product([a, urgency(F.col("eta")), F.col("blast"), clip(F.col("criticality"), EPS, 1.0)]), 6)
-    scored = incidents.withColumn("base", geometric_mean(raw)).withColumn("priority", F.round(F.col("base") * F.col("demotion"), 6))
-    order = [F.desc("priority"), F.coalesce(F.round(minutes(F.col("eta")), 3), F.lit(1e9)), F.desc("blast"), seq]
+    raw = half_up(raw_product([a, urgency(F.col("eta")), F.col("blast"), clip(F.col("criticality"), EPS, 1.0)]), 6)
+    scored = incidents.withColumn("base", geometric_mean(raw)).withColumn("priority", half_up(F.col("base") * F.col("demotion"), 6))
+    order = [F.desc("priority"), F.coalesce(half_up(minutes(F.col("eta")), 3), F.lit(1e9)), F.desc("blast"), seq]
     return numbered(scored.withColumn("severity", severity(F.col("priority"))), order)
 
 
