@@ -101,3 +101,21 @@ def connect_parts(path):
     for t in path.iterdir():
         con.sql(f"CREATE VIEW {t.name.removesuffix('.parquet')} AS SELECT * FROM '{t}/*.parquet'")
     return con
+
+
+def test_equal_features_are_ranked_by_sums_in_order(spark, tmp_path):
+    """Parts that lie in files in another order than the events': the sums' last bits are those of the events' order."""
+    import random
+
+    from tidemark.operators.explain import attribute
+
+    rnd = random.Random(5)
+    rows = [(k, 1000 * k + i, f, 0.5, v / 100) for k in range(40) for f in ("a", "b") for i, v in enumerate(rnd.sample([round(rnd.random() * 200, 2) for _ in range(50)], 50))]
+    m = spark.createDataFrame(rows, "k long, seq long, method string, weight double, norm double").orderBy(F.rand(7)).repartition(5)
+    got = {(r.k, r.feature): r.value for r in attribute(m, "k", F.lit(0.8), order=["seq"]).collect()}
+    for k in range(40):
+        c = {}
+        for _, _, f, w, n in sorted(r for r in rows if r[0] == k):
+            c[f] = c.get(f, 0.0) + w * n
+        total = c["a"] + c["b"]
+        assert {f: got[k, f] for f in c} == {f: x * 0.8 / total for f, x in c.items()}

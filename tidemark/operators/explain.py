@@ -20,18 +20,28 @@ TOPICS = [
 ANY_TOPIC = ("This feature", "the risk may follow")
 
 
-def attribute(methods: DataFrame, key: str, risk: Column, observed: DataFrame | None = None) -> DataFrame:
+def attribute(methods: DataFrame, key: str, risk: Column, observed: DataFrame | None = None, *, order: list[str] | None = None) -> DataFrame:
     """key, feature, value: each feature's share of the risk by weight times score of its methods.
 
     A method ``detector:feature`` speaks for the feature.  observed (key, feature, observation) adds
-    features without a method by their magnitude.
+    features without a method by their magnitude.  A sum of doubles depends in its last bit on the order of its
+    parts, and equal features are ranked by it: given ``order``, columns that tell a feature's methods apart, the parts
+    are added in it, however the rows lie in files and tasks.
     """
     method = F.col("method")
     feature = F.when(F.instr(method, ":") > 0, F.regexp_replace(method, "^[^:]*:", "")).otherwise(method)
-    by = methods.groupBy(key, feature.alias("feature")).agg(F.sum(F.col("weight") * F.col("norm")).alias("c"))
+    part = F.col("weight") * F.col("norm")
+    if order is None:
+        by = methods.groupBy(key, feature.alias("feature")).agg(F.sum(part).alias("c"))
+    else:
+        w = Window.partitionBy(key, "feature").orderBy(*order)
+        parts = methods.select(key, feature.alias("feature"), part.alias("part"), *order)
+        so_far = F.sum("part").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        more = F.lead(F.lit(True), 1, False).over(w)
+        by = parts.withColumns({"c": so_far, "more": more}).where("not more").select(key, "feature", "c")
     if observed is not None:
         by = by.join(observed, [key, "feature"], "full").withColumn("c", F.coalesce("c", F.abs("observation")))
-    total = F.sum(F.abs("c")).over(Window.partitionBy(key))
+    total = F.sum(F.abs("c")).over(Window.partitionBy(key).orderBy("feature").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     value = F.when(total > 0, F.col("c") * risk / total).otherwise(F.col("c"))
     return by.withColumn("value", value).drop("c")
 

@@ -96,7 +96,7 @@ def attribution(spark, sf_dir):
     from tidemark.operators.explain import attribute
 
     t = telemetry(spark, sf_dir)
-    return attribute(t.select("k", F.col("metric").alias("method"), F.lit(0.5).alias("weight"), (F.col("v") / 100).alias("norm")), "k", F.lit(0.8)).select("k", "feature", rounded(F.col("value")).alias("value"))
+    return attribute(t.select("k", "seq", F.col("metric").alias("method"), F.lit(0.5).alias("weight"), (F.col("v") / 100).alias("norm")), "k", F.lit(0.8), order=["seq"]).select("k", "feature", rounded(F.col("value")).alias("value"))
 
 
 @query(f"WITH {ATTR}, r AS (SELECT k, feature, 0.8 * c / total AS value FROM s) SELECT k, feature, CASE WHEN value > 1e-9 THEN 'increases_risk' WHEN value < -1e-9 THEN 'decreases_risk' ELSE 'neutral' END AS direction, CAST(row_number() OVER (PARTITION BY k ORDER BY abs(value) DESC, feature) AS BIGINT) AS rank FROM r QUALIFY rank <= 3")
@@ -104,7 +104,7 @@ def contributing_signals(spark, sf_dir):
     from tidemark.operators.explain import attribute, signals
 
     t = telemetry(spark, sf_dir)
-    a = attribute(t.select("k", F.col("metric").alias("method"), F.lit(0.5).alias("weight"), (F.col("v") / 100).alias("norm")), "k", F.lit(0.8))
+    a = attribute(t.select("k", "seq", F.col("metric").alias("method"), F.lit(0.5).alias("weight"), (F.col("v") / 100).alias("norm")), "k", F.lit(0.8), order=["seq"])
     return signals(a, "k", top=3).select("k", "feature", "direction", F.col("rank").cast("long").alias("rank"))
 
 
