@@ -119,3 +119,47 @@ def test_equal_features_are_ranked_by_sums_in_order(spark, tmp_path):
             c[f] = c.get(f, 0.0) + w * n
         total = c["a"] + c["b"]
         assert {f: got[k, f] for f in c} == {f: x * 0.8 / total for f, x in c.items()}
+
+
+def test_trees_are_taken_off_before_paths_are_counted(spark):
+    """Hanging trees, mutual and one-way edges, loops, components: as Brandes counts them; a tree alone leaves no edges."""
+    import random
+    from collections import defaultdict
+
+    from tidemark.operators import graph
+
+    rnd = random.Random(11)
+    edges = set()
+    for a, b in [(i, rnd.randrange(i)) for i in range(1, 25)] + [(30, 31), (31, 32), (32, 33), (40, 41)]:
+        edges |= {(a, b), (b, a)}
+    edges |= {(1, 5), (5, 9), (9, 1), (2, 2), (31, 33), (33, 50), (51, 30), (12, 3)}
+    ids, out = sorted({x for p in edges for x in p}), defaultdict(list)
+    for a, b in edges:
+        if a != b:
+            out[a].append(b)
+    want = dict.fromkeys(ids, 0.0)
+    for s in ids:
+        order, before, paths, dist = [s], defaultdict(list), defaultdict(float, {s: 1.0}), {s: 0}
+        for v in order:
+            for x in out[v]:
+                if x not in dist:
+                    dist[x] = dist[v] + 1
+                    order.append(x)
+                if dist[x] == dist[v] + 1:
+                    paths[x] += paths[v]
+                    before[x].append(v)
+        load = defaultdict(float)
+        for x in reversed(order):
+            for v in before[x]:
+                load[v] += paths[v] / paths[x] * (1 + load[x])
+            if x != s:
+                want[x] += load[x]
+    pairs = (len(ids) - 1) * (len(ids) - 2)
+    df = spark.createDataFrame([(str(a), str(b)) for a, b in edges], "source string, target string")
+    for kw in ({}, {"limit": 3, "state": 60}):
+        got = {int(r.id): r.betweenness for r in graph.betweenness(df, **kw).collect()}
+        assert got == {k: pytest.approx(v / pairs, abs=1e-12) for k, v in want.items()}
+    tree = df.where("false").unionByName(spark.range(1, 3000).selectExpr("cast(id as string) source", "cast(id div 7 as string) target"))
+    e, ids = graph._topology(graph.symmetric(tree))
+    core, nodes, off = graph._without_trees(e, ids, 0)
+    assert core.count() == 0 and nodes.count() == 1 and sum(x.count() for x in off) == 2999

@@ -78,7 +78,7 @@ def rca_rank(spark, sf_dir):
 )
 def centrality(spark, sf_dir):
     """Betweenness in the whole topology.  It is a tree for each region, so SQL can count the pairs whose way leads through a node."""
-    return G.centrality(G.symmetric(edges(spark, sf_dir))).select("id", rounded(F.col("betweenness"), 8).alias("betweenness"))
+    return G.betweenness(G.symmetric(edges(spark, sf_dir))).select("id", rounded(F.col("betweenness"), 8).alias("betweenness"))
 
 
 @query()
