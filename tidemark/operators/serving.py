@@ -71,9 +71,7 @@ def retrieve(docs: DataFrame, questions: DataFrame, key: str, text: str, *, k: i
     """
     terms = questions.select("qid", F.explode(X.tokens(F.col("query"))).alias("term"))
     sparse = X.top(X.search(docs, terms, key, text), "qid", key, pool)
-    w, idf = X.tfidf(docs, key, text)
-    qw, _ = X.tfidf(questions.select("qid", F.col("query").alias("text")), "qid", "text", idf)
-    dense = X.top(X.sparse_cosine(qw, w, "qid", key).withColumn("score", F.round("score", 9)), "qid", key, pool)
+    dense = X.tfidf_search(docs, questions.select("qid", "query"), key, text, "qid", "query", pool)
 
     def passed(r: DataFrame) -> DataFrame:
         if allowed is None:
