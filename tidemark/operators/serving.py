@@ -69,9 +69,7 @@ def retrieve(docs: DataFrame, questions: DataFrame, key: str, text: str, *, k: i
 
     The score shown falls evenly from 1 with the rank.  allowed: keys that pass a metadata filter.
     """
-    terms = questions.select("qid", F.explode(X.tokens(F.col("query"))).alias("term"))
-    sparse = X.top(X.search(docs, terms, key, text), "qid", key, pool)
-    dense = X.tfidf_search(docs, questions.select("qid", "query"), key, text, "qid", "query", pool)
+    sparse, dense = (search(docs, questions.select("qid", "query"), key, text, "qid", "query", pool) for search in (X.bm25_search, X.tfidf_search))
 
     def passed(r: DataFrame) -> DataFrame:
         if allowed is None:
