@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import written
 from tidemark.operators import text as X
 from tidemark.operators.serving import retrieve
 
@@ -51,7 +52,7 @@ def answers(questions: DataFrame, fused: DataFrame, incidents: DataFrame, corpus
     citations outside of what was found are dropped, and without one the answer abstains.
     """
     q = resolved(questions, fused, incidents).withColumn("search", search_text(F.coalesce("query", F.lit("")), F.col("issue"), F.col("signals")))
-    found = retrieve(corpus, q.select("qid", F.col("search").alias("query")), "chunk_id", "text", k=k)
+    found = written(retrieve(corpus, q.select("qid", F.col("search").alias("query")), "chunk_id", "text", k=k))  # its size is known: small, it goes to the corpus, which is not shuffled
     held = found.join(corpus, "chunk_id").groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "text"))), lambda r: r).alias("found"))
     known = q.join(held, "qid", "left").withColumn("universe", F.coalesce(F.transform("found", lambda r: r["chunk_id"].cast("string")), F.array().cast("array<string>")))
     context = F.coalesce(F.array_join(F.transform("found", lambda r: r["text"]), "\n"), F.lit(""))
